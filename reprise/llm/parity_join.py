@@ -8,8 +8,9 @@ on those words, rarest first, candidates are cut by the Hamming distance of bit
 the whole shingle sets. No link is lost: the order of words changes the work, never the result.
 
 Groups: exact copies of a set are one class. In each group of documents that share a sketch word every document is
-verified against the group's smallest member; groups whose members are then in several components go on, 64 further
-members at a time, against the members of other components only. So a group of g near copies costs about g checks.
+verified against the group's most central member; groups whose members are then in several components go on, further
+members in turn, against the members of other components only, with sizes and bit sketches tested inside the join. So
+a group of g near copies costs about g checks.
 """
 
 from __future__ import annotations
@@ -203,8 +204,13 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         counts[r["cell"]] = r["count"]
     classes = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     posts = docs.where("doc_id is not null").mapInArrow(_postings(k, counts), "key long, doc_id long, n int")
-    lead = Window.partitionBy("key").orderBy("n", "doc_id")
-    posts = stage(posts.withColumn("hub", F.first("doc_id").over(lead)).where("hub <> doc_id").select("key", "hub", "doc_id"))
+    sized = posts.withColumn("g", F.count("*").over(Window.partitionBy("key"))).where("g > 1")
+    sized = stage(sized.select("key", "doc_id", "g"))
+    # a group's hub is its most central member: the one whose words most others share
+    central = sized.groupBy("doc_id").agg(F.sum("g").alias("pop"))
+    lead = Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id")
+    posts = stage(sized.join(central, "doc_id").select("key", "doc_id", "pop", F.first("doc_id").over(lead).alias("hub")))
+    unstage(sized)
     rep_of = stage(rows.where("n > 0 and doc_id is not null").join(classes, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
     nodes = stage(rows.where("n > 0").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
 
@@ -214,7 +220,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
             pairs = pairs.join(rep_of.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}")), x)
         return pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    first = as_reps(posts.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    first = as_reps(posts.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = _verified(_plausible(first, nodes), docs, k)
     links, comp = _finish(links, posts, rep_of, nodes, docs, k, as_reps)
     named = rows.join(classes, ["n", "h1", "h2"], "left")
@@ -226,31 +232,38 @@ def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
     """Go on with the groups whose members the first checks left in several components."""
     from .components import components
 
-    def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
-        m = members.join(rep_of, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
-        return m.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-
     comp = components(links)
-    members = posts.select("key", "doc_id").unionByName(posts.select("key", F.col("hub").alias("doc_id")).distinct())
-    told = labelled(members, comp)
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    told = labelled(posts.join(rep_of, "doc_id").groupBy("key", F.col("rep").alias("doc_id")).agg(F.max("pop").alias("pop"), F.max(F.col("hub") == F.col("doc_id")).alias("done")))
     split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2").select("key")
     told = stage(told.join(split, "key", "left_semi"))
-    # hubs still to come: all but the members of the group's largest component and its first member, which is done
+    # hubs still to come: all but the members of the group's largest component and its first hub
     size = told.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = size.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("main"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
-    done = posts.select("key", F.col("hub").alias("doc_id")).distinct()
-    hubs = told.join(main, "key").where("component <> main").join(done, ["key", "doc_id"], "left_anti").withColumn("rank", rank)
-    hubs = stage(hubs.select("key", F.col("doc_id").alias("hub"), "rank"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id")) - 1
+    hubs = stage(told.join(main, "key").where("component <> main and not done").select("key", F.col("doc_id").alias("hub"), rank.alias("rank")))
+    members = stage(told.select("key", "doc_id").join(nodes, "doc_id"))
     most = hubs.agg(F.max("rank")).first()[0]
-    at = 0
+    at, step, tested = 0, HUBS, None
+    one = ["key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")]
+    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    fits = (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.size("sa") != F.size("sb")) | (7 * apart <= F.col("na") + F.col("nb")))
     while most is not None and at <= most:
-        now = labelled(told.select("key", "doc_id"), comp) if at else told
-        h = hubs.where(F.col("rank").between(at, at + HUBS - 1)).join(now.select("key", F.col("doc_id").alias("hub"), F.col("component").alias("hc")), ["key", "hub"])
-        pairs = h.join(now, "key").where("hc <> component").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-        new = _verified(_plausible(as_reps(pairs.distinct()), nodes), docs, k)
-        if new.limit(1).count():
+        now = labelled(members)
+        h = hubs.where(F.col("rank").between(at, at + step - 1)).select("key", F.col("hub").alias("doc_id")).join(now, ["key", "doc_id"])
+        h = h.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"))
+        pairs = h.join(now.select(*one).withColumnRenamed("key", "kb"), (F.col("key") == F.col("kb")) & fits)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stage(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        new = _verified(pairs, docs, k) if pairs.limit(1).count() else None
+        if new is not None and new.limit(1).count():
             links = stage(links.unionByName(new))
             comp = components(links)
-        at += HUBS
+        at, step = at + step, step * 4
     return links, comp

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, parity_join, sharding
+from . import packing, parity_join, search, sharding
 from .common import table
 
 
@@ -28,12 +28,20 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op5_parity_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op5_parity_join, op6_projected_neighbours, op9_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_parity_join": OP5_SQL}
+    return {"op5_parity_join": OP5_SQL, "op9_threshold_top_k": OP9_SQL}
 
 
 OP5_SQL = r"""
@@ -49,3 +57,14 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
+
+OP9_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
