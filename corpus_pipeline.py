@@ -1,11 +1,57 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences: five stages, each on what the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reprise.llm import mixing, packing, parity_join, secrets, toxicity
+from reprise.llm.common import stage, table
+from reprise.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the ordinal model doesn't find toxic."""
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).where(~F.col("_toxic")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; of repeated rows, one."""
+    kept = parity_join.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
+    whole = docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return whole
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in them replaced by a mark."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources repeat up to twice, in mixed order; no document is lost."""
+    return mixing.mixed(docs, most_repeats=2.0).orderBy("_block", "_slot").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.packed_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("secret scans", redact_secrets),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack),
+]
+#: SQL can express neither the fitted models nor the tokenizer; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs)
     return docs

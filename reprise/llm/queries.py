@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, parity_join, search, sharding
+from . import language, mixing, packing, parity_join, search, secrets, sharding, toxicity
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.with_held_out(table(spark, sf_dir, "documents"))
+
+
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -32,12 +40,20 @@ def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op5_parity_join, op6_projected_neighbours, op9_threshold_top_k)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_rank_order_language, op4_temperature_mixing, op5_parity_join, op6_projected_neighbours, op8_ordinal_toxicity, op9_threshold_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
