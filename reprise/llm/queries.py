@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, parity_join, search, secrets, sharding, toxicity
+from . import language, mixing, packing, parity_join, search, secrets, sharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_rank_order_language, op4_temperature_mixing, op5_parity_join, op6_projected_neighbours, op8_ordinal_toxicity, op9_threshold_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_rank_order_language, op4_temperature_mixing, op5_parity_join, op6_projected_neighbours, op7_suffix_dedup, op8_ordinal_toxicity, op9_threshold_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
