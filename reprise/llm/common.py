@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.staging import stage, unstage  # noqa: F401  for the operators
+
 U = np.uint64
 MASK = (1 << 64) - 1
 
@@ -19,53 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not hasattr(spark.sparkContext, "_reprise_dir"):
-        spark.sparkContext._reprise_dir = tempfile.mkdtemp(prefix="reprise-")
-    return f"file://{spark.sparkContext._reprise_dir}"
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stage(df: DataFrame, keep: bool = True) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    back = spark.read.schema(df.schema).parquet(path)
-    back._staged_at = path
-    return back
-
-
-def unstage(*frames: DataFrame | None) -> None:
-    """Delete what stage() wrote for these frames; only for intermediates nothing lazy still reads."""
-    for df in frames:
-        if df is not None and getattr(df, "_staged_at", None):
-            drop_path(df.sparkSession, df._staged_at)
-            _written[:] = [x for x in _written if x[1] != df._staged_at]
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), elementwise."""
     x = x.astype(U, copy=True)

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTE, SPACE, U, chunks, mix, stage, text_bytes, unstage, word_hashes
+from ..operators.graph import components
+from .common import SPACE, U, chunks, mix, stage, text_bytes, unstage, word_hashes
 
 CHUNK = 1 << 19
 CELLS = 1 << 16
@@ -230,8 +231,6 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
     """Go on with the groups whose members the first checks left in several components."""
-    from .components import components
-
     comp = components(links)
 
     def labelled(members: DataFrame) -> DataFrame:
