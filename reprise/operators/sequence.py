@@ -16,7 +16,8 @@ def frames(fingerprints: DataFrame, key: str = "episode_id") -> DataFrame:
 
 def text_frames(texts: DataFrame, key: str, k: int = S.SHINGLE_K) -> DataFrame:
     """Word shingles in order as frames; the value is the shingle's 32-bit md5 prefix."""
-    grams = texts.select(F.col(key).alias("episode_id"), F.posexplode(S.ordered_shingles(S.normalize_words(F.col("text")), k)).alias("frame", "_g"))
+    words = texts.select(F.col(key).alias("episode_id"), S.normalize_words(F.col("text")).alias("_w")).where(F.size("_w") >= k)
+    grams = words.select("episode_id", F.posexplode(S.ordered_shingles(F.col("_w"), k)).alias("frame", "_g"))
     return grams.select("episode_id", "frame", F.conv(F.substring(F.md5("_g"), 1, 8), 16, 10).cast("long").alias("value"))
 
 

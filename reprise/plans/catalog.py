@@ -1,9 +1,440 @@
 """Every query of the library by name, and the SQL that must agree with it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import scalars as S
+from ..operators import bytesdiff, campaigns, chapters, detect, graph, intervals, queues, sequence, text
+from ..sources import feeds as fs
+from . import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(*parts: str):
+    """Register a query under its function's name; the parts are views and a final SELECT in SQL, or nothing."""
+
+    def put(f: Query) -> Query:
+        name = f.__name__
+        _queries[name] = f
+        if parts:
+            _sql[name] = ("WITH " + ",\n".join(parts[:-1]) + "\n" if parts[:-1] else "") + parts[-1]
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+T = V.table
+ISLANDS = "SELECT {k}, {p}, sum(n) OVER (PARTITION BY {k} ORDER BY {p}) AS run FROM (SELECT {k}, {p}, CASE WHEN {p} - lag({p}) OVER (PARTITION BY {k} ORDER BY {p}) <= {g} THEN 0 ELSE 1 END AS n FROM {t})"
+
+# ------------------------------------------------------------------ text tier
+
+
+@query(f"SELECT doc_id, len({V.WORDS.format(t='text')}) AS words, array_to_string({V.WORDS.format(t='text')}, ' ') AS plain FROM documents")
+def normalize_words(spark, sf):
+    w = S.normalize_words(F.col("text"))
+    return T(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("words"), F.array_join(w, " ").alias("plain"))
+
+
+@query(V.SEG, V.SEGW, V.GRAMS, "SELECT episode_id, seg_idx, shingle FROM grams")
+def shingles(spark, sf):
+    return text.shingled(V.segments(spark, sf), ["episode_id", "seg_idx"])
+
+
+@query(V.SEG, V.SEGW, V.GRAMS, V.LIB, V.RATIO, "SELECT episode_id, seg_idx, grams, hits, ratio FROM ratio")
+def containment_ratio(spark, sf):
+    return text.containment(V.segments(spark, sf), V.library(spark, sf), ["episode_id", "seg_idx"])
+
+
+RUNS = "hit AS (SELECT episode_id, seg_idx FROM ratio WHERE ratio >= 0.4)", "isl AS (" + ISLANDS.format(k="episode_id", p="seg_idx", g=3, t="hit") + ")", 'runs AS (SELECT episode_id, min(seg_idx) AS "first", max(seg_idx) AS "last" FROM isl GROUP BY episode_id, run)'
+
+
+@query(V.SEG, V.SEGW, V.GRAMS, V.LIB, V.RATIO, *RUNS, """SELECT r.episode_id, r."first", r."last", a."start", b."end", 'repeat' AS source FROM runs r JOIN seg a ON a.episode_id = r.episode_id AND a.seg_idx = r."first" JOIN seg b ON b.episode_id = r.episode_id AND b.seg_idx = r."last" """)
+def repeat_detect(spark, sf):
+    return text.repeat_detect(V.segments(spark, sf), V.library(spark, sf))
+
+
+@query(V.SEG, V.SPANS, V.SEGW, V.GRAMS, """SELECT DISTINCT g.shingle FROM grams g JOIN seg s USING (episode_id, seg_idx) WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end")""")
+def text_library(spark, sf):
+    return text.text_library(V.segments(spark, sf), V.spans(spark, sf))
+
+
+# ------------------------------------------------------------------ intervals
+
+MERGED = """mk AS (SELECT user_id, "start", "end", CASE WHEN "start" <= max("end") OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM tl),
+mr AS (SELECT user_id, "start", "end", sum(n) OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS run FROM mk),
+merged AS (SELECT user_id, min("start") AS "start", max("end") AS "end" FROM mr GROUP BY user_id, run)"""
+
+
+@query(V.TIMELINE, MERGED, 'SELECT user_id, "start", "end" FROM merged')
+def merge_spans(spark, sf):
+    return intervals.merge_spans(V.timeline(spark, sf), ["user_id"])
+
+
+DAY = 86_400_000_000
+
+
+def _day(spark, sf):
+    tl = V.timeline(spark, sf).withColumns({"start": F.col("start") % DAY, "end": F.col("start") % DAY + F.col("end") - F.col("start")})
+    return tl, tl.select("user_id").distinct().withColumn("duration", F.lit(DAY))
+
+
+DAYTL = V.TIMELINE.replace("tl AS", "tl0 AS"), f"""tl AS (SELECT event_id, user_id, "start" % {DAY} AS "start", least("start" % {DAY} + "end" - "start", {DAY}) AS "end", source FROM tl0 WHERE "end" > "start")"""
+KEEP = f"""edges AS (SELECT user_id, "start", "end" FROM merged UNION ALL SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM tl0),
+keeps AS (SELECT user_id, "end" AS "start", coalesce(lead("start") OVER (PARTITION BY user_id ORDER BY "start"), {DAY}) AS "end" FROM edges)"""
+
+
+@query(*DAYTL, MERGED, KEEP, 'SELECT user_id, "start", "end" FROM keeps WHERE "end" > "start"')
+def keep_spans(spark, sf):
+    tl, days = _day(spark, sf)
+    return intervals.keep_spans(tl, days, "user_id")
+
+
+@query(*DAYTL, MERGED, KEEP, f"""SELECT user_id, CAST({DAY} AS BIGINT) AS duration, CAST({DAY} - sum("end" - "start") AS BIGINT) AS ad_seconds, ({DAY} - sum("end" - "start")) / CAST({DAY} AS DOUBLE) > 0.35 AS anomalous FROM keeps WHERE "end" > "start" GROUP BY user_id""")
+def cut_plan(spark, sf):
+    tl, days = _day(spark, sf)
+    return intervals.with_anomaly(intervals.ad_seconds(intervals.keep_spans(tl, days, "user_id"), days, "user_id"))
+
+
+@query(*DAYTL, MERGED, KEEP, f"""g AS (SELECT user_id, "start", least(60000000, "end" - "start") AS l FROM keeps WHERE "end" - "start" >= 10000000)""", """t AS (SELECT user_id, "start", least(l, 180000000 - coalesce(sum(l) OVER (PARTITION BY user_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM g)""", 'SELECT user_id, "start", CAST("start" + t AS BIGINT) AS "end" FROM t WHERE t >= 10000000')
+def gap_windows(spark, sf):
+    tl, days = _day(spark, sf)
+    return intervals.gap_windows(intervals.keep_spans(tl, days, "user_id"), "user_id", 180_000_000, 60_000_000, 10_000_000)
+
+
+@query(V.SPANS, """c AS (SELECT * FROM spans WHERE source IN ('chapter', 'llm', 'manual', 'repeat', 'fpmatch')), e AS (SELECT episode_id, unnest(["start", "end"]) AS edge FROM spans WHERE source = 'recur'),
+m AS (SELECT c.id, min(CASE WHEN edge BETWEEN c."start" AND c."start" + 2.5 THEN edge END) AS s, max(CASE WHEN edge BETWEEN c."end" - 2.5 AND c."end" THEN edge END) AS e FROM c JOIN e ON e.episode_id = c.episode_id GROUP BY c.id)""",
+'SELECT c.id AS span_id, c.episode_id, CASE WHEN coalesce(m.e, c."end") > coalesce(m.s, c."start") THEN coalesce(m.s, c."start") ELSE c."start" END AS "start", CASE WHEN coalesce(m.e, c."end") > coalesce(m.s, c."start") THEN coalesce(m.e, c."end") ELSE c."end" END AS "end" FROM c LEFT JOIN m ON m.id = c.id')
+def snap_inward(spark, sf):
+    s = V.spans(spark, sf)
+    cut = s.where(F.col("source").isin(*S.CUT_SOURCES)).select(F.col("id").alias("span_id"), "episode_id", "start", "end")
+    return intervals.snap_inward(cut, s.where("source = 'recur'"), "episode_id")
+
+
+@query(V.SEG, V.SPANS, 'SELECT s.episode_id, s.seg_idx, x.id AS span_id, x.source FROM seg s JOIN spans x ON x.episode_id = s.episode_id AND s."end" > x."start" AND s."start" < x."end"')
+def overlap_join(spark, sf):
+    return intervals.overlap_join(V.segments(spark, sf), V.spans(spark, sf), "episode_id", bucket=60.0).select("episode_id", "seg_idx", F.col("id").alias("span_id"), "source")
+
+
+@query(V.SEG, V.SPANS, 'SELECT s.episode_id, s.seg_idx FROM seg s WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND s."end" > x."start" AND s."start" < x."end")')
+def covered_segments(spark, sf):
+    return intervals.covered_segments(V.segments(spark, sf), V.spans(spark, sf)).select("episode_id", "seg_idx")
+
+
+@query(V.SEG, V.SPANS, """w AS (SELECT episode_id, "start", "end", len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM seg WHERE seg_idx % 3 = 0 AND episode_id % 2 = 0),
+t AS (SELECT x.id, x.episode_id, coalesce(sum(w.n), 0) AS words FROM spans x LEFT JOIN w ON w.episode_id = x.episode_id AND w."end" > x."start" AND w."start" < x."end" GROUP BY ALL)""", "SELECT id, episode_id FROM t WHERE words >= 5 OR episode_id NOT IN (SELECT episode_id FROM w)")
+def speech_filter(spark, sf):
+    seg = V.segments(spark, sf).where("seg_idx % 3 = 0 and episode_id % 2 = 0")
+    return intervals.speech_filter(V.spans(spark, sf), seg).select("id", "episode_id")
+
+
+@query(V.SEG, "h AS (SELECT DISTINCT episode_id, seg_idx FROM seg WHERE length(text) % 3 = 0)", "isl AS (" + ISLANDS.format(k="episode_id", p="seg_idx", g=3, t="h") + ")", 'SELECT episode_id, min(seg_idx) AS "first", max(seg_idx) AS "last", count(*) AS members FROM isl GROUP BY episode_id, run HAVING max(seg_idx) - min(seg_idx) + 1 >= 3')
+def group_runs(spark, sf):
+    return intervals.group_runs(V.segments(spark, sf).where(F.length("text") % 3 == 0), ["episode_id"], "seg_idx", 2, 3)
+
+
+# ------------------------------------------------------------------ sequence tier
+
+N = "n AS (SELECT count(DISTINCT episode_id) AS n FROM fr)"
+STOP = "st AS (SELECT value, count(DISTINCT episode_id) AS episodes FROM fr GROUP BY value HAVING count(DISTINCT episode_id) > {f} * (SELECT n FROM n))"
+
+
+@query(V.FRAMES, "SELECT episode_id, frame, value FROM fr")
+def value_frames(spark, sf):
+    return V.doc_frames(spark, sf)
+
+
+@query(V.FRAMES, N, STOP.format(f=0.05), "SELECT value, episodes FROM st")
+def doc_frequency_stop(spark, sf):
+    return sequence.frequent_values(V.doc_frames(spark, sf), 0.05)
+
+
+@query(V.FRAMES, N, STOP.format(f=0.02), "ed AS (SELECT DISTINCT value FROM fr WHERE episode_id % 3 = 0)", "SELECT st.value FROM st WHERE st.value IN (SELECT value FROM ed)")
+def editorial_veto(spark, sf):
+    f = V.doc_frames(spark, sf)
+    return sequence.stop_values(sequence.frequent_values(f, 0.02), f.where("episode_id % 3 = 0"))
+
+
+VOTES = "pr AS (SELECT q.episode_id, q.frame, l.episode_id AS other, l.frame AS other_frame FROM fr q JOIN lf l ON l.value = q.value)", 'vt AS (SELECT episode_id, other, frame - other_frame AS "offset", count(*) AS votes FROM pr GROUP BY 1, 2, 3 HAVING count(*) >= 20)'
+
+
+@query(V.FRAMES, V.LIBFRAMES, *VOTES, 'SELECT episode_id, other, "offset", votes FROM vt')
+def diagonal_vote(spark, sf):
+    return sequence.diagonal_vote(sequence.value_pairs(V.doc_frames(spark, sf), V.library_frames(spark, sf)), 20)
+
+
+HITS = 'h AS (SELECT DISTINCT p.episode_id, p.frame FROM pr p JOIN vt v ON v.episode_id = p.episode_id AND v.other = p.other AND v."offset" = p.frame - p.other_frame)', "isl AS (" + ISLANDS.format(k="episode_id", p="frame", g=17, t="h") + ")", 'rg AS (SELECT episode_id, min(frame) AS "first", max(frame) AS "last", count(*) AS members FROM isl GROUP BY episode_id, run HAVING max(frame) - min(frame) + 1 >= {floor})'
+
+
+@query(V.FRAMES, V.LIBFRAMES, *VOTES, *[h.format(floor=20) for h in HITS], 'SELECT episode_id, "first", "last", members FROM rg')
+def match_regions(spark, sf):
+    return sequence.match_regions(V.doc_frames(spark, sf), V.library_frames(spark, sf), None, 20, 20)
+
+
+def _sizes(spark, sf):
+    f = V.doc_frames(spark, sf).groupBy("episode_id").agg(F.count("*").alias("frames"))
+    return f.withColumn("duration", F.col("frames") / 8)
+
+
+@query(V.FRAMES, V.LIBFRAMES, *VOTES, *[h.format(floor=20) for h in HITS], """SELECT episode_id, "first" / 8.0::DOUBLE AS "start", ("last" + 1) / 8.0::DOUBLE AS "end", 'fpmatch' AS source FROM rg""")
+def fp_detect(spark, sf):
+    regions = sequence.match_regions(V.doc_frames(spark, sf), V.library_frames(spark, sf), None, 20, 20)
+    return sequence.spans_of_regions(regions, _sizes(spark, sf))
+
+
+SELF = "pr AS (SELECT q.episode_id, q.frame, l.episode_id AS other, l.frame AS other_frame FROM fr q JOIN fr l ON l.value = q.value AND l.episode_id <> q.episode_id WHERE q.value NOT IN (SELECT value FROM st))", 'vt AS (SELECT episode_id, other, frame - other_frame AS "offset", count(*) AS votes FROM pr GROUP BY 1, 2, 3 HAVING count(*) >= 40)'
+
+
+@query(V.FRAMES, N, STOP.format(f=0.05), *SELF, *[h.format(floor=80) for h in HITS], 'SELECT episode_id, "first", "last", members FROM rg')
+def discover_recurring(spark, sf):
+    return sequence.discover_recurring(V.doc_frames(spark, sf), 0.05)
+
+
+@query()
+def find_campaigns(spark, sf):
+    f = V.doc_frames(spark, sf)
+    runs, links = campaigns.run_links(f, 0.05)
+    truth = sequence.match_regions(f, V.library_frames(spark, sf), None, 20, 20)
+    n = T(spark, sf, "documents").count()
+    return campaigns.campaign_summary(runs, links, truth, n)
+
+
+@query("e AS (SELECT o_custkey AS a, o_orderkey + 1000000000 AS b FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT l_partkey + 2000000000, l_orderkey + 1000000000 FROM lineitem WHERE l_orderkey % 9 = 0 AND l_linenumber = 1)".replace("e AS (", "e AS (", 1),
+"u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT 1)", "SELECT node, component FROM (WITH RECURSIVE r AS (SELECT a AS node, a AS x FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.x) SELECT node, min(x) AS component FROM r GROUP BY node)")
+def connected_components(spark, sf):
+    o, li = T(spark, sf, "orders"), T(spark, sf, "lineitem")
+    e = o.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1000000000).alias("b"))
+    e = e.unionByName(li.where("l_orderkey % 9 = 0 and l_linenumber = 1").select((F.col("l_partkey") + 2000000000).alias("a"), (F.col("l_orderkey") + 1000000000).alias("b")))
+    return graph.components(e)
+
+
+@query()
+def greedy_set_cover(spark, sf):
+    li = T(spark, sf, "lineitem").join(T(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return campaigns.greedy_set_cover(li.select(F.col("p_brand").alias("item"), F.col("l_suppkey").alias("owner")))
+
+
+# ------------------------------------------------------------------ queues and tables
+
+EP = (V.EPISODES,)
+
+
+def _pending(name, where_sql, build, *views):
+    def f(spark, sf):
+        return build(V.episodes(spark, sf), V.spans(spark, sf)).select("id", "feed_id")
+
+    f.__name__ = name
+    query(*EP, *views, f"SELECT id, feed_id FROM episodes WHERE {where_sql}")(f)
+
+
+_pending("pending_chapters", "chapters_url IS NOT NULL AND chapters_scanned_at IS NULL", lambda e, s: queues.pending_chapters(e))
+_pending("pending_transcribe", "transcript_path IS NULL AND audio_url IS NOT NULL AND audio_gone_at IS NULL AND id NOT IN (SELECT episode_id FROM spans WHERE source = 'chapter') ORDER BY id LIMIT 40", lambda e, s: queues.pending_transcribe(e, s, 40), V.SPANS)
+_pending("pending_detect", "transcript_path IS NOT NULL AND llm_detected_at IS NULL", lambda e, s: queues.pending_detect(e, 0))
+_pending("pending_cut", "cut_path IS NULL AND cut_held_at IS NULL AND id IN (SELECT episode_id FROM spans WHERE source IN ('chapter', 'llm', 'manual', 'repeat', 'fpmatch'))", lambda e, s: queues.pending_cut(e, s), V.SPANS)
+_pending("pending_index", "audio_url IS NOT NULL AND id NOT IN (SELECT episode_id FROM spans WHERE source = 'dai') AND id % 2 = 0", lambda e, s: queues.pending_index(e, s.where("source = 'dai'"), F.col("audio_url").isNotNull(), e.where("id % 2 = 0").select("id")), V.SPANS)
+_pending("pending_stream_index", "audio_url IS NOT NULL AND audio_gone_at IS NULL AND id NOT IN (SELECT episode_id FROM spans WHERE source = 'fpmatch')", lambda e, s: queues.pending_index(e, s.where("source = 'fpmatch'"), F.expr("audio_url is not null and audio_gone_at is null")), V.SPANS)
+
+
+@query(V.EPISODES, "SELECT id, CASE WHEN id % 4 = 0 THEN '2026-02-01T00:00:00Z' ELSE audio_gone_at END AS audio_gone_at FROM episodes")
+def mark_audio_gone(spark, sf):
+    return queues.stamped(V.episodes(spark, sf), S.is_audio_gone(F.when(F.col("id") % 4 == 0, 404).otherwise(403)), audio_gone_at=F.lit("2026-02-01T00:00:00Z")).select("id", "audio_gone_at")
+
+
+@query(V.EPISODES, "SELECT id, CASE WHEN id % 26 = 0 THEN NULL ELSE cut_path END AS cut_path, CASE WHEN id % 26 = 0 THEN '2026-02-01T00:00:00Z' ELSE cut_held_at END AS cut_held_at FROM episodes")
+def hold_cut(spark, sf):
+    return queues.hold_cut(V.episodes(spark, sf), F.col("id") % 26 == 0, F.lit("2026-02-01T00:00:00Z")).select("id", "cut_path", "cut_held_at")
+
+
+@query(V.FEEDS, V.EPISODES, V.SPANS, """SELECT 'feeds' AS what, count(*) AS n FROM feeds UNION ALL SELECT 'episodes', count(*) FROM episodes UNION ALL SELECT 'transcribed', count(transcript_path) FROM episodes UNION ALL SELECT 'cut', count(cut_path) FROM episodes UNION ALL SELECT 'source ' || source, count(*) FROM spans GROUP BY source""")
+def stats(spark, sf):
+    return queues.stats(V.feeds(spark, sf), V.episodes(spark, sf), V.spans(spark, sf))
+
+
+COUNTS = "tc AS (SELECT e.id, e.feed_id, count(s.episode_id) AS n FROM episodes e LEFT JOIN spans s ON s.episode_id = e.id AND s.source IN ('chapter', 'llm', 'manual') WHERE e.llm_detected_at IS NOT NULL GROUP BY 1, 2)"
+MEDIANS = "md AS (SELECT feed_id, median(n) AS median, count(*) AS episodes FROM tc GROUP BY feed_id HAVING count(*) >= 3)"
+
+
+@query(V.EPISODES, V.SPANS, COUNTS, "SELECT id, feed_id, n FROM tc")
+def truth_counts(spark, sf):
+    return queues.truth_counts(V.episodes(spark, sf), V.spans(spark, sf))
+
+
+@query(V.EPISODES, V.SPANS, COUNTS, MEDIANS, "SELECT feed_id, median, episodes FROM md")
+def median_per_show(spark, sf):
+    return queues.median_per_show(queues.truth_counts(V.episodes(spark, sf), V.spans(spark, sf)))
+
+
+@query(V.EPISODES, V.SPANS, COUNTS, MEDIANS, "f AS (SELECT episode_id AS id, count(*) AS n FROM spans WHERE source = 'repeat' GROUP BY 1)",
+"SELECT p.id, p.feed_id, abs(coalesce(f.n, 0) - md.median) AS diff, CAST(row_number() OVER (ORDER BY md.median IS NULL, abs(coalesce(f.n, 0) - md.median) DESC NULLS LAST, p.id) AS INT) AS place FROM episodes p LEFT JOIN f ON f.id = p.id LEFT JOIN md ON md.feed_id = p.feed_id WHERE p.transcript_path IS NOT NULL AND p.llm_detected_at IS NULL")
+def prioritize_queue(spark, sf):
+    e, s = V.episodes(spark, sf), V.spans(spark, sf)
+    found = s.where("source = 'repeat'").groupBy(F.col("episode_id").alias("id")).agg(F.count("*").alias("n"))
+    return queues.prioritize(queues.pending_detect(e), found, queues.median_per_show(queues.truth_counts(e, s)))
+
+
+@query(V.SPANS, "x AS (SELECT DISTINCT episode_id FROM spans WHERE source = 'repeat' AND episode_id % 2 = 0)", """SELECT id, episode_id, "start", "end", source FROM spans WHERE NOT (source = 'fpmatch' AND episode_id IN (SELECT episode_id FROM x)) UNION ALL SELECT id, episode_id, "start", "end", 'fpmatch' FROM spans WHERE source = 'repeat' AND episode_id % 2 = 0""")
+def replace_tier_spans(spark, sf):
+    s = V.spans(spark, sf)
+    return queues.replace_tier(s, s.where("source = 'repeat' and episode_id % 2 = 0").drop("source"), "fpmatch")
+
+
+@query(V.FEEDS, "u AS (SELECT DISTINCT 'https://f/' || (s_suppkey % 40) AS source_url FROM supplier WHERE 'https://f/' || (s_suppkey % 40) NOT IN (SELECT source_url FROM feeds))", "SELECT id, source_url FROM feeds UNION ALL SELECT (SELECT max(id) FROM feeds) + row_number() OVER (ORDER BY source_url), source_url FROM u")
+def feed_register(spark, sf):
+    urls = T(spark, sf, "supplier").select(F.concat(F.lit("https://f/"), (F.col("s_suppkey") % 40).cast("string")).alias("source_url"))
+    return queues.register(V.feeds(spark, sf), urls).select("id", "source_url")
+
+
+@query(V.FEEDS, "SELECT id, CASE WHEN id % 2 = 0 THEN 'R' || id ELSE title END AS title FROM feeds")
+def feed_refresh(spark, sf):
+    f = V.feeds(spark, sf)
+    new = f.select("source_url", F.when(F.col("id") % 2 == 0, F.concat(F.lit("R"), F.col("id").cast("string"))).alias("title"))
+    return queues.refresh(f, new, ("title",)).select("id", "title")
+
+
+@query("inc AS (SELECT * FROM (SELECT o_custkey AS k, o_orderstatus AS s, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1)",
+"SELECT coalesce(c.c_custkey, i.k) AS k, CASE WHEN i.k IS NOT NULL THEN i.s ELSE c.s END AS s, CASE WHEN c.c_custkey IS NULL THEN 'inserted' WHEN i.k IS NOT NULL AND i.s IS DISTINCT FROM c.s THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'O' ELSE 'F' END AS s FROM customer WHERE c_custkey % 4 <> 0) c FULL JOIN inc i ON i.k = c.c_custkey")
+def episode_upsert(spark, sf):
+    k = F.col("c_custkey")
+    old = T(spark, sf, "customer").where(k % 4 != 0).select(k.alias("k"), F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, "O").otherwise("F").alias("s"))
+    new = T(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderkey").alias("pos"))
+    return queues.upsert(old, new, ["k"], ("s",), "pos")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1")
+def dedupe_first(spark, sf):
+    return queues.dedupe_first(T(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query(V.EPISODES, "SELECT id, pubdate, CAST(row_number() OVER (ORDER BY pubdate DESC NULLS LAST, id) AS INT) AS place FROM episodes WHERE feed_id = 3")
+def feed_episodes(spark, sf):
+    from pyspark.sql import Window
+
+    e = V.episodes(spark, sf).where("feed_id = 3")
+    return e.select("id", "pubdate", F.row_number().over(Window.orderBy(F.desc_nulls_last("pubdate"), "id")).alias("place"))
+
+
+# ------------------------------------------------------------------ sources, sinks, scalars
+
+
+@query("d AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 3) || ':' || (event_id % 59) || ':' || (event_id % 57) WHEN 1 THEN (event_id % 90) || ':' || (event_id % 60) WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN 'bogus' WHEN 4 THEN (event_id % 77) || '.75' END AS raw FROM events)",
+"SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN event_id % 3 * 3600 + event_id % 59 * 60 + event_id % 57 WHEN 1 THEN event_id % 90 * 60 + event_id % 60 WHEN 2 THEN event_id WHEN 4 THEN event_id % 77 END AS INT) AS seconds FROM d")
+def parse_duration(spark, sf):
+    e = F.col("event_id")
+    s = lambda m: (e % m).cast("string")
+    raw = F.when(e % 6 == 0, F.concat_ws(":", s(3), s(59), s(57))).when(e % 6 == 1, F.concat_ws(":", s(90), s(60))).when(e % 6 == 2, e.cast("string")).when(e % 6 == 3, "bogus").when(e % 6 == 4, F.concat(s(77), F.lit(".75")))
+    return T(spark, sf, "events").select("event_id", S.parse_duration(raw).alias("seconds"))
+
+
+@query("SELECT p_partkey, regexp_matches(p_type, '(?i)\\b(ad|ads|advert|advertisement|sponsor|sponsors|sponsored|promo)\\b') AS hit FROM part")
+def keyword_match(spark, sf):
+    return T(spark, sf, "part").select("p_partkey", S.keyword_match(F.col("p_type")).alias("hit"))
+
+
+@query("SELECT o_orderkey, CAST((o_orderkey + 4294967000) & 4294967295 AS BIGINT) + o_custkey AS total, CAST(2 AS BIGINT) AS frames FROM orders")
+def parse_fingerprint(spark, sf):
+    raw = F.concat((F.col("o_orderkey") + 4294967000).cast("string"), F.lit(",,"), F.col("o_custkey").cast("string"), F.lit(","))
+    fp = S.parse_fingerprint(raw)
+    return T(spark, sf, "orders").select("o_orderkey", F.aggregate(fp, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(fp).cast("long").alias("frames"))
+
+
+@query("SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return T(spark, sf, "events").select("user_id", "event_id", F.from_json("props", "k LONG")["k"].alias("k"))
+
+
+@query('c AS (SELECT event_id % 500 AS episode_id, event_id, CAST(event_id % 4000 AS DOUBLE) / 4 AS s, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 4000 + 40 AS DOUBLE) / 4 END AS e, event_type || CASE WHEN event_id % 3 = 0 THEN \' Sponsor break\' ELSE \' talk\' END AS title FROM events)',
+"x AS (SELECT *, lead(s) OVER (PARTITION BY episode_id ORDER BY event_id) AS nxt FROM c)", V.EPISODES, """SELECT x.episode_id, x.s AS "start", coalesce(x.e, x.nxt, p.duration) AS "end", 'chapter' AS source, x.title AS reason FROM x LEFT JOIN episodes p ON p.id = x.episode_id WHERE coalesce(x.e, x.nxt, p.duration) IS NOT NULL AND regexp_matches(x.title, '(?i)\\b(ad|ads|advert|advertisement|sponsor|sponsors|sponsored|promo)\\b')""")
+def chapters_tier(spark, sf):
+    e = F.col("event_id")
+    one = F.struct(e.alias("_o"), (e % 4000 / 4).alias("startTime"), F.concat(F.col("event_type"), F.when(e % 3 == 0, " Sponsor break").otherwise(" talk")).alias("title"), F.when(e % 5 == 0, (e % 4000 + 40) / 4).alias("endTime"))
+    raw = T(spark, sf, "events").groupBy((e % 500).alias("episode_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("chapters"))).alias("json"))
+    return chapters.chapters_tier(fs.chapters_of(raw, "episode_id", "json"), V.episodes(spark, sf).withColumnRenamed("duration", "duration_seconds"))
+
+
+@query("SELECT conv_id AS episode_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS seg_idx, CAST(turn AS DOUBLE) AS \"start\", CAST(turn + 1 AS DOUBLE) AS \"end\", text FROM conversations")
+def scan_transcript(spark, sf):
+    one = F.struct("turn", "role", F.col("text").alias("_t"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
+    arr = F.array_sort(F.collect_list(one))
+    raw = T(spark, sf, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg(arr.alias("a"))
+    js = F.when(F.col("episode_id") % 2 == 0, F.to_json("a")).otherwise(F.to_json(F.struct(F.col("a").alias("segments"))))
+    return fs.transcript_of(raw.select("episode_id", js.alias("j")), "episode_id", F.col("j"))
+
+
+@query("SELECT user_id, CAST(event_id AS DOUBLE) / 4 AS \"start\", CAST(event_id + 3 AS DOUBLE) / 4 AS \"end\" FROM events WHERE event_id % 4 <> 0")
+def silence_scan(spark, sf):
+    e = F.col("event_id")
+    text_ = F.when(F.col("half") == 0, F.concat(F.lit("[x] silence_start: "), (e / 4).cast("string"))).otherwise(F.concat(F.lit("[x] silence_end: "), ((e + 3) / 4).cast("string"), F.lit(" | silence_duration: 0.75")))
+    lines = T(spark, sf, "events").select("user_id", "event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).where((e % 4 != 0) | (F.col("half") == 0)).select("user_id", (e * 2 + F.col("half")).alias("pos"), text_.alias("line"))
+    return fs.silences_of(lines, ["user_id"], "pos", "line")
+
+
+@query("SELECT page_id, url || '.mp3' AS audio_url, CASE WHEN page_id % 2 = 0 THEN url ELSE url || '/h' END AS chapters_url FROM pages")
+def rss_enclosure(spark, sf):
+    enc = lambda u, t: F.struct(u.alias("_url"), F.lit(t).alias("_type"))
+    u = F.col("url")
+    ch = F.struct(F.when(F.col("page_id") % 2 == 0, u).otherwise(F.lit("")).alias("_url"), F.concat(u, F.lit("/h")).alias("_href"))
+    return T(spark, sf, "pages").select("page_id", fs.audio_url(F.array(enc(u, "text/html"), enc(F.lit(""), "audio/ogg"), enc(F.concat(u, F.lit(".mp3")), "audio/mpeg"))).alias("audio_url"), fs.chapters_url(ch).alias("chapters_url"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS pubdate FROM orders")
+def rss_pubdate(spark, sf):
+    return T(spark, sf, "orders").select("o_orderkey", fs.pubdate(F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss Z")).alias("pubdate"))
+
+
+@query(V.EPISODES, """SELECT feed_id, id, pubdate, '<item><title>' || CASE WHEN title IS NULL THEN '(untitled)' ELSE replace(title, '&', '&amp;') END || '</title><guid>' || guid || '</guid><enclosure url="' || CASE WHEN cut_path IS NOT NULL THEN 'http://h/audio/' || id || '.mp3' ELSE audio_url END || '" type="audio/mpeg"/></item>' AS xml FROM episodes WHERE audio_url IS NOT NULL""")
+def emit_rss(spark, sf):
+    return fs.rss_items(V.episodes(spark, sf), "http://h")
+
+
+# ------------------------------------------------------------------ bytes and model chunks
+
+
+@query("p AS (SELECT a.doc_id AS episode_id, a.text AS a, b.text AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)", "n AS (SELECT episode_id, encode(a) AS x, encode(b) AS y FROM p)",
+"SELECT episode_id, (SELECT min(i) - 1 FROM range(1, least(octet_length(x), octet_length(y)) + 1) t(i) WHERE x[i:i] <> y[i:i]) AS divergence_byte FROM n")
+def first_divergence(spark, sf):
+    return V.text_pairs(spark, sf).select("episode_id", bytesdiff.first_divergence("a", "b").alias("divergence_byte"))
+
+
+del _sql["first_divergence"]  # DuckDB can't index blobs; tests compare it with a plain loop
+
+
+@query()
+def dai_tier(spark, sf):
+    pairs = V.text_pairs(spark, sf)
+    probe = bytesdiff.probe_variance(pairs, 1 << 10, 1 << 14, 64, 16)
+    return bytesdiff.dai_spans(probe, pairs.select("episode_id", F.octet_length("a").alias("size"), (F.octet_length("a") / 16).alias("duration")))
+
+
+@query("p AS (SELECT event_id AS episode_id, event_id * 7919 % 900000 AS d, event_id * 7919 % 900000 + event_id * 101 % 400000 AS r FROM events WHERE event_id % 5 <> 0)",
+"s AS (SELECT episode_id, d / 1000.0::DOUBLE + 2 AS s, least(r / 1000.0::DOUBLE - 2, d / 1000.0::DOUBLE + 2 + 240, 1000) AS e FROM p)", "SELECT episode_id, CASE WHEN e - s >= 8 THEN s END AS \"start\", CASE WHEN e - s >= 8 THEN e END AS \"end\", CASE WHEN e - s >= 8 THEN 0.5::DOUBLE END AS confidence, CASE WHEN e - s < 8 THEN 'too short' END AS reject FROM s UNION ALL SELECT event_id, NULL, NULL, NULL, 'no divergence' FROM events WHERE event_id % 5 = 0")
+def bytes_to_seconds(spark, sf):
+    e = F.col("event_id")
+    p = T(spark, sf, "events").select(e.alias("episode_id"), F.when(e % 5 != 0, e * 7919 % 900000).alias("divergence_byte"), F.when(e % 5 != 0, e * 7919 % 900000 + e * 101 % 400000).alias("reconvergence_byte"))
+    return bytesdiff.dai_spans(p, p.select("episode_id", F.lit(1000000).alias("size"), F.lit(1000.0).alias("duration")))
+
+
+@query()
+def greedy_chunks(spark, sf):
+    seg = V.segments(spark, sf)
+    return detect.chunks(seg, intervals.covered_segments(seg, V.spans(spark, sf)), 2000)
+
+
+@query(V.SEG, 'a AS (SELECT event_id % 997 AS episode_id, CAST(event_id % 9 AS INT) AS f, CAST(event_id % 13 AS INT) AS l, event_type FROM events)', """SELECT a.episode_id, s."start", e."end", 'llm' AS source, a.event_type AS reason FROM a JOIN seg s ON s.episode_id = a.episode_id AND s.seg_idx = a.f JOIN seg e ON e.episode_id = a.episode_id AND e.seg_idx = a.l WHERE a.f <= a.l""")
+def span_grounding(spark, sf):
+    e = F.col("event_id")
+    a = T(spark, sf, "events").select((e % 997).alias("episode_id"), (e % 9).cast("int").alias("first"), (e % 13).cast("int").alias("last"), F.concat(F.lit(" "), F.col("event_type")).alias("reason"))
+    return detect.grounded(a, V.segments(spark, sf))
