@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Results must use these.
 SHINGLE_K, MATCH_THRESHOLD, BRIDGE_GAP = 5, 0.4, 2
@@ -93,7 +94,7 @@ def split_sources(arg: Column) -> Column:
     return F.filter(F.transform(F.split(arg, ","), F.trim), lambda x: x != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def render_segment(idx: pd.Series, start: pd.Series, end: pd.Series, text: pd.Series) -> pd.Series:
     """"[i] s-e: text" with one decimal, halves to even, as a prompt shows it."""
     return pd.Series([f"[{i}] {s:.1f}-{e:.1f}: {t}" for i, s, e, t in zip(idx, start, end, text)])

@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def first_divergence(a: pd.Series, b: pd.Series) -> pd.Series:
     """The first byte that differs within the common length, null if none."""
     def one(x, y):
