@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import stage, unstage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE = 400_000
+CACHE = 600_000
 BUCKETS = 1024
 
 
@@ -38,20 +38,30 @@ def _tokenised(tokenizer_path: str, capacity: int, end_id: int):
         # A single space after a non-space always begins a new pre-token, so the stretches between such spaces are
         # tokenised apart, each once, and their ids kept as packed bytes.
         uneven, apart = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-        known: tuple[dict, dict] = ({}, {})
+        # For stretches with and without a leading space: those met lately, and those met before them. What is met again
+        # moves up, so frequent stretches stay known and memory stays bounded.
+        young: list[dict] = [{}, {}]
+        old: list[dict] = [{}, {}]
         end = np.array([end_id], "<u4").tobytes()
 
-        def learn(which: int, missing: set) -> None:
-            if len(known[which]) + len(missing) > CACHE:
-                known[which].clear()
-            words = list(missing)
-            for w, e in zip(words, tok.encode_batch_fast([" " + w for w in words] if which else words, add_special_tokens=False)):
-                known[which][w] = np.array(e.ids, "<u4").tobytes()
+        def learn(which: int, want: set) -> None:
+            if len(young[which]) > CACHE // 2:
+                old[which], young[which] = young[which], {}
+            now, before = young[which], old[which]
+            new = []
+            for w in want.difference(now):
+                ids = before.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    now[w] = ids
+            for w, e in zip(new, tok.encode_batch_fast([" " + w for w in new] if which else new, add_special_tokens=False)):
+                now[w] = np.array(e.ids, "<u4").tobytes()
 
         def packed(text: str, parts: list[str], plain: bool) -> bytes:
             if plain:
-                return known[0][parts[0]] + b"".join(map(known[1].__getitem__, parts[1:])) + end
-            return b"".join(map(known[0].__getitem__, parts)) + end
+                return young[0][parts[0]] + b"".join(map(young[1].__getitem__, parts[1:])) + end
+            return b"".join(map(young[0].__getitem__, parts)) + end
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -65,15 +75,7 @@ def _tokenised(tokenizer_path: str, capacity: int, end_id: int):
                     want: set = set()
                     for _, parts, plain in cut:
                         want.update((parts[1:] if which else parts[:1]) if plain else ([] if which else parts))
-                    want.difference_update(known[which])
-                    if want:
-                        before = len(known[which])
-                        learn(which, want)
-                        if len(known[which]) < before + len(want):  # it was cleared: learn all of this slice again
-                            again: set = set()
-                            for _, parts, plain in cut:
-                                again.update((parts[1:] if which else parts[:1]) if plain else ([] if which else parts))
-                            learn(which, again.difference(known[which]))
+                    learn(which, want)
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, (t, parts, plain) in zip(ids[lo : lo + 128], cut):
                     raw = memoryview(packed(t, parts, plain))
