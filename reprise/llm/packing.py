@@ -18,72 +18,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import chunks, stage, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE = 600_000
+CACHE = 1_000_000
+CACHE_BYTES = 1 << 26
+CHUNK = 1 << 23
 BUCKETS = 1024
 
+#: Classes of bytes, for the places where a text can be cut without changing its tokens.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+WHITE = np.zeros(256, bool)
+WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: ASCII marks and digits; the apostrophe is left out, as it begins contractions.
+MARK = np.zeros(256, bool)
+MARK[33:127] = True
+MARK[39] = False
+MARK &= ~LETTER
 
-def _tokenised(tokenizer_path: str, capacity: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pre-tokens surely begin, row starts included: byte places that cut the rows into stretches to tokenise apart.
+
+    A letter run is a pre-token's end, so what follows an ASCII letter and isn't one begins the next, and so does a
+    letter after an ASCII mark or digit. White space after something else begins one too. A letter after a line feed
+    begins one, and the stretch before keeps its tokens if the line feed stands alone.
+    """
+    begins = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        letter, white, ascii_ = LETTER[data], WHITE[data], data < 128
+        solid = ascii_ & ~white  # before white space; some white space is longer in UTF-8, so other characters need a look
+        last = data >= 128
+        if last.any():
+            third = np.zeros(len(data), bool)
+            third[2:] = (data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)
+            second = np.zeros(len(data), bool)
+            second[1:] = (data[:-1] == 0xC2) | (data[:-1] >= 0xE1)
+            solid |= last & ~third & ~second
+        begins[1:-1] = (solid[:-1] & white[1:]) | (letter[:-1] & ascii_[1:] & ~letter[1:]) | (MARK[data[:-1]] & letter[1:])
+        begins[2:-1] |= (ascii_[:-2] & ~white[:-2]) & (data[1:-1] == 10) & letter[2:]
+    begins[at] = True
+    return np.flatnonzero(begins)
+
+
+class Encoder:
+    """The ids of many stretches of text, each distinct one tokenised once while it is kept.
+
+    Beyond CACHE stretches or CACHE_BYTES of them only those of the latest batch stay, and the frequent ones are among
+    them, so memory stays bounded.
+    """
+
+    def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True
-        # A single space after a non-space always begins a new pre-token, so the stretches between such spaces are
-        # tokenised apart, each once, and their ids kept as packed bytes.
-        uneven, apart = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-        # For stretches with and without a leading space: those met lately, and those met before them. What is met again
-        # moves up, so frequent stretches stay known and memory stays bounded.
-        young: list[dict] = [{}, {}]
-        old: list[dict] = [{}, {}]
-        end = np.array([end_id], "<u4").tobytes()
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.known: dict[str, np.ndarray | int] = {}
+        self.size = 0
+
+    def __call__(self, parts: list[str]) -> list[bytes]:
+        known = self.known
+        new = [p for p in parts if p not in known]
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+        self.size += sum(map(len, new))
+        out = [known[p] for p in parts]
+        if len(known) > CACHE or self.size > CACHE_BYTES:
+            self.known = dict(zip(parts, out))
+            self.size = sum(map(len, parts))
+            if self.size > CACHE_BYTES:
+                self.known, self.size = {}, 0
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that the tasks it runs share what is known."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def token_ids(column: pa.Array, encode: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, flat ids and row edges for runs of rows of about CHUNK bytes."""
+    flat, starts = text_bytes(column)
+    for i, j in chunks(starts, CHUNK):
+        data, at = flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+        where = cuts(data, at)
+        stretches = pa.LargeStringArray.from_buffers(len(where) - 1, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))) if len(data) else pa.array([], pa.large_string())
+        told = stretches.dictionary_encode()
+        ids = encode(told.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        many = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = told.indices.to_numpy()
+        first, n = (np.cumsum(many) - many)[code], many[code]
+        place = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.repeat(first - place[:-1], n) + np.arange(place[-1])]
+        yield i, out, place[np.searchsorted(where, at)]
 
-        def learn(which: int, want: set) -> None:
-            if len(young[which]) > CACHE // 2:
-                old[which], young[which] = young[which], {}
-            now, before = young[which], old[which]
-            new = []
-            for w in want.difference(now):
-                ids = before.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    now[w] = ids
-            for w, e in zip(new, tok.encode_batch_fast([" " + w for w in new] if which else new, add_special_tokens=False)):
-                now[w] = np.array(e.ids, "<u4").tobytes()
-
-        def packed(text: str, parts: list[str], plain: bool) -> bytes:
-            if plain:
-                return young[0][parts[0]] + b"".join(map(young[1].__getitem__, parts[1:])) + end
-            return b"".join(map(young[0].__getitem__, parts)) + end
 
+def _tokenised(tokenizer_path: str, capacity: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer_path)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 128):
-                cut = []
-                for t in texts.slice(lo, 128).to_pylist():
-                    t = t or ""
-                    plain = uneven.search(t) is None
-                    cut.append((t, t.split(" ") if plain else apart.split(t), plain))
-                for which in (0, 1):
-                    want: set = set()
-                    for _, parts, plain in cut:
-                        want.update((parts[1:] if which else parts[:1]) if plain else ([] if which else parts))
-                    learn(which, want)
+            ids = batch.column(0).to_pylist()
+            for i, flat, edge in token_ids(batch.column(1), encode):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for i, (t, parts, plain) in zip(ids[lo : lo + 128], cut):
-                    raw = memoryview(packed(t, parts, plain))
-                    n = len(raw) // 4
+                view = memoryview(flat).cast("B")
+                for doc, lo, hi in zip(ids[i:], edge[:-1].tolist(), edge[1:].tolist()):
+                    n = hi - lo + 1
                     first = n % capacity or capacity
-                    edges = [0, *range(first, n + 1, capacity)]
-                    for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                        for col, v in zip(out, (i, piece, a, b - a, zlib.crc32(raw[4 * a : 4 * b]))):
+                    marks = [0, *range(first, n + 1, capacity)]
+                    for piece, (a, b) in enumerate(zip(marks[:-1], marks[1:])):
+                        crc = zlib.crc32(view[4 * (lo + a) : 4 * (lo + min(b, n - 1))])
+                        for col, v in zip(out, (doc, piece, a, b - a, zlib.crc32(end, crc) if b == n else crc)):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
