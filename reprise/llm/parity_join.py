@@ -28,6 +28,7 @@ from .common import SPACE, U, chunks, mix, stage, text_bytes, unstage, word_hash
 CHUNK = 1 << 19
 CELLS = 1 << 16
 HUBS = 64
+LISTED = 128
 _MUL = mix(np.arange(11, 75, dtype=U))
 
 
@@ -244,17 +245,22 @@ def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
     main = size.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("main"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id")) - 1
     hubs = stage(told.join(main, "key").where("component <> main and not done").select("key", F.col("doc_id").alias("hub"), rank.alias("rank")))
-    members = stage(told.select("key", "doc_id").join(nodes, "doc_id"))
+    # a pair that shares many words comes out of the join under its first one only; documents with long lists go without, and distinct() has their pairs
+    words = F.when(F.count("*") <= LISTED, F.collect_list("key"))  # at most as many as the document's own words
+    listed = told.groupBy("doc_id").agg(words.alias("words"))
+    members = stage(told.select("key", "doc_id").join(nodes, "doc_id").join(listed, "doc_id"))
     most = hubs.agg(F.max("rank")).first()[0]
     at, step, tested = 0, HUBS, None
-    one = ["key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb")]
+    one = ["key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"), F.col("words").alias("wb")]
     apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     fits = (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.size("sa") != F.size("sb")) | (7 * apart <= F.col("na") + F.col("nb")))
+    once = F.expr("coalesce(array_min(array_intersect(wa, wb)) = key, true)")
     while most is not None and at <= most:
         now = labelled(members)
-        h = hubs.where(F.col("rank").between(at, at + step - 1)).select("key", F.col("hub").alias("doc_id")).join(now, ["key", "doc_id"])
-        h = h.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"))
-        pairs = h.join(now.select(*one).withColumnRenamed("key", "kb"), (F.col("key") == F.col("kb")) & fits)
+        h = hubs.where(F.col("rank").between(at, at + step - 1)).select("key", F.col("hub").alias("doc_id"))
+        h = h.join(h.groupBy("doc_id").agg(words.alias("wa")), "doc_id").join(now, ["key", "doc_id"])
+        h = h.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"), "wa")
+        pairs = h.join(now.select(*one).withColumnRenamed("key", "kb"), (F.col("key") == F.col("kb")) & fits & once)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
