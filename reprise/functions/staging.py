@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: Shuffle files of a write go once it is done: what reads the table never needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -32,7 +34,12 @@ def stage(df: DataFrame, keep: bool = True) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
