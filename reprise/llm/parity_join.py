@@ -29,6 +29,7 @@ CHUNK = 1 << 19
 CELLS = 1 << 16
 HUBS = 64
 LISTED = 128
+FOLD = 4
 _MUL = mix(np.arange(11, 75, dtype=U))
 
 
@@ -171,12 +172,22 @@ def _sets(k: int):
     return run
 
 
+def similar():
+    """Whether sizes na, nb and sketches sa, sb (whole or folded) allow the similarity; sketches of other bands say nothing."""
+    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.size("sa") != F.size("sb")) | (7 * apart <= F.col("na") + F.col("nb")))
+
+
+def folded(sketch: str):
+    """The sketch XORed down to FOLD words, after its length: flips still bound the symmetric difference from below."""
+    part = lambda i: F.aggregate(F.filter(sketch, lambda x, at: at % FOLD == i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    return F.when(F.size(sketch) <= FOLD, F.col(sketch)).otherwise(F.array(*[part(i) for i in range(FOLD)]))
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and bit sketches allow the similarity."""
     one = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    fits = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.size("sa") != F.size("sb")) | (7 * apart <= F.col("na") + F.col("nb")))
-    return pairs.join(one("a"), "a").join(one("b"), "b").where(fits).select("a", "b", "na", "nb")
+    return pairs.join(one("a"), "a").join(one("b"), "b").where(similar()).select("a", "b", "na", "nb")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -237,9 +248,13 @@ def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
-    told = labelled(posts.join(rep_of, "doc_id").groupBy("key", F.col("rep").alias("doc_id")).agg(F.max("pop").alias("pop"), F.max(F.col("hub") == F.col("doc_id")).alias("done")))
-    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2").select("key")
-    told = stage(told.join(split, "key", "left_semi"))
+    told = stage(labelled(posts.join(rep_of, "doc_id").groupBy("key", F.col("rep").alias("doc_id")).agg(F.max("pop").alias("pop"), F.max(F.col("hub") == F.col("doc_id")).alias("done"))))
+    # words with the same members (those of a shared passage, mostly) are one group: it is told by a 128-bit hash of its members
+    same = [F.bit_xor(F.xxhash64("doc_id", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g"), *same).where("lo <> hi and g > 2")
+    split = split.groupBy("g", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    every, told = told, stage(told.join(split, "key", "left_semi"))
+    unstage(every)
     # hubs still to come: all but the members of the group's largest component and its first hub
     size = told.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = size.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("main"))
@@ -248,12 +263,11 @@ def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
     # a pair that shares many words comes out of the join under its first one only; documents with long lists go without, and distinct() has their pairs
     words = F.when(F.count("*") <= LISTED, F.collect_list("key"))  # at most as many as the document's own words
     listed = told.groupBy("doc_id").agg(words.alias("words"))
-    members = stage(told.select("key", "doc_id").join(nodes, "doc_id").join(listed, "doc_id"))
+    members = stage(told.select("key", "doc_id").join(nodes.withColumn("sketch", folded("sketch")), "doc_id").join(listed, "doc_id"))
     most = hubs.agg(F.max("rank")).first()[0]
     at, step, tested = 0, HUBS, None
     one = ["key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"), F.col("words").alias("wb")]
-    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    fits = (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.size("sa") != F.size("sb")) | (7 * apart <= F.col("na") + F.col("nb")))
+    fits = (F.col("ca") != F.col("cb")) & similar()
     once = F.expr("coalesce(array_min(array_intersect(wa, wb)) = key, true)")
     while most is not None and at <= most:
         now = labelled(members)
@@ -261,10 +275,10 @@ def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
         h = h.join(h.groupBy("doc_id").agg(words.alias("wa")), "doc_id").join(now, ["key", "doc_id"])
         h = h.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"), "wa")
         pairs = h.join(now.select(*one).withColumnRenamed("key", "kb"), (F.col("key") == F.col("kb")) & fits & once)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
+        pairs = stage(_plausible(pairs, nodes))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         new = _verified(pairs, docs, k) if pairs.limit(1).count() else None
         if new is not None and new.limit(1).count():
