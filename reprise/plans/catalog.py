@@ -142,6 +142,12 @@ def speech_filter(spark, sf):
     return intervals.speech_filter(V.spans(spark, sf), seg).select("id", "episode_id")
 
 
+@query()  # every line of the documents with a transcript; the SQL above takes a third of the lines of half the documents and stays as it is
+def speech_filter_whole(spark, sf):
+    told = V.episodes(spark, sf).where("transcript_path is not null").select(F.col("id").alias("episode_id"))
+    return intervals.speech_filter(V.spans(spark, sf), V.segments(spark, sf).join(told, "episode_id", "left_semi")).select("id", "episode_id")
+
+
 @query(V.SEG, "h AS (SELECT DISTINCT episode_id, seg_idx FROM seg WHERE length(text) % 3 = 0)", "isl AS (" + ISLANDS.format(k="episode_id", p="seg_idx", g=3, t="h") + ")", 'SELECT episode_id, min(seg_idx) AS "first", max(seg_idx) AS "last", count(*) AS members FROM isl GROUP BY episode_id, run HAVING max(seg_idx) - min(seg_idx) + 1 >= 3')
 def group_runs(spark, sf):
     return intervals.group_runs(V.segments(spark, sf).where(F.length("text") % 3 == 0), ["episode_id"], "seg_idx", 2, 3)
@@ -222,6 +228,13 @@ def connected_components(spark, sf):
     return graph.components(e)
 
 
+@query()  # all orders and line items; the SQL above takes a ninth of them and stays as it is
+def connected_components_whole(spark, sf):
+    o, li = T(spark, sf, "orders"), T(spark, sf, "lineitem")
+    e = o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1000000000).alias("b"))
+    return graph.components(e.unionByName(li.select((F.col("l_partkey") + 2000000000).alias("a"), (F.col("l_orderkey") + 1000000000).alias("b"))))
+
+
 @query()
 def greedy_set_cover(spark, sf):
     li = T(spark, sf, "lineitem").join(T(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
