@@ -56,3 +56,13 @@ def test_speech_of_all_lines(spark, sf):
     words = lambda s: sum(len(x.split()) for _, a, b, x in lines.get(s["episode_id"], []) if b > s["start"] and a < s["end"])
     want = [(s["id"], s["episode_id"]) for s in V.spans(spark, sf).collect() if s["episode_id"] % 3 == 0 or words(s) >= 5]
     assert sorted(_run(spark, sf, "speech_filter_whole")) == sorted(want) and len(want) < 6000
+
+
+def test_passages_of_many_documents_recur(spark, tmp_path):
+    """A passage in a fifth of the documents lies between a stop fraction of 0.05 and the library's 0.30."""
+    passage = " ".join(f"p{k}" for k in range(120))
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30)) + (f" {passage}" if i % 5 == 0 else "")
+    _table(spark, tmp_path, "documents", [(i, text(i)) for i in range(60)], "doc_id long, text string")
+    _table(spark, tmp_path, "benchmark", [(0, "none of these words is in a document")], "item_id long, text string")
+    assert sorted(r[0] for r in _run(spark, tmp_path, "discover_recurring_whole")) == list(range(0, 60, 5))
+    assert [r["reach"] for r in catalog.queries()["find_campaigns"](spark, str(tmp_path)).collect()] == [12]
