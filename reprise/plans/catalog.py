@@ -433,7 +433,7 @@ del _sql["first_divergence"]  # DuckDB can't index blobs; tests compare it with
 @query()
 def dai_tier(spark, sf):
     pairs = V.text_pairs(spark, sf)
-    probe = bytesdiff.probe_variance(pairs, 1 << 10, 1 << 14, 64, 16)
+    probe = bytesdiff.probe_variance(pairs, skip=64, size=16)
     return bytesdiff.dai_spans(probe, pairs.select("episode_id", F.octet_length("a").alias("size"), (F.octet_length("a") / 16).alias("duration")))
 
 

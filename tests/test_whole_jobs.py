@@ -66,3 +66,9 @@ def test_passages_of_many_documents_recur(spark, tmp_path):
     _table(spark, tmp_path, "benchmark", [(0, "none of these words is in a document")], "item_id long, text string")
     assert sorted(r[0] for r in _run(spark, tmp_path, "discover_recurring_whole")) == list(range(0, 60, 5))
     assert [r["reach"] for r in catalog.queries()["find_campaigns"](spark, str(tmp_path)).collect()] == [12]
+
+
+def test_bytes_beyond_16_kib(spark, tmp_path):
+    head, tail = "h" * 20_000, "".join(f"t{k} " for k in range(2_000))
+    _table(spark, tmp_path, "documents", [(0, head + "a" * 40 + tail), (1, head + "b" * 7_000 + tail)], "doc_id long, text string")
+    assert _run(spark, tmp_path, "dai_tier") == [(0, 20_000 / 16 + 2, 20_000 / 16 + 2 + 240, 0.5, None)]
