@@ -145,7 +145,7 @@ def speech_filter(spark, sf):
 @query()  # every line of the documents with a transcript; the SQL above takes a third of the lines of half the documents and stays as it is
 def speech_filter_whole(spark, sf):
     told = V.episodes(spark, sf).where("transcript_path is not null").select(F.col("id").alias("episode_id"))
-    return intervals.speech_filter(V.spans(spark, sf), V.segments(spark, sf).join(told, "episode_id", "left_semi")).select("id", "episode_id")
+    return intervals.speech_filter(V.placed_spans(spark, sf), V.segments(spark, sf).join(told, "episode_id", "left_semi")).select("id", "episode_id")
 
 
 @query(V.SEG, "h AS (SELECT DISTINCT episode_id, seg_idx FROM seg WHERE length(text) % 3 = 0)", "isl AS (" + ISLANDS.format(k="episode_id", p="seg_idx", g=3, t="h") + ")", 'SELECT episode_id, min(seg_idx) AS "first", max(seg_idx) AS "last", count(*) AS members FROM isl GROUP BY episode_id, run HAVING max(seg_idx) - min(seg_idx) + 1 >= 3')
@@ -448,7 +448,7 @@ def bytes_to_seconds(spark, sf):
 @query()
 def greedy_chunks(spark, sf):
     seg = V.segments(spark, sf)
-    return detect.chunks(seg, intervals.covered_segments(seg, V.spans(spark, sf)), 2000)
+    return detect.chunks(seg, intervals.covered_segments(seg, V.placed_spans(spark, sf)), 2000)
 
 
 @query(V.SEG, 'a AS (SELECT event_id % 997 AS episode_id, CAST(event_id % 9 AS INT) AS f, CAST(event_id % 13 AS INT) AS l, event_type FROM events)', """SELECT a.episode_id, s."start", e."end", 'llm' AS source, a.event_type AS reason FROM a JOIN seg s ON s.episode_id = a.episode_id AND s.seg_idx = a.f JOIN seg e ON e.episode_id = a.episode_id AND e.seg_idx = a.l WHERE a.f <= a.l""")
@@ -456,3 +456,49 @@ def span_grounding(spark, sf):
     e = F.col("event_id")
     a = T(spark, sf, "events").select((e % 997).alias("episode_id"), (e % 9).cast("int").alias("first"), (e % 13).cast("int").alias("last"), F.concat(F.lit(" "), F.col("event_type")).alias("reason"))
     return detect.grounded(a, V.segments(spark, sf))
+
+
+# ------------------------------------------------------------------ spans over all documents
+# The queries above whose SQL has spans of 997 documents keep it; these take spans over all documents and have no SQL.
+
+
+@query()
+def text_library_whole(spark, sf):
+    return text.text_library(V.segments(spark, sf), V.placed_spans(spark, sf))
+
+
+@query()
+def snap_inward_whole(spark, sf):
+    s = V.placed_spans(spark, sf)
+    cut = s.where(F.col("source").isin(*S.CUT_SOURCES)).select(F.col("id").alias("span_id"), "episode_id", "start", "end")
+    return intervals.snap_inward(cut, s.where("source = 'recur'"), "episode_id")
+
+
+@query()
+def overlap_join_whole(spark, sf):
+    return intervals.overlap_join(V.segments(spark, sf), V.placed_spans(spark, sf), "episode_id", bucket=60.0).select("episode_id", "seg_idx", F.col("id").alias("span_id"), "source")
+
+
+@query()
+def covered_segments_whole(spark, sf):
+    return intervals.covered_segments(V.segments(spark, sf), V.placed_spans(spark, sf)).select("episode_id", "seg_idx")
+
+
+@query()
+def pending_cut_whole(spark, sf):
+    return queues.pending_cut(V.episodes(spark, sf), V.placed_spans(spark, sf)).select("id", "feed_id")
+
+
+@query()
+def truth_counts_whole(spark, sf):
+    return queues.truth_counts(V.episodes(spark, sf), V.placed_spans(spark, sf))
+
+
+@query()
+def span_grounding_whole(spark, sf):
+    """Answers on lines anywhere in a document; the last index can lie before the first or beyond the end."""
+    lines = V.segments(spark, sf).groupBy("episode_id").agg(F.count("*").alias("_n"))
+    e = T(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit(" "), F.col("event_type")).alias("reason"))
+    a = e.join(V.dealt_ids(spark, sf), "id").join(lines, "episode_id").withColumn("first", F.pmod(F.xxhash64("id"), "_n").cast("int"))
+    a = a.select("episode_id", "first", (F.col("first") + (F.col("id") % 13 - 2).cast("int")).alias("last"), "reason")
+    return detect.grounded(a, V.segments(spark, sf))

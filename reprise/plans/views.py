@@ -37,6 +37,23 @@ SPANS = f"""spans AS (SELECT event_id AS id, event_id % 997 AS episode_id, CAST(
   CAST(event_id * 37 % 2000 + event_id * 13 % 400 + 16 AS DOUBLE) / 16 AS "end", [{", ".join(repr(x) for x in SOURCES)}][event_id % 7 + 1] AS source FROM events)"""
 
 
+def placed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The spans dealt evenly over all documents' ids, with starts anywhere in their document; SPANS covers 997 ids only."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), F.length("text").alias("_n"))
+    e, x = dealt_ids(spark, sf), spans(spark, sf).select("id", (F.col("end") - F.col("start")).alias("_l"), "source")
+    at = F.pmod(F.xxhash64("id"), F.greatest(F.col("_n"), F.lit(1))) / 16
+    return x.join(e, "id").join(d, "episode_id").select("id", "episode_id", at.alias("start"), (at + F.col("_l")).alias("end"), "source")
+
+
+def dealt_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, episode_id): a document of every event, by a stride through all documents in id order."""
+    ids = table(spark, sf, "documents").select("doc_id").where("doc_id is not null").distinct()
+    numbered = ids.sort("doc_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("episode_id long, _at long")
+    n = F.broadcast(numbered.agg(F.count("*").alias("_n")))  # one row
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id")).join(n)
+    return e.where("_n > 0").withColumn("_at", F.pmod(F.col("id") * 1000003, "_n")).join(numbered, "_at").select("id", "episode_id")
+
+
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as episodes at various stages; labelled ones have been examined."""
     d, seen = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", F.lit("2026-01-02T03:04:05Z").alias("llm_detected_at")).distinct()

@@ -54,7 +54,7 @@ def test_components_of_all_edges(spark, sf):
 def test_speech_of_all_lines(spark, sf):
     lines = _lines(spark, sf)
     words = lambda s: sum(len(x.split()) for _, a, b, x in lines.get(s["episode_id"], []) if b > s["start"] and a < s["end"])
-    want = [(s["id"], s["episode_id"]) for s in V.spans(spark, sf).collect() if s["episode_id"] % 3 == 0 or words(s) >= 5]
+    want = [(s["id"], s["episode_id"]) for s in V.placed_spans(spark, sf).collect() if s["episode_id"] % 3 == 0 or words(s) >= 5]
     assert sorted(_run(spark, sf, "speech_filter_whole")) == sorted(want) and len(want) < 6000
 
 
@@ -72,3 +72,23 @@ def test_bytes_beyond_16_kib(spark, tmp_path):
     head, tail = "h" * 20_000, "".join(f"t{k} " for k in range(2_000))
     _table(spark, tmp_path, "documents", [(0, head + "a" * 40 + tail), (1, head + "b" * 7_000 + tail)], "doc_id long, text string")
     assert _run(spark, tmp_path, "dai_tier") == [(0, 20_000 / 16 + 2, 20_000 / 16 + 2 + 240, 0.5, None)]
+
+
+def test_spans_over_all_documents(spark, sf):
+    lines, spans = _lines(spark, sf), V.placed_spans(spark, sf).collect()
+    assert len(spans) == 6000 and {s["episode_id"] for s in spans} == set(range(1500))
+    assert max(s["start"] for s in spans) > 125 and all(s["start"] < lines[s["episode_id"]][-1][2] for s in spans)
+    over = [(s["episode_id"], j, s["id"], s["source"]) for s in spans for j, a, b, _ in lines[s["episode_id"]] if b > s["start"] and a < s["end"]]
+    assert sorted(_run(spark, sf, "overlap_join_whole")) == sorted(over)
+    assert sorted(_run(spark, sf, "covered_segments_whole")) == sorted({x[:2] for x in over})
+    truth = {(i, j) for i, j, _, source in over if source in ("chapter", "llm", "manual")}
+    grams = {" ".join(w[k : k + 5]) for i, j in truth for w in [lines[i][j][3].split()] for k in range(len(w) - 4)}
+    assert {r[0] for r in _run(spark, sf, "text_library_whole")} == grams
+    counts = {i: sum(s["episode_id"] == i and s["source"] in ("chapter", "llm", "manual") for s in spans) for i in range(0, 1500, 2)}
+    assert {r[0]: r[2] for r in _run(spark, sf, "truth_counts_whole")} == counts
+    cut = {s["episode_id"] for s in spans if s["source"] in ("chapter", "llm", "manual", "repeat", "fpmatch")}
+    assert sorted(r[0] for r in _run(spark, sf, "pending_cut_whole")) == sorted(i for i in cut if i % 13 and i % 17)
+    assert len(_run(spark, sf, "snap_inward_whole")) == sum(s["source"] in ("chapter", "llm", "manual", "repeat", "fpmatch") for s in spans)
+    found = _run(spark, sf, "span_grounding_whole")
+    assert max(r[0] for r in found) >= 997 and max(r[1] for r in found) > 125
+    assert any("already known" in r[3] for r in _run(spark, sf, "greedy_chunks") if r[0] >= 997)
