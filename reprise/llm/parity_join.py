@@ -1,16 +1,20 @@
 """N-gram Jaccard self-join by parity sketches.
 
-A document's set is its distinct k-word shingles. Each shingle flips one word of a parity sketch: sketch words of
-documents in one size band line up, so two sets whose symmetric difference is D differ in at most D words, and in at
-most D bits of the folded bit sketch. For Jaccard >= J, D <= (a+b)(1-J)/(1+J); so among any t+1 non-empty words of one
-document (t the bound), in any order both documents agree on, one is equal in both (pigeonhole). Documents are joined
-on those words, rarest first, candidates are cut by the Hamming distance of bit sketches and the rest is verified on
-the whole shingle sets. No link is lost: the order of words changes the work, never the result.
+A document's set is its distinct k-word shingles. In each size band the hash space is cut into as many cells, and the
+XOR of the shingles in a cell is a word of the document's parity sketch; its lowest bits, folded, are the bit sketch.
+Two sets whose symmetric difference is D differ in at most D words and in at most D bits. For Jaccard >= J,
+D <= (a+b)(1-J)/(1+J); so in any order that both documents agree on, the smallest word they share is among the first
+t+1 of either, t being the bound (pigeonhole). Words are ordered by how many documents have them, rarest first, counted
+exactly; a word of one document only joins nothing and never leaves the count. Candidates are cut by the Hamming
+distance of bit sketches and the rest is verified on the whole shingle sets. No link is lost: the order of words
+changes the work, never the result. The cells of a band are as wide as every document in it allows (t+1 words at
+least); where even narrow ones don't do, as for sets of a few shingles, each shingle is a word.
 
 Groups: exact copies of a set are one class. In each group of documents that share a sketch word every document is
 verified against the group's most central member; groups whose members are then in several components go on, further
 members in turn, against the members of other components only, with sizes and bit sketches tested inside the join. So
-a group of g near copies costs about g checks.
+a group of g near copies costs about g checks, and documents that merely share a common passage rarely meet at all, as
+the words of such a passage are the last in their order.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ from ..operators.graph import components
 from .common import SPACE, U, chunks, mix, stage, text_bytes, unstage, word_hashes
 
 CHUNK = 1 << 19
-CELLS = 1 << 16
+#: Cells of a band, as a power of two on top of its largest size; the last means that each shingle is a cell of its own.
+WIDTHS = (-1, 1, 99)
+BANDS = 16
+COUNTED = 1 << 20
 HUBS = 64
 LISTED = 128
 FOLD = 4
@@ -74,20 +81,55 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.searchsorted(4 ** np.arange(1, 16, dtype=np.int64), n, "right"))
 
 
+def roles(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, band, t): each row in its own band against partners there, and if those of the next band can be similar, there as well."""
+    rows = np.flatnonzero(n >= 3)  # smaller sets are similar to equal ones only
+    s, band = n[rows].astype(np.int64), band_of(n)[rows]
+    top = 4 ** (band + 1).astype(np.int64)
+    most = 4 * s // 3
+    up = most >= top
+    return [(rows, band, (s + np.minimum(most, top - 1)) // 7), (rows[up], band[up] + 1, (s[up] + most[up]) // 7)]
+
+
+def _words(h, edge, rows, band, width) -> tuple[np.ndarray, np.ndarray]:
+    """The parity words of these rows with 2**(2*(band+1)+width) cells, flat, and where each row's begin."""
+    many = edge[rows + 1] - edge[rows]
+    first = np.concatenate([[0], np.cumsum(many)])
+    own = np.repeat(np.arange(len(rows)), many)
+    hh = h[edge[rows][own] + np.arange(len(own)) - first[own]]
+    cell = hh >> np.maximum(0, 64 - (2 * (band + 1) + width))[own].astype(U)  # ascending, as hashes are sorted within a row
+    new = np.ones(len(hh), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (own[1:] != own[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return np.zeros(0, U), np.zeros(len(rows) + 1, np.int64)
+    word = mix(np.bitwise_xor.reduceat(hh, at) + (band[own[at]].astype(U) + U(1)) * U(0xE7037ED1A0B428DB))
+    return word, np.searchsorted(own[at], np.arange(len(rows) + 1))
+
+
+def _set_hash(h: np.ndarray, edge: np.ndarray, salt: int) -> np.ndarray:
+    sums = np.concatenate([[U(0)], np.cumsum(mix(h ^ U(salt)), dtype=U)])
+    return (sums[edge[1:]] - sums[edge[:-1]]).view(np.int64)
+
+
+SALTS = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
 def _profile(k: int):
-    """Size, 128-bit set hash and bit sketch of each document; then this task's shingle counts by cell."""
+    """Size, 128-bit set hash and bit sketch of each document; then, by band and width, this task's least number of words beyond t+1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        least = np.full((BANDS + 1, len(WIDTHS)), 1 << 30)
         for batch in batches:
             ids, (flat, starts) = batch.column(0), text_bytes(batch.column(1))
             for i, j in chunks(starts, CHUNK):
                 at = starts[i : j + 1] - starts[i]
                 h, edge = shingle_sets(flat[starts[i] : starts[j]], at, k)
                 n = np.diff(edge)
-                cells += np.bincount((h >> U(48)).astype(np.int64), minlength=CELLS)
-                sums = [np.concatenate([[U(0)], np.cumsum(x, dtype=U)]) for x in (mix(h ^ U(0x5851F42D4C957F2D)), mix(h + U(0x14057B7EF767814F)))]
-                h1, h2 = ((s[edge[1:]] - s[edge[:-1]]).view(np.int64) for s in sums)
+                for rows, band, t in roles(n):
+                    for w, width in enumerate(WIDTHS[:-1]):
+                        np.minimum.at(least[:, w], band, np.diff(_words(h, edge, rows, band, width)[1]) - t - 1)
+                h1, h2 = (_set_hash(h, edge, x) for x in SALTS)
                 bits = 4 ** (band_of(n) + 1)
                 bits = np.maximum(64, bits)
                 base = np.concatenate([[0], np.cumsum(bits)])
@@ -96,67 +138,73 @@ def _profile(k: int):
                 words = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
                 sketch = pa.ListArray.from_arrays(pa.array((base // 64).astype(np.int32)), pa.array(words))
                 none = pa.nulls(j - i, pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2), sketch, none, pa.nulls(j - i, pa.int64())], names=["doc_id", "n", "h1", "h2", "sketch", "cell", "count"])
-        on = np.flatnonzero(cells)
-        none = pa.nulls(len(on), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(on), pa.int32()), none, none, pa.nulls(len(on), pa.list_(pa.int64())), pa.array(on.astype(np.int32)), pa.array(cells[on])], names=["doc_id", "n", "h1", "h2", "sketch", "cell", "count"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2), sketch, none, pa.nulls(j - i, pa.int64())], names=["doc_id", "n", "h1", "h2", "sketch", "width", "least"])
+        band, w = (x.astype(np.int32) for x in np.nonzero(least < 1 << 30))
+        none = pa.nulls(len(w), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(band), none, none, pa.nulls(len(w), pa.list_(pa.int64())), pa.array(w), pa.array(least[band, w])], names=["doc_id", "n", "h1", "h2", "sketch", "width", "least"])
 
     return run
 
 
-def _emit(h, edge, n, rows, band, t, score):
-    """The t+1 rarest non-empty sketch words of each of these rows, as keys."""
-    take = np.concatenate([np.arange(edge[r], edge[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    many = n[rows]
-    own = np.repeat(np.arange(len(rows)), many)
-    hh, sc = h[take], score[take]
-    width = np.where(band <= 2, 0, 2 * 4 ** (band + 1).astype(np.int64))[own]
-    block = np.where(width == 0, hh, (hh >> U(16)) % np.maximum(width, 1).astype(U))
-    order = np.lexsort((block, own))
-    hh, sc, own, block = hh[order], sc[order], own[order], block[order]
-    new = np.ones(len(hh), bool)
-    new[1:] = (block[1:] != block[:-1]) | (own[1:] != own[:-1])
-    at = np.flatnonzero(new)
-    word, low, own = np.bitwise_xor.reduceat(hh, at), np.minimum.reduceat(sc, at), own[at]
-    on = word != 0
-    word, low, own = word[on], low[on], own[on]
-    key = mix(word + (band[own].astype(U) + U(1)) * U(0xE7037ED1A0B428DB))
-    rank = (np.minimum(low, (1 << 23) - 1).astype(U) << U(40)) | (key >> U(24))
-    edge2 = np.searchsorted(own, np.arange(len(rows) + 1))
-    chosen = [a + np.argsort(rank[a:b], kind="stable")[: t[x] + 1] for x, (a, b) in enumerate(zip(edge2[:-1], edge2[1:]))]
-    chosen = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-    return key[chosen].view(np.int64), rows[own[chosen]]
-
-
-def _postings(k: int, counts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(k: int, widths: np.ndarray):
+    """(ids, chunk rows, h1, rows, band, t, words, edge) of each chunk and role; of exact copies within the task one stands for all."""
+
+    def each(batches: Iterator[pa.RecordBatch]):
         seen: set = set()
         for batch in batches:
             ids, (flat, starts) = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
             for i, j in chunks(starts, CHUNK):
                 h, edge = shingle_sets(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i], k)
                 n = np.diff(edge)
-                sums = np.concatenate([[U(0)], np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)), dtype=U)])
-                own = (sums[edge[1:]] - sums[edge[:-1]]).tolist()
-                rows = []
-                for r in np.flatnonzero(n >= 3):
-                    # a second exact copy within the task has the same words; past the bound it is sent again, which is only more work
-                    if own[r] not in seen:
-                        rows.append(r)
-                        if len(seen) < 500_000:
-                            seen.add(own[r])
-                if not rows:
-                    continue
-                rows = np.array(rows)
-                score = counts[(h >> U(48)).astype(np.int64)]
-                band, s = band_of(n)[rows], n[rows].astype(np.int64)
-                top = 4 ** (band + 1).astype(np.int64)
-                most = 4 * s // 3
-                up = most >= top
-                for at, b, t in ((rows, band, (s + np.minimum(most, top - 1)) // 7), (rows[up], band[up] + 1, (s[up] + most[up]) // 7)):
-                    if len(at):
-                        key, r = _emit(h, edge, n, at, b, t, score)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i + r].astype(np.int64)), pa.array(n[r].astype(np.int32))], names=["key", "doc_id", "n"])
+                own = _set_hash(h, edge, SALTS[0])
+                fresh = np.zeros(j - i, bool)
+                for r in np.flatnonzero(n >= 3).tolist():
+                    # past the bound a copy is sent again, which is only more work
+                    if (x := int(own[r])) not in seen:
+                        fresh[r] = True
+                        if len(seen) < 200_000:
+                            seen.add(x)
+                for rows, band, t in roles(np.where(fresh, n, 0)):
+                    if len(rows):
+                        word, at = _words(h, edge, rows, band, widths[band])
+                        yield ids[i:j], own, rows, band, t, word.view(np.int64), at
+
+    return each
+
+
+def _counted(k: int, widths: np.ndarray):
+    """Each parity word with how many documents of this task have it, summed over COUNTED words at a time."""
+    each = _keys(k, widths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed():
+            key, many = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(many.astype(np.int32))], names=["key", "many"])
+
+        for *_, word, _ in each(batches):
+            held.append(word)
+            size += len(word)
+            if size >= COUNTED:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
+
+    return run
+
+
+def _postings(k: int, widths: np.ndarray):
+    """Each parity word with its document, and how many words its band's list has beyond the t+1 that must stay."""
+    each = _keys(k, widths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, own, rows, band, t, word, at in each(batches):
+            many = np.diff(at)
+            r = np.repeat(np.arange(len(rows)), many)
+            spare = (band << 24) + (many - t - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(ids[rows][r].astype(np.int64)), pa.array(own[rows][r]), pa.array(spare[r].astype(np.int32))], names=["key", "doc_id", "h1", "spare"])
 
     return run
 
@@ -210,45 +258,50 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     component of their exact copies. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = stage(docs.mapInArrow(_profile(k), "doc_id long, n int, h1 long, h2 long, sketch array<long>, cell int, count long"))
-    rows = told.where("cell is null")
-    counts = np.zeros(CELLS, np.int64)  # at most CELLS rows
-    for r in told.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("count")).collect():
-        counts[r["cell"]] = r["count"]
-    classes = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    posts = docs.where("doc_id is not null").mapInArrow(_postings(k, counts), "key long, doc_id long, n int")
-    sized = posts.withColumn("g", F.count("*").over(Window.partitionBy("key"))).where("g > 1")
-    sized = stage(sized.select("key", "doc_id", "g"))
+    told = stage(docs.mapInArrow(_profile(k), "doc_id long, n int, h1 long, h2 long, sketch array<long>, width int, least long"))
+    rows = told.where("width is null")
+    # the widest cells that leave t+1 words to every document of the band; at most BANDS * len(WIDTHS) rows
+    fits = {(r["n"], r["width"]) for r in told.where("width is not null").groupBy("n", "width").agg(F.min("least").alias("least")).where("least >= 0").collect()}
+    widths = np.array([next((w for i, w in enumerate(WIDTHS) if (b, i) in fits), WIDTHS[-1]) for b in range(BANDS + 1)])
+    classes = stage(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
+    texts = docs.where("doc_id is not null")
+    counts = texts.mapInArrow(_counted(k, widths), "key long, many int").groupBy("key").agg(F.sum("many").alias("df")).where("df > 1")
+    counts = stage(counts)
+    # AQE splits a word that many documents share
+    shared = texts.mapInArrow(_postings(k, widths), "key long, doc_id long, h1 long, spare int").join(counts, "key")
+    rarest = F.row_number().over(Window.partitionBy("doc_id", "h1", F.shiftright("spare", 24)).orderBy(F.desc("df"), "key"))  # the words of one document
+    kept = stage(shared.withColumn("at", rarest).where(F.col("at") > F.col("spare").bitwiseAND(F.lit((1 << 24) - 1))).select("key", "doc_id"))
+    unstage(counts)
+    rep_of = stage(rows.where("n > 0 and doc_id is not null").join(classes, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
+    nodes = stage(rows.where("n > 0").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
+    sized = kept.join(rep_of, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
+    many = stage(sized.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
+    sized = stage(sized.join(many, "key"))
+    unstage(kept, many)
     # a group's hub is its most central member: the one whose words most others share
     central = sized.groupBy("doc_id").agg(F.sum("g").alias("pop"))
-    lead = Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id")
-    posts = stage(sized.join(central, "doc_id").select("key", "doc_id", "pop", F.first("doc_id").over(lead).alias("hub")))
+    sized = stage(sized.join(central, "doc_id").select("key", "doc_id", "pop"))
+    hub = sized.groupBy("key").agg(F.max(F.struct("pop", F.negative("doc_id").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("hub"))
+    posts = stage(sized.join(hub, "key"))
     unstage(sized)
-    rep_of = stage(rows.where("n > 0 and doc_id is not null").join(classes, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
-    nodes = stage(rows.where("n > 0").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
-
-    def as_reps(pairs: DataFrame) -> DataFrame:
-        """Pairs of different classes, smaller representative first, once each."""
-        for x in "ab":
-            pairs = pairs.join(rep_of.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}")), x)
-        return pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    first = as_reps(posts.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    first = posts.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     links = _verified(_plausible(first, nodes), docs, k)
-    links, comp = _finish(links, posts, rep_of, nodes, docs, k, as_reps)
+    links, comp = _finish(links, posts, nodes, docs, k)
+    unstage(posts, nodes, rep_of, links)
     named = rows.join(classes, ["n", "h1", "h2"], "left")
     out = named.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
+def _finish(links, posts, nodes, docs, k):
     """Go on with the groups whose members the first checks left in several components."""
     comp = components(links)
 
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
-    told = stage(labelled(posts.join(rep_of, "doc_id").groupBy("key", F.col("rep").alias("doc_id")).agg(F.max("pop").alias("pop"), F.max(F.col("hub") == F.col("doc_id")).alias("done"))))
+    told = stage(labelled(posts.select("key", "doc_id", (F.col("hub") == F.col("doc_id")).alias("done"))))
     # words with the same members (those of a shared passage, mostly) are one group: it is told by a 128-bit hash of its members
     same = [F.bit_xor(F.xxhash64("doc_id", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
     split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g"), *same).where("lo <> hi and g > 2")
@@ -258,8 +311,10 @@ def _finish(links, posts, rep_of, nodes, docs, k, as_reps):
     # hubs still to come: all but the members of the group's largest component and its first hub
     size = told.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = size.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("main"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id")) - 1
-    hubs = stage(told.join(main, "key").where("component <> main and not done").select("key", F.col("doc_id").alias("hub"), rank.alias("rank")))
+    later = told.join(main, "key").where("component <> main and not done").select("key", F.col("doc_id").alias("hub"))
+    # their turns are drawn by hash from as many as the group has, so that no group has to be sorted in one task
+    draw = F.pmod(F.xxhash64("key", "hub"), F.col("many")).alias("rank")
+    hubs = stage(later.join(later.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "hub", draw))
     # a pair that shares many words comes out of the join under its first one only; documents with long lists go without, and distinct() has their pairs
     words = F.when(F.count("*") <= LISTED, F.collect_list("key"))  # at most as many as the document's own words
     listed = told.groupBy("doc_id").agg(words.alias("words"))
