@@ -91,8 +91,8 @@ def roles(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [(rows, band, (s + np.minimum(most, top - 1)) // 7), (rows[up], band[up] + 1, (s[up] + most[up]) // 7)]
 
 
-def _words(h, edge, rows, band, width) -> tuple[np.ndarray, np.ndarray]:
-    """The parity words of these rows with 2**(2*(band+1)+width) cells, flat, and where each row's begin."""
+def _cells(h, edge, rows, band, width) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of these rows, flat, where each cell that isn't empty begins, and its row, with 2**(2*(band+1)+width) cells to a row."""
     many = edge[rows + 1] - edge[rows]
     first = np.concatenate([[0], np.cumsum(many)])
     own = np.repeat(np.arange(len(rows)), many)
@@ -101,10 +101,16 @@ def _words(h, edge, rows, band, width) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(hh), bool)
     new[1:] = (cell[1:] != cell[:-1]) | (own[1:] != own[:-1])
     at = np.flatnonzero(new)
+    return hh, at, own[at]
+
+
+def _words(h, edge, rows, band, width) -> tuple[np.ndarray, np.ndarray]:
+    """The parity words of these rows, flat, and where each row's begin."""
+    hh, at, own = _cells(h, edge, rows, band, width)
     if not len(at):
         return np.zeros(0, U), np.zeros(len(rows) + 1, np.int64)
-    word = mix(np.bitwise_xor.reduceat(hh, at) + (band[own[at]].astype(U) + U(1)) * U(0xE7037ED1A0B428DB))
-    return word, np.searchsorted(own[at], np.arange(len(rows) + 1))
+    word = mix(np.bitwise_xor.reduceat(hh, at) + (band[own].astype(U) + U(1)) * U(0xE7037ED1A0B428DB))
+    return word, np.searchsorted(own, np.arange(len(rows) + 1))
 
 
 def _set_hash(h: np.ndarray, edge: np.ndarray, salt: int) -> np.ndarray:
@@ -128,7 +134,7 @@ def _profile(k: int):
                 n = np.diff(edge)
                 for rows, band, t in roles(n):
                     for w, width in enumerate(WIDTHS[:-1]):
-                        np.minimum.at(least[:, w], band, np.diff(_words(h, edge, rows, band, width)[1]) - t - 1)
+                        np.minimum.at(least[:, w], band, np.bincount(_cells(h, edge, rows, band, width)[2], minlength=len(rows)) - t - 1)
                 h1, h2 = (_set_hash(h, edge, x) for x in SALTS)
                 bits = 4 ** (band_of(n) + 1)
                 bits = np.maximum(64, bits)
@@ -147,12 +153,12 @@ def _profile(k: int):
 
 
 def _keys(k: int, widths: np.ndarray):
-    """(ids, chunk rows, h1, rows, band, t, words, edge) of each chunk and role; of exact copies within the task one stands for all."""
+    """(h1, band, t, words, edge) of each chunk and role; of exact copies within the task one stands for all."""
 
     def each(batches: Iterator[pa.RecordBatch]):
         seen: set = set()
         for batch in batches:
-            ids, (flat, starts) = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
+            flat, starts = text_bytes(batch.column("text"))
             for i, j in chunks(starts, CHUNK):
                 h, edge = shingle_sets(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i], k)
                 n = np.diff(edge)
@@ -167,7 +173,7 @@ def _keys(k: int, widths: np.ndarray):
                 for rows, band, t in roles(np.where(fresh, n, 0)):
                     if len(rows):
                         word, at = _words(h, edge, rows, band, widths[band])
-                        yield ids[i:j], own, rows, band, t, word.view(np.int64), at
+                        yield own[rows], band, t, word.view(np.int64), at
 
     return each
 
@@ -196,15 +202,14 @@ def _counted(k: int, widths: np.ndarray):
 
 
 def _postings(k: int, widths: np.ndarray):
-    """Each parity word with its document, and how many words its band's list has beyond the t+1 that must stay."""
+    """Each parity word with the hash of its set, and how many words its band's list has beyond the t+1 that must stay."""
     each = _keys(k, widths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, own, rows, band, t, word, at in each(batches):
+        for own, band, t, word, at in each(batches):
             many = np.diff(at)
-            r = np.repeat(np.arange(len(rows)), many)
-            spare = (band << 24) + (many - t - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(ids[rows][r].astype(np.int64)), pa.array(own[rows][r]), pa.array(spare[r].astype(np.int32))], names=["key", "doc_id", "h1", "spare"])
+            spare = ((band << 24) + (many - t - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.repeat(own, many)), pa.array(np.repeat(spare, many))], names=["key", "h1", "spare"])
 
     return run
 
@@ -265,16 +270,15 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     widths = np.array([next((w for i, w in enumerate(WIDTHS) if (b, i) in fits), WIDTHS[-1]) for b in range(BANDS + 1)])
     classes = stage(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     texts = docs.where("doc_id is not null")
-    counts = texts.mapInArrow(_counted(k, widths), "key long, many int").groupBy("key").agg(F.sum("many").alias("df")).where("df > 1")
-    counts = stage(counts)
+    # summed within tasks before the shuffle
+    counts = stage(texts.mapInArrow(_counted(k, widths), "key long, many int").repartition("key").groupBy("key").agg(F.sum("many").alias("df")).where("df > 1"))
     # AQE splits a word that many documents share
-    shared = texts.mapInArrow(_postings(k, widths), "key long, doc_id long, h1 long, spare int").join(counts, "key")
-    rarest = F.row_number().over(Window.partitionBy("doc_id", "h1", F.shiftright("spare", 24)).orderBy(F.desc("df"), "key"))  # the words of one document
-    kept = stage(shared.withColumn("at", rarest).where(F.col("at") > F.col("spare").bitwiseAND(F.lit((1 << 24) - 1))).select("key", "doc_id"))
+    shared = texts.mapInArrow(_postings(k, widths), "key long, h1 long, spare int").join(counts, "key")
+    rarest = F.row_number().over(Window.partitionBy("h1", "spare").orderBy(F.desc("df"), "key"))  # the words of one document
+    kept = stage(shared.withColumn("at", rarest).where(F.col("at") > F.col("spare").bitwiseAND(F.lit((1 << 24) - 1))).select("key", "h1"))
     unstage(counts)
-    rep_of = stage(rows.where("n > 0 and doc_id is not null").join(classes, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
-    nodes = stage(rows.where("n > 0").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
-    sized = kept.join(rep_of, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
+    nodes = stage(rows.join(classes, ["n", "h1", "h2"]).where("doc_id = rep").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
+    sized = kept.join(classes.where("rep is not null").select("h1", "rep"), "h1").select("key", F.col("rep").alias("doc_id")).distinct()
     many = stage(sized.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
     sized = stage(sized.join(many, "key"))
     unstage(kept, many)
@@ -288,7 +292,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     first = posts.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     links = _verified(_plausible(first, nodes), docs, k)
     links, comp = _finish(links, posts, nodes, docs, k)
-    unstage(posts, nodes, rep_of, links)
+    unstage(posts, nodes, links)
     named = rows.join(classes, ["n", "h1", "h2"], "left")
     out = named.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
