@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.staging import stage, unstage  # noqa: F401  for the operators
 
@@ -18,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, *without: str) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without]
+
+
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """A struct `row` of df's columns, so that columns of our own beside it clash with none of them."""
+    return F.struct(*named(df, *without)).alias("row")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), elementwise."""
     x = x.astype(U, copy=True)
@@ -59,8 +70,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """S with S[j]-S[i] = sum of code(data[x])*BASE**x for i <= x < j."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(codes[data] * powers(len(data))[0][: len(data)], out=out[1:])
+    return running(codes[data])
+
+
+def running(codes: np.ndarray) -> np.ndarray:
+    """S with S[j]-S[i] = sum of codes[x]*BASE**x for i <= x < j."""
+    out = np.zeros(len(codes) + 1, U)
+    np.cumsum(codes * powers(len(codes))[0][: len(codes)], out=out[1:])
     return out
 
 

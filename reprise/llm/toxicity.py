@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import APART, LOWER_BYTE, U, chunks, prefix_sums, stage, substring_hash, text_bytes, unstage, words_of
+from .common import APART, LOWER_BYTE, U, chunks, prefix_sums, stage, substring_hash, text_bytes, unstage, whole_row, words_of
 
 BITS = 20
 #: A longer word also counts as each of these beginnings, in bytes: stems carry meaning in inflected languages.
@@ -47,21 +47,19 @@ class Severity:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __call__(self, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Expected severity, grade and verdict of each text."""
         table, kept = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
         table[self.features], kept[self.features] = self.weights, True
-        for batch in batches:
-            flat, starts = text_bytes(batch.column(batch.num_columns - 1))
-            severity, toxic, grade = [], [], []
+        for column in texts:
+            flat, starts = text_bytes(column)
+            over = [np.zeros((0, len(self.thresholds)))]
             for i, j in chunks(starts, CHUNK):
                 row, feature, many = _counts(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i], kept)
                 x = np.bincount(row, table[feature] * np.log1p(many), minlength=j - i)
-                over = 1 / (1 + np.exp(-(x[:, None] - self.thresholds[None, :])))
-                severity.append(over.sum(1))
-                toxic.append(over[:, 0] >= 0.5)
-                grade.append((over >= 0.5).sum(1))
-            one = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, one(severity, pa.float64()), one(grade, pa.int32()), one(toxic, pa.bool_())], names=[*batch.schema.names, "_severity", "_grade", "_toxic"])
+                over.append(1 / (1 + np.exp(-(x[:, None] - self.thresholds[None, :]))))
+            over = np.concatenate(over)
+            yield pa.StructArray.from_arrays([pa.array(over.sum(1)), pa.array((over >= 0.5).sum(1).astype(np.int32)), pa.array(over[:, 0] >= 0.5)], names=["severity", "grade", "toxic"])
 
 
 def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, features: int, l2: float = 1e-3, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +89,23 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.nda
     return p[:features], np.concatenate([g[:1], g[0] + np.cumsum(np.exp(g[1:]))])
 
 
+def _only(chosen: np.ndarray):
+    """The lists cut down to the chosen features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(1 << BITS, bool)
+        kept[chosen] = True
+        for batch in batches:
+            feature, tf = (batch.column(x).flatten().to_numpy() for x in ("feature", "tf"))
+            at = batch.column("feature").offsets.to_numpy()
+            on = kept[feature]
+            edge = pa.array(np.concatenate([[0], np.cumsum(on)])[at - at[0]].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge, pa.array(x[on])) for x in (feature, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), *lists], names=["doc_id", "grade", "feature", "tf"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS, min_z: float = 4.5, min_lift: float = 2.0) -> Severity:
     """Fit on docs(doc_id, text) with labels(doc_id, toxic), on about `most` labelled documents at most, chosen by hash.
 
@@ -127,16 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS, min_
     if not chosen:
         return none
     chosen = np.array(sorted(chosen))
-    kept = F.broadcast(words.sparkSession.createDataFrame([(int(c),) for c in chosen], "feature int"))  # at most MOST_FEATURES rows
-    told = words.select("doc_id", "grade")
-    hits = words.select("doc_id", F.explode(F.arrays_zip("feature", "tf")).alias("x")).select("doc_id", "x.*").join(kept, "feature").groupBy("doc_id").agg(F.collect_list(F.struct("feature", "tf")).alias("kept"))
-    rows = told.join(hits, "doc_id", "left").orderBy("doc_id").collect()  # about `most` rows of a few features
-    rows = [{"grade": r["grade"], "kept": sorted(r["kept"] or [])} for r in rows]
+    rows = words.mapInArrow(_only(chosen), "doc_id long, grade int, feature array<int>, tf array<int>").orderBy("doc_id").collect()  # about `most` rows of a few features
     unstage(words)
     grade = np.array([r["grade"] for r in rows])
-    row = np.array([i for i, r in enumerate(rows) for _ in r["kept"]], np.int64)
-    col = np.searchsorted(chosen, np.array([x["feature"] for r in rows for x in r["kept"]], np.int64))
-    tf = np.array([x["tf"] for r in rows for x in r["kept"]], float)
+    row = np.repeat(np.arange(len(rows)), [len(r["feature"]) for r in rows])
+    col = np.searchsorted(chosen, np.array([x for r in rows for x in r["feature"]], np.int64))
+    tf = np.array([x for r in rows for x in r["tf"]], float)
     if grade.max() == 1:
         telling = np.bincount(row, np.log1p(tf), minlength=len(rows))
         grade = np.where((grade == 1) & (telling > np.median(telling[grade == 1])), 2, grade)
@@ -144,17 +155,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS, min_
     return Severity(chosen, weights, thresholds)
 
 
+def judged(text: Column | str, model: Severity) -> Column:
+    """struct(severity, grade, toxic) of a text column: expected grade, thresholds passed at even odds, whether the first is.
+
+    Only the text goes to Python. Null and empty texts score as texts without telling words.
+    """
+
+    @F.arrow_udf("severity double, grade int, toxic boolean")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from model(texts)
+
+    return run(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
+
+
 def scored(docs: DataFrame, model: Severity) -> DataFrame:
-    """docs with _severity (expected grade), _grade (thresholds passed at even odds) and _toxic added.
+    """docs with _severity, _grade and _toxic added, or replaced if docs has columns of these names.
 
-    Every row comes back once, whatever its columns; null and empty texts score as texts without telling words.
+    Every row comes back once, whatever its other columns; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_scored_text", text).mapInArrow(model, f"{types}, _scored_text string, _severity double, _grade int, _toxic boolean").drop("_scored_text")
+    held = docs.select(whole_row(docs, "_severity", "_grade", "_toxic"), judged("text", model).alias("told"))
+    return held.select("row.*", *[F.col(f"told.{x}").alias(f"_{x}") for x in ("severity", "grade", "toxic")])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, severity, grade, toxic) of every row of docs, by a model fitted on their labels."""
-    out = scored(docs.select("doc_id", "text"), fit(docs, labels))
-    return out.select("doc_id", F.col("_severity").alias("severity"), F.col("_grade").alias("grade"), F.col("_toxic").alias("toxic"))
+    return docs.select("doc_id", judged("text", fit(docs, labels)).alias("told")).select("doc_id", "told.*")
