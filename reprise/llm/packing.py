@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import chunks, stage, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE = 1_000_000
-CACHE_BYTES = 1 << 26
+CACHE_BYTES = 1 << 25
+#: What an entry takes beside its characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 220
 CHUNK = 1 << 23
 BUCKETS = 1024
 
@@ -62,22 +63,32 @@ def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-class Encoder:
-    """The ids of many stretches of text, each distinct one tokenised once while it is kept.
+_tokenizers: dict = {}
 
-    Beyond CACHE stretches or CACHE_BYTES of them only those of the latest batch stay, and the frequent ones are among
-    them, so memory stays bounded.
-    """
 
-    def __init__(self, path: str):
+def tokenizer(path: str):
+    """One for each worker process."""
+    if path not in _tokenizers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[str, np.ndarray | int] = {}
+        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path].encode_special_tokens = True
+    return _tokenizers[path]
+
+
+class Encoder:
+    """The ids of many stretches of text, each distinct one tokenised once while it is kept.
+
+    It belongs to one task and goes with it. Beyond CACHE_BYTES of memory only the stretches of the latest batch stay,
+    and the frequent ones are among them; if these alone are more, none.
+    """
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        self.known: dict[str, bytes] = {}
         self.size = 0
 
     def __call__(self, parts: list[str]) -> list[bytes]:
@@ -87,26 +98,16 @@ class Encoder:
             some = new[lo : lo + 20_000]
             for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
                 known[p] = np.array(e.ids, "<u4").tobytes()
-        self.size += sum(map(len, new))
+        cost = lambda of: sum(2 * len(p) + len(known[p]) + ENTRY_BYTES for p in of)
+        self.size += cost(new)
         out = [known[p] for p in parts]
-        if len(known) > CACHE or self.size > CACHE_BYTES:
-            self.known = dict(zip(parts, out))
-            self.size = sum(map(len, parts))
-            if self.size > CACHE_BYTES:
-                self.known, self.size = {}, 0
+        if self.size > CACHE_BYTES:
+            self.size = cost(parts)
+            self.known = dict(zip(parts, out)) if self.size <= CACHE_BYTES else {}
+            self.size *= bool(self.known)
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each worker process, so that the tasks it runs share what is known."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def token_ids(column: pa.Array, encode: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, flat ids and row edges for runs of rows of about CHUNK bytes."""
     flat, starts = text_bytes(column)
@@ -127,7 +128,7 @@ def token_ids(column: pa.Array, encode: Encoder) -> Iterator[tuple[int, np.ndarr
 
 def _tokenised(tokenizer_path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = Encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
