@@ -41,7 +41,7 @@ def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), passage_words=50)
 
 
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
