@@ -1,8 +1,10 @@
 """Secret scan: candidate strings, and a random forest that removes false positives. DataFrame functions and Spark ML only.
 
-Candidates are runs of 16 or more key characters. The forest sees their length, character classes and transitions,
-how much of them dictionary pieces cover, whether they look like a path, and the words before and after; it is trained
-on labelled findings(candidate, before, after, label). Without any of one's own, labelled_findings() has generated ones.
+Candidates are tokens of three parts, runs of 16 or more key characters, anything of 6 characters and more after a name
+like `password` and a mark, and words of 10 and more characters of every class. The forest sees their length, character
+classes and transitions, how much of them dictionary pieces cover, whether they look like a path, and the words before
+and after; it is trained on labelled findings(candidate, before, after, label). Without any of one's own,
+labelled_findings() has generated ones.
 """
 
 from __future__ import annotations
@@ -11,16 +13,28 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 KEY = "A-Za-z0-9+/_\\-"
-CANDIDATE = f"(?<![{KEY}])[{KEY}]{{16,}}"
+#: Words that announce a secret, up to the mark between the two.
+NAMED = "(?i:passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: A token of three parts; 6 characters or more after a name and a mark; a word of every class of characters; a run of
+#: key characters. Where the mark must be near, it is looked for first, as most places fail there.
+CANDIDATE = "|".join([
+    f"(?<![{KEY}])eyJ[{KEY}]{{8,}}\\.[{KEY}]{{8,}}\\.[{KEY}]{{8,}}",
+    f"(?<=[=:][ \"']{{0,3}})(?<={NAMED}[\"']? {{0,2}}[=:] {{0,2}}[\"']?)[^\\s\"'`<>=]{{5,}}[^\\s\"'`<>=,.;:)]",
+    "(?<=[\\s\"'`=:(]|^)(?=[^\\s\"'`]{0,64}[!#$%&*?@^~])(?=[^\\s\"'`]{0,64}[0-9])(?=[^\\s\"'`]{0,64}[A-Z])(?=[^\\s\"'`]{0,64}[a-z])[^\\s\"'`]{9,}[^\\s\"'`,.;:)]",
+    f"(?<![{KEY}])[{KEY}]{{16,}}",
+])
 NEAR = 40
-TRAINING_FINDINGS = 6_000
+TRAINING_FINDINGS = 8_000
+BLOCK = 256
 #: Pieces of ordinary words, in several European languages.
 DICTIONARY = "tion|ment|ing|the|and|ent|ation|able|ness|ous|ive|ier|eur|eau|ais|que|ado|ido|cion|ando|ero|ung|heit|keit|lich|isch|sch|ein|ver|ber|ter|der|con|pre|pro|com|res|est|ant|ard|ist|ers|ess|all|our|ard|ight|over|ever|her|hat|tha|ere|ion|ted|ble|ly|er|an|on|re|he|in|ed|nd|ha|at|en|es|or|ti|st|th|ou|it|is|le|ei|ie|ge|ch|ue|la|de|el"
-FEATURES = ["length", "digits", "upper", "lower", "hexes", "distinct", "runs", "mixes", "vowels", "covered", "slashes", "dashes", "uuid", "keyword", "assigned", "quoted", "digest", "dummy", "prefix", "pathlike"]
+FEATURES = ["length", "digits", "marks", "upper", "lower", "hexes", "distinct", "runs", "mixes", "vowels", "covered", "slashes", "dashes", "uuid", "keyword", "assigned", "quoted", "digest", "dummy", "prefix", "pathlike"]
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -32,6 +46,7 @@ def features(found: DataFrame) -> DataFrame:
     made = {
         "length": n.cast("double"),
         "digits": share("[0-9]"),
+        "marks": share("[^A-Za-z0-9+/_-]"),
         "upper": share("[A-Z]"),
         "lower": share("[a-z]"),
         "hexes": share("[0-9a-f]"),
@@ -68,8 +83,10 @@ def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> Dat
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_token"]
     named = F.concat(text, pick(names, "n"), pick(["=", " = \"", ": \"", "='", ": ", " = "], "e"))
     closing = pick(['"', "'", "", " and", "\n"], "q")
+    mixed = F.translate(F.base64(F.unhex(F.sha2(F.concat(i, F.lit("m")), 512))), "+/=aeiou", "!#@$%&*?^")
+    short = F.concat(pick(syllables, "s1"), pick(syllables, "s2"), F.conv(F.substring(hexes, 1, 3), 16, 10))
+    plain = ["required", "string", "something", "optional", "unknown", "expired", "changeme", "nothing", "password", "minutes", "authentication", "username/password", "everything.", "2020-01-01", "santa's", "{password}", "$PASSWORD", "undefined"]
     cut = lambda x, lo, hi, salt: F.substring(x, F.lit(1), (bit(hi - lo + 1, salt) + lo).cast("int"))
-    kind = bit(15, "kind")
     rows = [
         (F.concat(pick(["AKIA", "ASIA"], "p"), F.substring(caps, 1, 16)), text, F.lit(" of"), 1),
         (F.concat(F.lit("AKIA"), F.substring(caps, 1, 16)), named, closing, 1),
@@ -86,12 +103,21 @@ def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> Dat
         (F.rpad(F.conv(F.substring(hexes, 1, 14), 16, 10), 16, "7"), text, F.lit(". "), 0),
         (F.upper(word("v")), F.concat(F.upper(text), F.lit("!! ")), F.lit("!! "), 0),
         (F.concat(pick(["your-api-key-", "example-token-", "xxxxxxxxxxxx", "changeme-"], "z"), word("c")), named, closing, 0),
+        (cut(mixed, 8, 20, "l5"), named, closing, 1),
+        (cut(b64, 8, 15, "l6"), named, closing, 1),
+        (short, named, closing, 1),
+        (F.concat(F.lit("Aa7!"), cut(mixed, 8, 20, "l7")), text, F.lit(" "), 1),
+        (F.concat(F.lit("eyJ"), F.concat_ws(".", F.substring(b64, 1, 20), F.substring(b64, 21, 30), F.substring(b64, 51, 30))), text, closing, 1),
+        (pick(plain, "pl"), named, closing, 0),
+        (F.concat(pick(syllables, "s3"), pick(syllables, "s4"), pick(syllables, "s5"), pick(["", "s", "ed", "."], "s6")), named, closing, 0),
+        (F.concat(pick(["Hello,", "C++11&", "Part2:", "Q4/FY21!", "https://a.b/C?d=1&"], "f"), word("d"), pick(["", "!", "?", "#2"], "f2")), text, F.lit(" "), 0),
     ]
+    kind = bit(len(rows), "kind")
     col = lambda at: F.when(kind == 0, rows[0][at]) if at < 3 else F.when(kind == 0, F.lit(rows[0][3]))
     out = [col(at) for at in range(4)]
     for k, row in enumerate(rows[1:], 1):
         out = [o.when(kind == k, row[at] if at < 3 else F.lit(row[3])) for at, o in enumerate(out)]
-    return spark.range(0, many, 1, 4).select(out[0].alias("candidate"), F.right(out[1], F.lit(NEAR)).alias("before"), out[2].alias("after"), out[3].cast("double").alias("label")).where(F.length("candidate") >= 16)
+    return spark.range(0, many, 1, 4).select(out[0].alias("candidate"), F.right(out[1], F.lit(NEAR)).alias("before"), out[2].alias("after"), out[3].cast("double").alias("label")).where(F.length("candidate") >= 6)
 
 
 def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5):
@@ -100,23 +126,30 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5):
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), forest]).fit(features(findings))
 
 
-def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
+def running(parts: Column) -> Column:
+    """The sums of an array of numbers up to each place, in blocks, so that long arrays are copied block by block only."""
+    zero = F.lit(0).cast("long")
+    many = F.ceil(F.size(parts) / BLOCK).cast("int")
+    at = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda j: F.slice(parts, j * BLOCK + 1, F.lit(BLOCK))
+    last = lambda s: F.element_at(s, -1)
+    scan = lambda x, start: F.slice(F.aggregate(x, F.array(start), lambda s, y: F.concat(s, F.array(last(s) + y))), F.lit(2), F.size(x))
+    base = F.aggregate(at, F.array(zero), lambda s, j: F.concat(s, F.array(last(s) + F.aggregate(block(j), zero, lambda t, y: t + y))))
+    return F.flatten(F.transform(F.arrays_zip(at.alias("j"), F.slice(base, F.lit(1), many).alias("b")), lambda x: scan(block(x["j"]), x["b"])))
+
+
+def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """Every candidate of docs' texts with the columns in keep: _at (its number, from 0), start (characters before it), candidate, before, after.
 
-    The texts between candidates come from splitting at them, so positions and neighbours need no second search.
+    The texts between candidates come from splitting at them, so positions and neighbours need no second search; all of
+    a text's candidates are placed at once, before they become rows.
     """
     text = F.col("text").cast("string")
     found = docs.where(F.regexp_like(text, F.lit(CANDIDATE))).select(*keep, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_c"), F.split(text, CANDIDATE, -1).alias("_g"))
-    one = found.select(*keep, "_g", F.posexplode("_c").alias("_at", "candidate"), F.col("_c").alias("_all"))
-    return one.select(
-        *keep,
-        "_at",
-        "candidate",
-        F.aggregate(F.slice("_g", 1, F.col("_at") + 1), F.lit(0), lambda s, x: s + F.length(x)).alias("_gaps"),
-        F.aggregate(F.slice("_all", 1, F.col("_at")), F.lit(0), lambda s, x: s + F.length(x)).alias("_before"),
-        F.right(F.get("_g", F.col("_at")), F.lit(NEAR)).alias("before"),
-        F.left(F.get("_g", F.col("_at") + 1), F.lit(NEAR)).alias("after"),
-    ).withColumn("start", F.col("_gaps") + F.col("_before")).drop("_gaps", "_before")
+    ahead = F.transform("_c", lambda x, i: (F.length(F.get("_g", i)) + F.when(i > 0, F.length(F.get("_c", i - 1))).otherwise(0)).cast("long"))
+    names = found.columns[:-2]
+    told = found.select(*names, F.arrays_zip(F.col("_c").alias("candidate"), running(ahead).alias("start"), F.transform("_c", lambda x, i: F.right(F.get("_g", i), F.lit(NEAR))).alias("before"), F.transform("_c", lambda x, i: F.left(F.get("_g", i + 1), F.lit(NEAR))).alias("after")).alias("_all"))
+    return told.select(*names, F.posexplode("_all").alias("_at", "_one")).select(*names, "_at", "_one.*")
 
 
 def judged(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
@@ -134,7 +167,7 @@ def scan(docs: DataFrame, model=None) -> DataFrame:
     model = model or fit(labelled_findings(docs.sparkSession))
     c = F.col("candidate")
     kind = F.when(c.rlike("^A[KS]IA[A-Z0-9]{16}$"), "access_key").when(F.col("before").rlike("(?i)passw|pwd"), "password").when(F.col("before").rlike("(?i)token|bearer"), "token").otherwise("key")
-    out = judged(candidates(docs, ["doc_id"]), model)
+    out = judged(candidates(docs, [F.col("doc_id")]), model)
     return out.select("doc_id", F.col("_at").alias("finding"), "start", F.length(c).cast("long").alias("length"), kind.alias("kind"), "probability", F.sha2(c, 256).alias("secret_sha256"))
 
 
@@ -145,12 +178,12 @@ def redacted(docs: DataFrame, model=None, mark: str = "[SECRET]") -> DataFrame:
     """
     model = model or fit(labelled_findings(docs.sparkSession))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_i", F.col("doc_id"))
-    flags = judged(candidates(keyed, ["_i", "_h"]), model).groupBy("_i", "_h").agg(F.collect_set("_at").alias("_flags"))
-    hit = keyed.join(flags.withColumnsRenamed({"_i": "_fi", "_h": "_fh"}), F.col("_i").eqNullSafe(F.col("_fi")) & (F.col("_h") == F.col("_fh")), "left")
-    gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(i >= F.size(found), "").when(F.array_contains("_flags", i), mark).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
-    new = hit.withColumn("text", F.when(F.col("_flags").isNull(), text).otherwise(F.array_join(parts, "")))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_flags").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return new.select(*docs.columns)
+    told = docs.select(whole_row(docs), text.alias("text"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
+    flags = judged(candidates(told, [F.col("id"), F.col("h")]), model).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("_at").alias("flags"))  # of one text
+    hit = told.join(flags, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    gaps, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(i >= F.size(found), "").when(F.array_contains("flags", i), mark).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
+    new = hit.select("row", F.col("flags").isNotNull().alias("hit"), F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(parts, "")).alias("text"))
+    name = lambda c: f"`{c.replace('`', '``')}`"
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return new.select(*[made[c].alias(c) if c in made else F.col(f"row.{name(c)}").alias(c) for c in docs.columns])
