@@ -1,22 +1,25 @@
 """Nearest neighbours by stable projections and a kd-tree, and exact top-k by the threshold algorithm.
 
-Both answer a stated query set against all rows in blocks: rows are dealt into candidate blocks of bounded size,
-queries into query blocks, and each pair of blocks is one task; each block answers with its own k best, and a window
-per query merges them.
+Both answer a stated query set against all rows. Rows are dealt into blocks of bounded size, each row into one; the
+queries go to every block. A block's rows come first and make its index once, the queries then stream past it in Arrow
+batches; each block answers with its own k best, and a window per query merges them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query_id long, vec_id long, score {score}, place binary"
+#: Of ids and vectors, ascending by id, makes what answers queries (ids, vectors) with query numbers, places and scores.
+Index = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list]]]
 
 
 def usable(rows: DataFrame, zero_too: bool) -> DataFrame:
@@ -26,28 +29,71 @@ def usable(rows: DataFrame, zero_too: bool) -> DataFrame:
     return rows if zero_too else rows.where(F.exists("v", lambda x: x != 0))
 
 
-def blocked(rows: DataFrame, queries: DataFrame, per_block: int, per_query_block: int, search, k: int) -> DataFrame:
-    """search(query ids, query vectors, ids, vectors) -> frame of RESULT, on every pair of blocks; then the k best of each query."""
-    n, q = rows.count(), queries.count()
-    blocks, qblocks = max(1, math.ceil(n / per_block)), max(1, math.ceil(q / per_query_block))
-    deal = lambda many: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(qblocks).alias("qblock"), "vec_id", "v")
-    right = rows.select(deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"), "vec_id", "v")
+def _answered(index: Index, score: pa.DataType):
+    """Answers the queries of each block in turn; rows of a block come before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, made = None, [], {}
+        for batch in batches:
+            block, asks = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("block", "asks"))
+            edge = np.flatnonzero((block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(block)]):
+                if lo == hi:
+                    continue
+                if block[lo] != now:
+                    now, held, made = block[lo], [], {}
+                part = batch.slice(lo, hi - lo)
+                ids, flat = part.column("vec_id").to_numpy(), part.column("v")
+                at = flat.offsets.to_numpy()
+                values, width = flat.flatten().to_numpy(), np.diff(at)
+                # vectors of other lengths have no inner product
+                some = {int(w): (ids[on], values[(at[:-1][on] - at[0])[:, None] + np.arange(w)]) for w in np.unique(width) for on in [width == w]}
+                if not asks[lo]:
+                    held.append(some)
+                    continue
+                for w, (qid, qv) in some.items():
+                    if w not in made:
+                        mine = [x[w] for x in held if w in x]
+                        if mine:
+                            ids, v = np.concatenate([x for x, _ in mine]), np.concatenate([x for _, x in mine])
+                            order = np.argsort(ids, kind="stable")
+                            made[w] = ids[order], index(ids[order], v[order])
+                        else:
+                            made[w] = None
+                    if made[w]:
+                        ids, answer = made[w]
+                        who, places, scores = answer(qid, qv)
+                        exact = score == pa.int64()
+                        told = [max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in scores] if exact else scores
+                        key = pa.array([sortable(int(x)) for x in scores] if exact else [None] * len(who), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[who], pa.int64()), pa.array(ids[places], pa.int64()), pa.array(told, score), key], names=["query_id", "vec_id", "score", "place"])
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for width in sorted(set(a["v"].map(len)) & set(b["v"].map(len))):  # vectors of other lengths have no inner product
-            x, y = a[a["v"].map(len) == width].sort_values("vec_id"), b[b["v"].map(len) == width].sort_values("vec_id")
-            out.append(search(x["vec_id"].to_numpy(), np.stack(x["v"].to_numpy()), y["vec_id"].to_numpy(), np.stack(y["v"].to_numpy())))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    return run
+
+
+def sortable(n: int) -> bytes:
+    """Bytes in the order of the whole numbers they stand for, of any size."""
+    size = (abs(n).bit_length() + 7) // 8
+    raw = abs(n).to_bytes(size, "big")
+    return (32768 + size).to_bytes(2, "big") + raw if n >= 0 else (32768 - size).to_bytes(2, "big") + bytes(255 - x for x in raw)
 
-    found = left.groupBy("block", "qblock").cogroup(right.groupBy("block", "qblock")).applyInPandas(run, RESULT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+def blocked(rows: DataFrame, every: int, per_block: int, index: Index, k: int, exact: bool) -> DataFrame:
+    """The k best answers of every query among all rows, ties to the smaller vec_id."""
+    blocks = max(1, math.ceil(rows.count() / per_block))
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    both = dealt.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    score = ("long", pa.int64()) if exact else ("double", pa.float64())
+    found = both.mapInArrow(_answered(index, score[1]), RESULT.format(score=score[0]))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place" if exact else "score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: highest score, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(ids) > k:
         kth = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= kth)
@@ -91,81 +137,119 @@ def kd_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, starts, low, high
 
 
-def projected_search(k: int, dims: int, sure: float, leaf: int, seed: int):
-    """Searches one block: leaves in the order of their distance in the projected space, until the chi-square test holds.
+def chi_square_limit(sure: float, dims: int) -> float:
+    """Where the distribution reaches `sure`."""
+    lo, hi = 0.0, 64.0 * dims
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if chi_square_cdf(np.array(mid), dims) >= sure else (mid, hi)
+    return hi
+
+
+def projected_index(k: int, dims: int, sure: float, leaf: int, seed: int) -> Index:
+    """Verifies projected neighbours from the nearest on, until the chi-square test holds.
 
     The largest inner product is the smallest distance once candidates get one more component that makes their norms
     equal. A Gaussian projection to `dims` dimensions makes (projected distance / distance)**2 chi-square distributed,
-    so with every unseen leaf at projected distance r or more, a better neighbour than the kth, at distance d, is still
-    unseen with probability at most 1 - cdf(r*r/d*d); the search of a query stops once the cdf is `sure`.
+    so once every row within projected distance r is verified, a row nearer than the kth, at distance d, is still
+    unseen with probability at most 1 - cdf(r*r/d*d); a query is done when the cdf is `sure`. The tree gives its leaves
+    in the order of their distance; in a leaf only rows within the r of the moment are verified. As d only falls, so
+    does r, and what was left out stays out.
     """
 
-    def run(qid: np.ndarray, qv: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    def make(ids: np.ndarray, v: np.ndarray):
+        # by a power of two, so that no square overflows and no digit is lost
+        scale = 2.0 ** -max(-900, math.frexp(np.abs(v).max())[1])
+        v = v * scale
         norm = np.einsum("ij,ij->i", v, v)
         most = norm.max()
         space = np.random.default_rng(seed).standard_normal((v.shape[1] + 1, dims))
         flat = np.hstack([v, np.sqrt(np.maximum(0, most - norm))[:, None]]) @ space
         order, starts, low, high = kd_tree(flat, leaf)
-        v, ids = v[order], ids[order]
-        at = qv @ space[:-1]
-        gap = np.zeros((len(qv), len(low)))
-        for d in range(dims):
-            x = at[:, d : d + 1]
-            gap += np.maximum(0, np.maximum(low[:, d] - x, x - high[:, d])) ** 2
-        turn = np.argsort(gap, axis=1, kind="stable")
-        gap = np.take_along_axis(gap, turn, 1)
-        qn = np.einsum("ij,ij->i", qv, qv)
-        keep = min(k, len(v))
-        top_s, top_i = np.full((len(qv), keep), -np.inf), np.full((len(qv), keep), -1)
-        active, done, wave = np.arange(len(qv)), 0, max(1, math.ceil(4 * k / leaf))
-        while len(active) and done < len(low):
-            mine = turn[active, done : done + wave]
-            who, which = np.repeat(active, mine.shape[1]), mine.ravel()
-            by = np.argsort(which, kind="stable")
-            who, which = who[by], which[by]
-            edge = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
-            for a, b in zip(edge[:-1], edge[1:]):
-                lo, hi, rows = starts[which[a]], starts[which[a] + 1], who[a:b]
-                score = qv[rows] @ v[lo:hi].T
-                score[qid[rows][:, None] == ids[None, lo:hi]] = -np.inf  # a query is no candidate of its own
-                # a hair below the kth counts as a tie here; exact scores decide
-                kth = top_s[rows, -1]
-                floor = np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth), np.finfo(float).min)
-                better = score >= floor[:, None]
-                for x in np.flatnonzero(better.any(1)):
-                    r, new = rows[x], np.flatnonzero(better[x])
-                    if len(new):
+        v, own, flat = v[order], ids[order], flat[order]
+        length = np.einsum("ij,ij->i", flat, flat)
+        limit = chi_square_limit(sure, dims)
+
+        def answer(qid: np.ndarray, qv: np.ndarray):
+            unit = 2.0 ** -np.maximum(-900, np.frexp(np.abs(qv).max(1))[1].astype(float))[:, None]
+            full, qv = qv, qv * unit
+            # the transform needs queries no longer than candidates; their length changes no order
+            qn = np.einsum("ij,ij->i", qv, qv)
+            at = qv @ space[:-1]
+            gap = np.zeros((len(qv), len(low)))
+            for d in range(dims):
+                x = at[:, d : d + 1]
+                gap += np.maximum(0, np.maximum(low[:, d] - x, x - high[:, d])) ** 2
+            turn = np.argsort(gap, axis=1, kind="stable")
+            gap = np.take_along_axis(gap, turn, 1)
+            al = np.einsum("ij,ij->i", at, at)
+            keep = min(k, len(v))
+            top_s, top_i = np.full((len(qv), keep), -np.inf), np.full((len(qv), keep), -1)
+            within = np.full(len(qv), np.inf)
+            active, done, wave = np.arange(len(qv)), 0, max(1, math.ceil(4 * k / leaf))
+            while len(active) and done < len(low):
+                mine = turn[active, done : done + wave]
+                who, which = np.repeat(active, mine.shape[1]), mine.ravel()
+                by = np.argsort(which, kind="stable")
+                who, which = who[by], which[by]
+                edge = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
+                for a, b in zip(edge[:-1], edge[1:]):
+                    lo, hi, rows = starts[which[a]], starts[which[a] + 1], who[a:b]
+                    far = al[rows][:, None] + length[lo:hi] - 2 * (at[rows] @ flat[lo:hi].T)
+                    near = (far <= within[rows][:, None] * (1 + 1e-9) + 1e-9) & (qid[rows][:, None] != own[None, lo:hi])  # a query is no candidate of its own
+                    x, y = np.nonzero(near)
+                    score = np.einsum("ij,ij->i", qv[rows[x]], v[lo + y])
+                    better = score >= top_s[rows[x], -1]
+                    x, y, score = x[better], y[better], score[better]
+                    cut = np.searchsorted(x, np.arange(len(rows) + 1))
+                    for z in np.flatnonzero(np.diff(cut)):
+                        r, new = rows[z], slice(cut[z], cut[z + 1])
                         old = top_i[r] >= 0
-                        places = np.concatenate([top_i[r][old], lo + new])
-                        exact = np.concatenate([top_s[r][old], inner(qv[r], v[lo + new])])
-                        pick = best(ids[places], exact, keep)
-                        top_s[r, : len(pick)], top_i[r, : len(pick)] = exact[pick], places[pick]
-            done += mine.shape[1]
-            if done < len(low):
-                far = np.maximum(qn[active] + most - 2 * top_s[active, -1], 1e-12)
-                active = active[(chi_square_cdf(gap[active, done] / far, dims) < sure) | ~np.isfinite(far)]
-            wave = min(2 * wave, 16)
-        on = top_i >= 0
-        return pd.DataFrame({"query_id": np.repeat(qid, on.sum(1)), "vec_id": ids[top_i[on]], "score": top_s[on]})
-
-    return run
-
-
-def nearest(rows: DataFrame, k: int = 20, every: int = 20, dims: int = 16, sure: float = 0.7, leaf: int = 128, seed: int = 11, per_block: int = 16384, per_query_block: int = 512) -> DataFrame:
+                        places = np.concatenate([top_i[r][old], lo + y[new]])
+                        all_s = np.concatenate([top_s[r][old], score[new]])
+                        pick = best(own[places], all_s, keep)
+                        top_s[r, : len(pick)], top_i[r, : len(pick)] = all_s[pick], places[pick]
+                done += mine.shape[1]
+                kth = qn[active] + most - 2 * top_s[active, -1]
+                within[active] = np.where(np.isfinite(kth), limit * np.maximum(kth, 1e-12), np.inf)
+                if done < len(low):
+                    active = active[gap[active, done] <= within[active]]
+                wave = min(2 * wave, 16)
+            who, col = np.nonzero(top_i >= 0)
+            places = top_i[who, col]
+            # each score as all scores are: components in order, on the vectors as they came
+            return who, order[places], np.einsum("ij,ij->i", full[who], v[places] / scale)
+
+        return answer
+
+    return make
+
+
+def nearest(rows: DataFrame, k: int = 20, every: int = 20, dims: int = 16, sure: float = 0.9, leaf: int = 64, seed: int = 11, per_block: int = 32768) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k rows of largest inner product found.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; vectors of other lengths than the
     query's are no candidates. Ties go to the smaller vec_id; repeated ids are rows of their own. An empty table gives
-    an empty result. Nothing is fitted: the projections are random with a fixed seed, and every row is indexed.
+    an empty result. Nothing is fitted: the projections are random with a fixed seed, and every row is indexed. `sure`
+    is the chance that the kth neighbour isn't missed; nearer ones are missed less often.
     """
     rows = stage(usable(rows, zero_too=False))
-    return blocked(rows, rows.where(F.col("vec_id") % every == 0), per_block, per_query_block, projected_search(k, dims, sure, leaf, seed), k)
+    return blocked(rows, every, per_block, projected_index(k, dims, sure, leaf, seed), k, exact=False)
 
 
 # ---------------------------------------------------------------- the threshold algorithm
 
 
-def threshold_search(k: int, step: int):
+def whole(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of each component, as doubles, or as whole numbers of any size where doubles can't hold them all."""
+    with np.errstate(over="ignore"):
+        out = np.floor(v * scale)
+    if np.abs(out).max(initial=0) < 1 << 53:
+        return out
+    return np.array([[int(x) * scale if abs(x) >= 1 << 53 else math.floor(x * scale) for x in row] for row in v.tolist()], object)
+
+
+def threshold_index(k: int, step: int, scale: int) -> Index:
     """Fagin's threshold algorithm over one block's sorted lists, one per dimension.
 
     The lists of a query are read from the end that raises its score, `step` entries deeper each round; every row met
@@ -173,50 +257,61 @@ def threshold_search(k: int, step: int):
     the search stops when that bound is below the kth score (at equality it goes on: a tie might have a smaller id).
     """
 
-    def run(qid: np.ndarray, qv: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        n, width = v.shape
+    def make(ids: np.ndarray, raw: np.ndarray):
+        v = whole(raw, scale)
+        large = float(max(np.abs(v).max(), 1)) if v.dtype != object else np.inf
         lists = np.argsort(v, axis=0, kind="stable").T
-        out_q, out_i, out_s = [], [], []
-        for i, q in zip(qid, qv):
-            dims = np.flatnonzero(q)
-            seen = ids == i
-            top_i, top_s = np.zeros(0, np.int64), np.zeros(0)
-            depth, grow = 0, step
-            mine = [lists[d] if q[d] < 0 else lists[d][::-1] for d in dims]
-            while True:
-                to = min(n, depth + grow)
-                if len(dims):
-                    met = np.concatenate([m[depth:to] for m in mine])
-                    fresh = np.zeros(n, bool)
-                    fresh[met] = True
-                    fresh &= ~seen
-                else:
-                    fresh = ~seen
-                new = np.flatnonzero(fresh)
-                seen |= fresh
-                if len(new):
-                    rows, scores = np.concatenate([top_i, new]), np.concatenate([top_s, v[new] @ q])
-                    pick = best(ids[rows], scores, k)
-                    top_i, top_s = rows[pick], scores[pick]
-                depth, grow = to, 2 * grow
-                bound = sum(q[d] * v[m[depth - 1], d] for d, m in zip(dims, mine))
-                if depth >= n or not len(dims) or seen.all() or (len(top_s) == k and bound < top_s[-1]):
-                    break
-            out_q.append(np.full(len(top_i), i))
-            out_i.append(ids[top_i])
-            out_s.append(top_s)
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_i), "score": np.concatenate(out_s)})
+        n, width = v.shape
+        objects = v.astype(object) if v.dtype == object else None
+
+        def answer(qid: np.ndarray, qraw: np.ndarray):
+            nonlocal objects
+            out_q, out_i, out_s = [], [], []
+            for at, i in enumerate(qid):
+                q, rows_v = whole(qraw[at : at + 1], scale)[0], v
+                if q.dtype == object or large * max(np.abs(q).max(), 1) * width >= 1 << 53:  # sums might not be exact as doubles
+                    if objects is None:
+                        objects = np.array([[int(x) for x in row] for row in v.tolist()], object)
+                    q, rows_v = np.array([int(x) for x in q.tolist()], object), objects
+                dims = np.flatnonzero(q != 0)
+                seen = ids == i
+                top_i, top_s = np.zeros(0, np.int64), np.zeros(0, q.dtype)
+                depth, grow = 0, step
+                mine = [lists[d] if q[d] < 0 else lists[d][::-1] for d in dims]
+                while True:
+                    to = min(n, depth + grow)
+                    if len(dims):
+                        fresh = np.zeros(n, bool)
+                        fresh[np.concatenate([m[depth:to] for m in mine])] = True
+                        fresh &= ~seen
+                    else:
+                        fresh = ~seen
+                    new = np.flatnonzero(fresh)
+                    seen |= fresh
+                    if len(new):
+                        rows, scores = np.concatenate([top_i, new]), np.concatenate([top_s, rows_v[new] @ q])
+                        pick = best(ids[rows], scores, k)
+                        top_i, top_s = rows[pick], scores[pick]
+                    depth, grow = to, 2 * grow
+                    if depth >= n or not len(dims) or seen.all() or (len(top_s) == k and sum(q[d] * rows_v[m[depth - 1], d] for d, m in zip(dims, mine)) < top_s[-1]):
+                        break
+                out_q.append(np.full(len(top_i), at))
+                out_i.append(top_i)
+                out_s += top_s.tolist()
+            return np.concatenate(out_q), np.concatenate(out_i), out_s
 
-    return run
+        return answer
+
+    return make
 
 
-def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, step: int = 16, per_block: int = 8192, per_query_block: int = 512) -> DataFrame:
+def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, step: int = 16, per_block: int = 32768) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k highest integer inner products.
 
-    Components become floor(scale * x); their products and sums stay exact in doubles up to 2**53. Vectors that are
-    null or hold null or non-finite components take no part, the zero vector does; vectors of other lengths than the
-    query's are no candidates. Ties go to the smaller vec_id; an empty table gives an empty result.
+    Components become floor(scale * x). Where sums could pass 2**53 they are added as whole numbers of any size, so the
+    order is exact for every finite vector; a score beyond the range of a long is shown as that range's end. Vectors
+    that are null or hold null or non-finite components take no part, the zero vector does; vectors of other lengths
+    than the query's are no candidates. Ties go to the smaller vec_id; an empty table gives an empty result.
     """
-    rows = stage(usable(rows, zero_too=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double"))))
-    found = blocked(rows, rows.where(F.col("vec_id") % every == 0), per_block, per_query_block, threshold_search(k, step), k)
-    return found.withColumn("score", F.col("score").cast("long"))
+    rows = stage(usable(rows, zero_too=True))
+    return blocked(rows, every, per_block, threshold_index(k, step, scale), k, exact=True)
