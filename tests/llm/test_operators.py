@@ -13,7 +13,11 @@ from reprise.llm import language, mixing, packing, parity_join, search, secrets,
 from reprise.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
-CLASH = ["n", "key", "rank", "rep", "g", "block", "size", "shard", "did", "th", "component", "_source", "label"]
+#: Names that the operators use for columns of their own.
+CLASH = """n key rank rep g block size shard did th component _source label row told id tokens order bucket begin from base epoch epochs quota
+total weight sum h i flags hit start candidate before after _at _one _c _g _all severity grade toxic _severity _grade _toxic spare df at h1 h2
+sketch width least core whole parts _told asks v place _h _i _order _base _bucket _begin _from _epoch _tokens _weight _power _block _slot length
+piece offset sequence_id text_crc32 slot held_out lang_pred score n_bytes n_removed repeats probability features label we`ird""".split()
 EDGE = [
     (1, None, "en", "a"), (2, "", "en", "a"), (3, "one", None, None), (4, "one", "en", None), (5, " \n\t ", "de", "b"), (6, "the quick brown fox jumps over the lazy dog again", "en", "a"),
     (7, "the quick brown fox jumps over the lazy dog again", "en", "a"), (8, "x" * 30_000, "fr", "b"), (9, "word " * 9_000, "es", "c"), (10, "é ü ñ 123 !?", "es", "c"), (None, "no id here at all, none", "en", "a"), (12, "12345 67890", "en", "a"),
@@ -40,19 +44,24 @@ OPS = {
     "language": language.with_held_out,
     "mix": mixing.mixture,
     "join": parity_join.jaccard_components,
-    "dedup": suffix_dedup.repeated_bytes,
+    "dedup": lambda d: suffix_dedup.repeated_bytes(d, passage_words=8),
     "toxic": lambda d: toxicity.toxicity(d, d.select("doc_id", F.lit(0).alias("toxic"))),
     "secrets": secrets.scan,
     "redact": secrets.redacted,
+    "scored": lambda d: toxicity.scored(d, toxicity.Severity(np.zeros(0, np.int64), np.zeros(0), np.array([20.0]))),
+    "mixed": mixing.mixed,
 }
 
 
 @pytest.mark.parametrize("name", OPS)
 def test_awkward_and_empty(edge, name):
     rows = OPS[name](edge).collect()
-    if name not in ("pack", "mix", "secrets"):
+    if name not in ("pack", "mix", "secrets", "mixed"):
         assert len(rows) == len(EDGE)
-    if name in ("pack", "mix"):
+    if name in ("redact", "scored", "mixed"):  # the caller's columns come back as they were, but for those that are added
+        added = {"scored": {"_severity", "_grade", "_toxic"}, "mixed": set(mixing.ADDED)}.get(name, set())
+        assert all(r[c] == "clash" for r in rows for c in CLASH if c not in added)
+    if name in ("pack", "mix", "mixed"):
         assert Counter(r["doc_id"] for r in rows).keys() == {r[0] for r in EDGE}
     if name == "join":
         by = {r["doc_id"]: r for r in rows}
@@ -63,6 +72,7 @@ def test_awkward_and_empty(edge, name):
         assert all(0 <= r["score"] <= 1 for r in rows)
     if name == "dedup":
         by = {r["doc_id"]: r for r in rows}
+        assert by[6]["repeats"] and by[7]["repeats"] and not by[9]["repeats"] and not by[2]["repeats"]
         assert by[8]["n_removed"] == 30_000 and by[9]["n_removed"] == 45_000 and by[6]["n_removed"] == 0 and by[1]["n_bytes"] == 0
     assert OPS[name](edge.limit(0)).count() == 0
 
@@ -197,7 +207,7 @@ def _plain(rows, every, k, f, zero):
 
 
 def test_threshold_algorithm_is_exact(vectors):
-    got = search.exact_top_k(vectors, per_block=400, per_query_block=10).toPandas().sort_values(["query_id", "rank"])
+    got = search.exact_top_k(vectors, per_block=400).toPandas().sort_values(["query_id", "rank"])
     by = {q: list(zip(g["vec_id"], g["score"])) for q, g in got.groupby("query_id")}
     for q, want in _plain(vectors.select("vec_id", "embedding").collect(), 50, 5, lambda v: np.floor(256 * v), True):
         assert by.get(q, []) == want
@@ -221,9 +231,9 @@ def test_language_held_out(spark):
     assert r.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_held_out(spark, severity):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(d, labels.where("doc_id % 5 <> 0"))
+    model = severity
     r = toxicity.scored(d, model).join(labels.where("doc_id % 5 = 0"), "doc_id").groupBy("toxic", "_toxic").count().collect()
     n = {(x[0], x[1]): x[2] for x in r}
     assert n[(1, True)] >= 0.85 * (n[(1, True)] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.01 * n[(0, False)]
@@ -255,11 +265,15 @@ def test_secrets_found_and_replaced(spark):
 
 
 def test_mixing_meets_its_targets(docs):
-    shares = {"a": 0.7, "b": 0.2, "c": 0.1}
-    p = mixing.bisect_power(shares, 1.0, None, True)
-    assert abs(mixing.entropy(mixing.weights_at(shares, p)) - 1.0) < 1e-6
-    p = mixing.bisect_power(shares, None, 1.5, True)
-    assert abs(mixing.repetition(mixing.weights_at(shares, p), shares, True) - 1.5) < 1e-6
+    part = np.array([0.7, 0.2, 0.1])
+    for shares in (mixing.Shares(part), mixing.Shares(docs.sparkSession.createDataFrame([(x,) for x in part.tolist()], "share double"))):
+        rounds = 30
+        w = part ** mixing.bisect_power(shares, 1.0, None, True, rounds=rounds)
+        w /= w.sum()
+        assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-6
+        w = part ** mixing.bisect_power(shares, None, 1.5, True, rounds=rounds)
+        w /= w.sum()
+        assert abs((w / part).max() / (w / part).min() - 1.5) < 1e-6
     skewed = docs.withColumn("source", F.when(F.col("doc_id") % 3 != 0, "big").otherwise("small"))
     r = mixing.mixed(skewed, most_repeats=1.5, block_tokens=5000).toPandas()
     assert set(r["doc_id"]) == {x[0] for x in docs.select("doc_id").collect()}
@@ -269,6 +283,202 @@ def test_mixing_meets_its_targets(docs):
     assert all(sorted(x) == list(range(len(x))) for _, x in r.groupby("_block")["_slot"])
 
 
+def test_mixing_equals_plain(spark, docs):
+    """Every reading with its epoch, block, weight and power, from a plain run over each source's permutation."""
+    d = docs.withColumn("source", F.when(F.col("doc_id") % 3 != 0, "big").when(F.col("doc_id") % 2 == 0, "small"))
+    rows = d.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("o")).collect()
+    tokens = {r["doc_id"]: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in rows}
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += tokens[r["doc_id"]]
+    whole = sum(total.values())
+    lo, hi = 0.0, 1.0
+    ratio = lambda p: max((total[k] / whole) ** (p - 1) for k in total) / min((total[k] / whole) ** (p - 1) for k in total)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if ratio(mid) <= 1.5 else (mid, hi)
+    raw = {k: (v / whole) ** hi for k, v in total.items()}
+    weight = {k: v / sum(raw.values()) for k, v in raw.items()}
+    use = max(total[k] / w for k, w in weight.items())
+    blocks = max(1, int(np.ceil(use / 5000)))
+    want = {}
+    for source in total:
+        mine = sorted((((r["o"] >> 40) % 256, r["o"], r["doc_id"]) for r in rows if r["source"] == source))
+        for epoch in range(3):
+            at = epoch * total[source]
+            for *_, i in mine:
+                if at < weight[source] * use - 1e-6:
+                    want[i, epoch] = (tokens[i], min(blocks - 1, int(at / (weight[source] * use) * blocks)))
+                at += tokens[i]
+    got = mixing.mixed(d, most_repeats=1.5, block_tokens=5000).collect()
+    assert {(r["doc_id"], r["_epoch"]): (r["_tokens"], r["_block"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["_weight"] - weight[r["source"]]) < 1e-9 and abs(r["_power"] - hi) < 1e-9 for r in got)
+
+
+def test_shards_equal_plain(docs):
+    """size, text_crc32 and slot of each row, and shards that are stretches of the order (hash of the text, doc_id)."""
+    rows = sharding.sharded(docs, shards=5).join(docs.select("doc_id", F.col("text").alias("t"), F.xxhash64("text", F.md5("text")).alias("h")), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        raw = (r["t"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+    by = [[x for x in rows if x["shard"] == s] for s in range(5)]
+    mean, largest = sum(r["size"] for r in rows) / 5, max(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in x) - mean) <= largest + mean / 100 for x in by)
+    spans = []
+    for x in by:
+        x.sort(key=lambda r: r["slot"])
+        assert [r["slot"] for r in x] == list(range(len(x)))
+    place = {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
+    for r in rows:  # equal texts stand together
+        spans += [abs(place[r["doc_id"]][1] - place[q["doc_id"]][1]) for q in rows if q["h"] == r["h"] and q["shard"] == r["shard"]]
+    many = Counter(r["h"] for r in rows)
+    assert max(spans) < max(many.values())
+
+
+def test_language_equals_plain(docs):
+    """Profiles and distances made with dictionaries."""
+
+    def counts(text):
+        folded = "".join(c.lower()[0] if c.isalpha() else "\x01" for c in f" {text} ")
+        folded = re.sub("\x01+", "\x01", folded)
+        if len(folded) < 3:
+            return Counter()
+        return Counter(x for n in (1, 2, 3) for x in (folded[i : i + n] for i in range(len(folded) - n + 1)) if x != "\x01")
+
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - j)) for j, c in enumerate(g))
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[: language.PROFILE]]
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    total = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"] is not None:
+            total.setdefault(r["lang"], Counter()).update(counts(r["text"]))
+    known = {k: {g: i for i, g in enumerate(ranked(c))} for k, c in sorted(total.items())}
+    got = {r["doc_id"]: r for r in language.with_held_out(docs).collect()}
+    for r in rows:
+        mine, n = ranked(counts(r["text"] or "")), language.PROFILE
+        far = {k: sum(min(abs(p[g] - i), n) if g in p else n for i, g in enumerate(mine)) for k, p in known.items()}
+        best = min(far, key=far.get) if mine else "und"
+        g = got[r["doc_id"]]
+        assert (g["held_out"], g["lang_pred"]) == (held[r["doc_id"]], best)
+        assert abs(g["score"] - (1 - far[best] / (n * len(mine)) if mine else 0.0)) < 1e-9
+
+
+def _plain_severity(model, text):
+    """Severity and grade of one text, word by word."""
+    from reprise.llm.common import LOWER_BYTE, prefix_sums, substring_hash
+
+    count = Counter()
+    for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", (text or "").encode()):
+        for part in [w, *(w[:n] for n in toxicity.PREFIXES if len(w) > n)]:
+            sums = prefix_sums(np.frombuffer(part, np.uint8), LOWER_BYTE)
+            count[int(substring_hash(sums, np.array([0]), np.array([len(part)]))[0] >> np.uint64(64 - toxicity.BITS))] += 1
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    x = sum(weight.get(f, 0.0) * np.log1p(n) for f, n in count.items())
+    over = 1 / (1 + np.exp(-(x - model.thresholds)))
+    return over.sum(), int((over >= 0.5).sum()), bool(over[0] >= 0.5)
+
+
+@pytest.fixture(scope="module")
+def severity(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.fit(d, labels.where("doc_id % 5 <> 0"))
+
+
+def test_toxicity_equals_plain(docs, severity):
+    text = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    for r in toxicity.scored(docs, severity).collect():
+        s, grade, toxic = _plain_severity(severity, text[r["doc_id"]])
+        assert abs(r["_severity"] - s) < 1e-6 and (r["_grade"], r["_toxic"]) == (grade, toxic)
+
+
+def test_secret_features_and_places_equal_plain(spark, docs):
+    import regex
+
+    odd = ["x" + " token=abc123!x" * 300, "password: hunter2x9, user", 'api_key = "Zx9!kQ2#pL7$vB4@" and Zx9!kQ2#pL7$vB4@', "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "", None]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    text = {r[0]: r[1] or "" for r in d.collect()}
+    found = secrets.features(secrets.candidates(d, [F.col("doc_id")])).collect()
+    want = {(i, n): m.span() for i, t in text.items() for n, m in enumerate(regex.finditer(secrets.CANDIDATE, t))}
+    assert {(r["doc_id"], r["_at"]): (r["start"], r["start"] + len(r["candidate"])) for r in found} == want
+    for r in found:
+        t, (a, b) = text[r["doc_id"]], want[r["doc_id"], r["_at"]]
+        prior = [want[r["doc_id"], n][1] for n in range(r["_at"])]
+        nxt = want.get((r["doc_id"], r["_at"] + 1), (len(t),))[0]
+        c, before, after = t[a:b], t[max(0, a - 40, *prior) : a], t[b : min(b + 40, nxt)]
+        assert (r["candidate"], r["before"], r["after"]) == (c, before, after)
+        assert r["length"] == len(c) and r["distinct"] == len(set(c)) / len(c) and r["digits"] == sum(x in "0123456789" for x in c) / len(c)
+        assert r["covered"] == 1 - len(re.sub(f"(?i){secrets.DICTIONARY}", "", c)) / len(c) and r["runs"] == len(re.findall("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", c)) / len(c)
+        assert r["assigned"] == float(bool(re.search("[=:]\\s*[\"']?$", before)))
+
+
+def test_secret_forest_held_out(spark):
+    """Secrets that the training templates didn't make: those planted in the documents, and a hand-made list."""
+    model = secrets.fit(secrets.labelled_findings(spark))
+    good = ["password=hunter2x9", "passwd: 'Tr0ub4dor&3-abc'", "password = kD83hs0Qz1mV2aa", "use Zx9!kQ2#pL7$vB4@ here", 'api_key: "9f8a7c6b5d4e"', "token=hunter2hunter2", "secret = pa55.word!77", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N"]
+    bad = ["password: required", "the token = string here", "secret: everything", "password=username/password", "auth: unknown", "Hello,World!2020", "internationalisation", "see http://www.example.com/a/b/station"]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    hit = {r["doc_id"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert len(hit & set(range(len(good)))) >= 7 and len(hit - set(range(len(good)))) <= 1
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r["doc_id"], m.start(1)) for r in d.collect() for m in re.finditer(r"(?:token|password|secret|api_key)\W{1,4}([0-9a-f]{40}\b)", r["text"] or "")}
+    told = {(r["doc_id"], r["start"]) for r in secrets.scan(d, model).collect()}
+    assert len(planted & told) >= 0.98 * len(planted)
+
+
+def test_passages_that_repeat(spark, docs):
+    """`repeats` against plain sets of word windows, short passages included."""
+    passage = " ".join(f"p{x}" for x in range(51))
+    more = [(-1, f"a b {passage} c"), (-2, f"d\n{passage.replace(' ', chr(10))} e"), (-3, " ".join(["same"] * 200)), (-4, " ".join(f"p{x}" for x in range(49)))]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    at = {}
+    rows = d.collect()
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i for s in at.values() if len(s) > 1 for i in s}
+    got = {r["doc_id"] for r in suffix_dedup.repeated_bytes(d, passage_words=50).collect() if r["repeats"]}
+    assert got == want and {-1, -2} <= got and not {-3, -4} & got
+
+
+def test_top_k_of_huge_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 8)) * 10.0 ** rng.integers(0, 40, (300, 1))
+    v[50, 0] = 1e308
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = {}
+    for r in search.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_block=100).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    whole = lambda x: int(x) * 256 if abs(x) >= 2**53 else int(np.floor(x * 256))
+    ints = [[whole(x) for x in r] for _, r in rows]
+    for q in range(0, 300, 50):
+        s = sorted((-sum(a * b for a, b in zip(ints[q], ints[j])), j) for j in range(300) if j != q)[:5]
+        clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+        assert got[q] == {n + 1: (j, clamp(-x)) for n, (x, j) in enumerate(s)}
+
+
+def test_stages_on_awkward_and_empty_tables(spark, edge):
+    import corpus_pipeline as cp
+
+    for name, step in cp.STAGES:
+        for d in (edge, edge.limit(0)):
+            out = step(spark, d, SF)
+            rows = out.collect()
+            if name != "best-fit packing":
+                assert out.columns == d.columns and all(r["we`ird"] == "clash" for r in rows)
+            ids = Counter(r["doc_id"] for r in rows)
+            if d is not edge:
+                assert not rows
+            elif name == "n-gram Jaccard join":  # 7 and the second 6 are copies of 6
+                assert ids == Counter({r[0] for r in EDGE} - {4, 7})
+            elif name in ("toxicity", "secret scans"):
+                assert ids == Counter(r[0] for r in EDGE)
+            else:
+                assert ids.keys() == {r[0] for r in EDGE}
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
 
