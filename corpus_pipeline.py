@@ -6,34 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.llm import mixing, packing, parity_join, secrets, toxicity
-from reprise.llm.common import stage, table
+from reprise.llm.common import named, stage, table, unstage, whole_row
 from reprise.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the ordinal model doesn't find toxic."""
-    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).where(~F.col("_toxic")).select(*docs.columns)
+    """Documents the ordinal model doesn't find toxic, every row and column as it is.
+
+    Null and empty texts stay, and so do repeated rows; without labels, or without a toxic one, everything stays.
+    """
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(~toxicity.judged("text", model)["toxic"])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of repeated rows, one."""
+    """Of each group of near duplicates the document with the smallest id.
+
+    Of rows with the same id and text one stays, the smallest by a hash of all columns; rows with the same id and
+    another text stay as well, as do rows without an id and texts without words, which are duplicates of nothing.
+    """
     kept = parity_join.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    whole = docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
-    return whole
+    held = docs.join(kept, "doc_id", "left_semi").select(whole_row(docs), F.xxhash64(F.to_json(whole_row(docs))).alias("h"))
+    one = held.groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("t")).agg(F.min_by("row", "h").alias("row")).select("row.*")
+    return docs.where("doc_id is null").unionByName(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in them replaced by a mark."""
+    """All rows, with the secrets in their texts replaced by a mark and n_chars made right; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources repeat up to twice, in mixed order; no document is lost."""
-    return mixing.mixed(docs, most_repeats=2.0).orderBy("_block", "_slot").select(*docs.columns)
+    """Every row, those of small sources up to twice; a null source is a source of its own.
+
+    Rows come as their blocks were made; nothing is sorted, as packing places sequences by length.
+    """
+    return mixing.mixed(docs, most_repeats=2.0).select(*named(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens, a row per piece with its place; a row that comes twice is packed twice, a null text is the lone end id."""
     return packing.packed_documents(docs, tokenizer_path())
 
 
@@ -50,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs)
-    return docs
+    for _, step in STAGES[:-1]:
+        before, docs = docs, stage(step(spark, docs, sf_dir))
+        unstage(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
