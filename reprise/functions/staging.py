@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; one of our own only in local mode, where all executors see it."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(spark.sparkContext, "_reprise_dir"):
         spark.sparkContext._reprise_dir = tempfile.mkdtemp(prefix="reprise-")
     return f"file://{spark.sparkContext._reprise_dir}"
@@ -30,16 +34,35 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(df: DataFrame, keep: bool = True) -> DataFrame:
+_writing = 0
+_before: str | None = None
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession):
+    """CLEANUP is on while any table is being written, and as it was before once none is."""
+    global _writing, _before
+    with _lock:
+        if not _writing:
+            _before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writing += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing -= 1
+            if not _writing:
+                spark.conf.set(CLEANUP, _before) if _before is not None else spark.conf.unset(CLEANUP)
+
+
+def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path

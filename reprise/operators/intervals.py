@@ -44,18 +44,18 @@ def gap_windows(gaps: DataFrame, key: str, want: float = S.EDITORIAL_SAMPLE_SECO
     return taken.where(F.col("_take") >= least).select(key, "start", (F.col("start") + F.col("_take")).alias("end"))
 
 
-def snap_inward(spans: DataFrame, silences: DataFrame, key: str, window: float = S.SNAP_WINDOW) -> DataFrame:
-    """Both edges move inward to the nearest edge of a silence within the window; a span that would invert stays."""
+def snap_inward(spans: DataFrame, silences: DataFrame, key: str, window: float = S.SNAP_WINDOW, row: str = "span_id") -> DataFrame:
+    """Both edges move inward to the nearest edge of a silence within the window; a span that would invert stays.
+
+    `row` names the column that tells the spans apart.
+    """
     edges = silences.select(key, F.explode(F.array("start", "end")).alias("edge"))
-    spans = spans.select("*", F.monotonically_increasing_id().alias("_row")) if "span_id" not in spans.columns else spans.withColumn("_row", F.col("span_id"))
-    near = spans.join(edges, key).where(F.col("edge").between(F.col("start"), F.col("start") + window) | F.col("edge").between(F.col("end") - window, F.col("end")))
-    moved = near.groupBy("_row").agg(
-        F.min(F.when(F.col("edge").between(F.col("start"), F.col("start") + window), F.col("edge"))).alias("_s"),
-        F.max(F.when(F.col("edge").between(F.col("end") - window, F.col("end")), F.col("edge"))).alias("_e"),
-    )
-    out = spans.join(moved, "_row", "left").withColumns({"_s": F.coalesce("_s", "start"), "_e": F.coalesce("_e", "end")})
+    first = F.col("edge").between(F.col("start"), F.col("start") + window)
+    last = F.col("edge").between(F.col("end") - window, F.col("end"))
+    moved = spans.join(edges, key).where(first | last).groupBy(row).agg(F.min(F.when(first, F.col("edge"))).alias("_s"), F.max(F.when(last, F.col("edge"))).alias("_e"))
+    out = spans.join(moved, row, "left").withColumns({"_s": F.coalesce("_s", "start"), "_e": F.coalesce("_e", "end")})
     fine = F.col("_e") > F.col("_s")
-    return out.withColumns({"start": F.when(fine, F.col("_s")).otherwise(F.col("start")), "end": F.when(fine, F.col("_e")).otherwise(F.col("end"))}).drop("_s", "_e", "_row")
+    return out.withColumns({"start": F.when(fine, F.col("_s")).otherwise(F.col("start")), "end": F.when(fine, F.col("_e")).otherwise(F.col("end"))}).drop("_s", "_e")
 
 
 def overlap_join(segments: DataFrame, spans: DataFrame, key: str, how: str = "inner", bucket: float | None = None) -> DataFrame:
@@ -86,13 +86,12 @@ def point_in_run(points: DataFrame, runs: DataFrame, key: str, pos: str) -> Data
 
 def speech_filter(spans: DataFrame, segments: DataFrame, key: str = "episode_id", least: int = S.SPEECH_MIN_WORDS) -> DataFrame:
     """Drops spans with fewer than `least` words spoken in overlapping segments; episodes without a transcript keep theirs."""
-    spoken = segments.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.size(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")).alias("_w"))
-    known = segments.select(F.col(key).alias("_kk")).distinct()
-    names = spans.columns
-    rows = spans.withColumn("_row", F.monotonically_increasing_id())
-    hit = rows.join(spoken, (F.col(key) == F.col("_k")) & (F.col("_e") > F.col("start")) & (F.col("_s") < F.col("end")), "left")
-    told = hit.groupBy("_row", *names).agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("_words"))
-    return told.join(known, F.col(key) == F.col("_kk"), "left").where(F.col("_kk").isNull() | (F.col("_words") >= least)).select(*names)
+    spoken = segments.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"), F.size(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")).alias("_w"))
+    known = segments.select(key).distinct().withColumn("_known", F.lit(True))
+    place = [key, "start", "end"]  # spans of one place have the same words
+    words = spans.select(*place).distinct().join(spoken, key).where((F.col("_e") > F.col("start")) & (F.col("_s") < F.col("end"))).groupBy(*place).agg(F.sum("_w").alias("_words"))
+    told = spans.join(words, place, "left").join(known, key, "left")
+    return told.where(F.col("_known").isNull() | (F.coalesce("_words", F.lit(0)) >= least)).select(*spans.columns)
 
 
 def ad_seconds(keeps: DataFrame, timelines: DataFrame, key: str, duration: str = "duration") -> DataFrame:

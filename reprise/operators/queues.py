@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.staging import stage
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "_n") -> DataFrame:
+    """df with each row's place in the whole order, from 1: counted within ranges of the order, each range in a task of its own.
+
+    The ranges are written first, so that they stay what they are; their totals are as few as there are tasks.
+    """
+    by = [F.struct(*order).alias("_by")]
+    ranges = df.select("*", *by).repartitionByRange("_by")
+    ranges = stage(ranges.withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.groupBy("_range").agg(F.count("*").alias("_many")).select("_range", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_by"))
+    return ranges.withColumn("_at", within).join(F.broadcast(base), "_range").withColumn(name, (F.col("_at") + F.col("_base")).cast("long")).drop("_by", "_range", "_at", "_base")
 
 
 def order_limit(df: DataFrame, limit: int | None = None, by: str = "id") -> DataFrame:
@@ -47,9 +62,9 @@ def hold_cut(episodes: DataFrame, held: Column, now: Column) -> DataFrame:
     return stamped(episodes, held, cut_path=F.lit(None).cast("string"), cut_held_at=now)
 
 
-def replace_tier(spans: DataFrame, new: DataFrame, source: str) -> DataFrame:
-    """A tier rewrites only its own rows of the episodes it looked at; doing it twice changes nothing more."""
-    done = new.select("episode_id").distinct()
+def replace_tier(spans: DataFrame, new: DataFrame, source: str, looked_at: DataFrame | None = None) -> DataFrame:
+    """A tier rewrites only its own rows of the episodes it looked at (all that are in `new`, if none are named); doing it twice changes nothing more."""
+    done = (new if looked_at is None else looked_at).select("episode_id").distinct()
     own = spans.where(F.col("source") == source).join(done, "episode_id", "left_anti")
     return spans.where(F.col("source") != source).unionByName(own).unionByName(new.withColumn("source", F.lit(source)), allowMissingColumns=True)
 
@@ -58,8 +73,8 @@ def register(feeds: DataFrame, urls: DataFrame) -> DataFrame:
     """Feeds with the new urls added under the next ids; known urls stay as they are."""
     new = urls.select("source_url").distinct().join(feeds.select("source_url"), "source_url", "left_anti")
     last = feeds.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    numbered = new.join(F.broadcast(last)).select((F.col("_last") + F.row_number().over(Window.orderBy("source_url"))).cast("long").alias("id"), "source_url")
-    return feeds.unionByName(numbered, allowMissingColumns=True)
+    placed = numbered(new, F.col("source_url")).join(F.broadcast(last)).select((F.col("_last") + F.col("_n")).alias("id"), "source_url")  # one row
+    return feeds.unionByName(placed, allowMissingColumns=True)
 
 
 def refresh(feeds: DataFrame, parsed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -84,6 +99,16 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], columns: tu
     return both.select(*keys, *[F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], change.alias("change"))
 
 
+def spans_of_episode(spans: DataFrame, episode_id: int) -> DataFrame:
+    return spans.where(F.col("episode_id") == episode_id).orderBy("start", "end")
+
+
+def feed_episodes(episodes: DataFrame, feed_id: int) -> DataFrame:
+    """A feed's episodes with their place, newest first, undated ones last."""
+    place = F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc_nulls_last("pubdate"), "id"))
+    return episodes.where(F.col("feed_id") == feed_id).withColumn("place", place)
+
+
 def truth_counts(episodes: DataFrame, spans: DataFrame, sources: tuple[str, ...] = S.TEXT_SOURCES) -> DataFrame:
     """Confirmed spans per examined episode, zeros included."""
     a = spans.select(F.col("episode_id").alias("_e"), "source")
@@ -99,8 +124,8 @@ def prioritize(pending: DataFrame, found: DataFrame, medians: DataFrame) -> Data
     """Pending episodes by how far their count is from the show's median; those without a median last, in order."""
     told = pending.join(found.select("id", "n"), "id", "left").join(medians.select("feed_id", "median"), "feed_id", "left")
     diff = F.abs(F.coalesce("n", F.lit(0)) - F.col("median"))
-    place = F.row_number().over(Window.orderBy(F.col("median").isNull(), diff.desc(), "id"))  # a queue is a total order
-    return told.select("id", "feed_id", diff.alias("diff"), place.alias("place"))
+    told = told.select("id", "feed_id", diff.alias("diff"))
+    return numbered(told, F.col("diff").isNull(), -F.col("diff"), F.col("id"), name="place").withColumn("place", F.col("place").cast("int"))
 
 
 def stats(feeds: DataFrame, episodes: DataFrame, spans: DataFrame) -> DataFrame:

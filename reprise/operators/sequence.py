@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.staging import stage, unstage
 from .intervals import group_runs
 
 
@@ -48,17 +49,14 @@ def diagonal_vote(pairs: DataFrame, least: int = S.MATCH_FRAMES) -> DataFrame:
     return pairs.groupBy("episode_id", "other", (F.col("frame") - F.col("other_frame")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least)
 
 
-def aligned_frames(pairs: DataFrame, votes: DataFrame) -> DataFrame:
-    return pairs.withColumn("offset", F.col("frame") - F.col("other_frame")).join(votes, ["episode_id", "other", "offset"], "left_semi")
+def voted_frames(pairs: DataFrame, least: int = S.MATCH_FRAMES) -> DataFrame:
+    """(episode_id, other, offset, frames) of the diagonals with enough frames, in one pass over the pairs; a list is at most an episode long."""
+    return pairs.groupBy("episode_id", "other", (F.col("frame") - F.col("other_frame")).alias("offset")).agg(F.collect_list("frame").alias("frames")).where(F.size("frames") >= least)
 
 
 def match_regions(query: DataFrame, library: DataFrame, stop: DataFrame | None = None, match_frames: int = S.MATCH_FRAMES, floor: int = S.MIN_REGION_FRAMES, bridge: int = S.BRIDGE_FRAMES) -> DataFrame:
-    """(episode_id, first, last, members): frames on voted diagonals, grouped into runs.
-
-    Pairs are made twice, for the vote and for the frames, so that neither holds them: votes are counts.
-    """
-    pairs = value_pairs(query, library, stop)
-    hit = aligned_frames(pairs, diagonal_vote(pairs, match_frames)).select("episode_id", "frame").distinct()
+    """(episode_id, first, last, members): frames on voted diagonals, grouped into runs."""
+    hit = voted_frames(value_pairs(query, library, stop), match_frames).select("episode_id", F.explode("frames").alias("frame")).distinct()
     return group_runs(hit, ["episode_id"], "frame", bridge, max(floor, match_frames))
 
 
@@ -68,13 +66,52 @@ def spans_of_regions(regions: DataFrame, sizes: DataFrame, source: str = "fpmatc
     return regions.join(sizes, "episode_id").select("episode_id", start.alias("start"), end.alias("end"), F.lit(source).alias("source"))
 
 
-def self_library(frames: DataFrame) -> DataFrame:
-    return frames.select("episode_id", F.col("episode_id").alias("ad_id"), "frame", "value")
+def shared_frames(frames: DataFrame, fraction: float) -> DataFrame:
+    """Frames whose value two episodes have at least, and no more than that share of them; counted once, without a list of values."""
+    n = frames.agg(F.count_distinct("episode_id").alias("_n"))
+    each = frames.groupBy("value", "episode_id").agg(F.lit(1).alias("_one")).groupBy("value").agg(F.count("*").alias("_episodes"))
+    some = each.join(F.broadcast(n), (F.col("_episodes") > 1) & (F.col("_episodes") <= fraction * F.col("_n"))).select("value")  # one row
+    return frames.join(some, "value", "left_semi")
 
 
-def discover_recurring(frames: DataFrame, fraction: float = S.STOP_EPISODE_FRACTION, least_episodes: int = S.RECUR_MIN_EPISODES, **kw) -> DataFrame:
-    """The corpus matched with itself, common values stopped; nothing below a least number of episodes."""
+def self_diagonals(frames: DataFrame, match_frames: int = S.MATCH_FRAMES) -> tuple[DataFrame, DataFrame]:
+    """(episode_id, other, offset, frames) of the corpus with itself, each pair of episodes once, the smaller id first.
+
+    Episodes with the same frames throughout are matched through one of them: the first of its class meets the firsts of
+    the other classes, and each other member its own first. So a group of g exact copies makes g pairs, not g squared.
+    With it comes (episode_id, first): the class of each episode.
+    """
+    whole = frames.groupBy("episode_id").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("frame", "value", F.lit(x))).alias(f"h{x}") for x in (1, 2)])
+    same = ["n", "h1", "h2"]
+    first = whole.groupBy(*same).agg(F.min("episode_id").alias("first"))
+    member = stage(whole.join(first, same).select("episode_id", "first"))
+    firsts = member.where("episode_id = first").select("episode_id")
+    mine = frames.join(firsts, "episode_id", "left_semi")
+    theirs = mine.select("value", F.col("episode_id").alias("other"), F.col("frame").alias("other_frame"))
+    pairs = mine.join(theirs, "value").where("episode_id < other")
+    crossed = voted_frames(pairs, match_frames)
+    copies = frames.join(member.where("episode_id <> first"), "episode_id")
+    # a copy lies on the main diagonal of its first; only frames that aren't stopped take part
+    own = copies.groupBy(F.col("first").alias("episode_id"), F.col("episode_id").alias("other")).agg(F.collect_list("frame").alias("frames")).where(F.size("frames") >= match_frames)
+    return crossed.unionByName(own.select("episode_id", "other", F.lit(0).alias("offset"), "frames")), member
+
+
+def recurrence(frames: DataFrame, fraction: float = S.STOP_EPISODE_FRACTION, least_episodes: int = 0, match_frames: int = S.MATCH_FRAMES, floor: int = S.MIN_REGION_FRAMES, bridge: int = S.BRIDGE_FRAMES) -> tuple[DataFrame, DataFrame]:
+    """The corpus matched with itself: regions (episode_id, first, last, members), and the diagonals they come from, one a pair."""
+    frames = stage(frames)
     enough = frames.agg(F.count_distinct("episode_id").alias("_n")).where(F.col("_n") >= least_episodes)
-    once = frames.groupBy("value").agg(F.min("episode_id").alias("lo"), F.max("episode_id").alias("hi")).where("lo < hi").select("value")
-    shared = frames.join(F.broadcast(enough)).drop("_n").join(once, "value", "left_semi")  # one row or none
-    return match_regions(shared, self_library(shared), frequent_values(frames, fraction).select("value"), **kw)
+    shared = stage(shared_frames(frames, fraction).join(F.broadcast(enough)).drop("_n"))  # one row or none
+    unstage(frames)
+    diagonals, member = self_diagonals(shared, match_frames)
+    diagonals = stage(diagonals)
+    ends = F.array(F.struct("episode_id", F.lit(0).alias("off")), F.struct(F.col("other").alias("episode_id"), F.col("offset").alias("off")))
+    sides = diagonals.select(F.explode(ends).alias("x"), "frames")
+    hit = sides.select("x.episode_id", F.explode(F.transform("frames", lambda f: f - F.col("x.off"))).alias("frame")).distinct()
+    # what a first has, its copies have
+    copied = hit.join(member.where("episode_id <> first").select(F.col("episode_id").alias("copy"), F.col("first").alias("episode_id")), "episode_id").select(F.col("copy").alias("episode_id"), "frame")
+    return group_runs(hit.unionByName(copied).distinct(), ["episode_id"], "frame", bridge, max(floor, match_frames)), diagonals
+
+
+def discover_recurring(frames: DataFrame, fraction: float = S.STOP_EPISODE_FRACTION, least_episodes: int = S.RECUR_MIN_EPISODES, **kw) -> DataFrame:
+    """(episode_id, first, last, members): what recurs between episodes, common values stopped; nothing below a least number of episodes."""
+    return recurrence(frames, fraction, least_episodes, **kw)[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import bytesdiff, campaigns, chapters, detect, graph, intervals, queues, sequence, text
+from ..operators import bytesdiff, campaigns, chapters, detect, graph, intervals, queues, sequence, text, tiers
 from ..sources import feeds as fs
 from . import views as V
 
@@ -116,9 +116,12 @@ def gap_windows(spark, sf):
     return intervals.gap_windows(intervals.keep_spans(tl, days, "user_id"), "user_id", 180_000_000, 60_000_000, 10_000_000)
 
 
-@query(V.SPANS, """c AS (SELECT * FROM spans WHERE source IN ('chapter', 'llm', 'manual', 'repeat', 'fpmatch')), e AS (SELECT episode_id, unnest(["start", "end"]) AS edge FROM spans WHERE source = 'recur'),
-m AS (SELECT c.id, min(CASE WHEN edge BETWEEN c."start" AND c."start" + 2.5 THEN edge END) AS s, max(CASE WHEN edge BETWEEN c."end" - 2.5 AND c."end" THEN edge END) AS e FROM c JOIN e ON e.episode_id = c.episode_id GROUP BY c.id)""",
-'SELECT c.id AS span_id, c.episode_id, CASE WHEN coalesce(m.e, c."end") > coalesce(m.s, c."start") THEN coalesce(m.s, c."start") ELSE c."start" END AS "start", CASE WHEN coalesce(m.e, c."end") > coalesce(m.s, c."start") THEN coalesce(m.e, c."end") ELSE c."end" END AS "end" FROM c LEFT JOIN m ON m.id = c.id')
+SNAPPED = """c AS (SELECT * FROM spans WHERE source IN ('chapter', 'llm', 'manual', 'repeat', 'fpmatch')), e AS (SELECT episode_id, unnest(["start", "end"]) AS edge FROM spans WHERE source = 'recur'),
+m AS (SELECT c.id, min(CASE WHEN edge BETWEEN c."start" AND c."start" + 2.5 THEN edge END) AS s, max(CASE WHEN edge BETWEEN c."end" - 2.5 AND c."end" THEN edge END) AS e FROM c JOIN e ON e.episode_id = c.episode_id GROUP BY c.id),
+sn AS (SELECT c.id AS span_id, c.episode_id, CASE WHEN coalesce(m.e, c."end") > coalesce(m.s, c."start") THEN coalesce(m.s, c."start") ELSE c."start" END AS "start", CASE WHEN coalesce(m.e, c."end") > coalesce(m.s, c."start") THEN coalesce(m.e, c."end") ELSE c."end" END AS "end" FROM c LEFT JOIN m ON m.id = c.id)"""
+
+
+@query(V.SPANS, SNAPPED, 'SELECT span_id, episode_id, "start", "end" FROM sn')
 def snap_inward(spark, sf):
     s = V.spans(spark, sf)
     cut = s.where(F.col("source").isin(*S.CUT_SOURCES)).select(F.col("id").alias("span_id"), "episode_id", "start", "end")
@@ -135,22 +138,23 @@ def covered_segments(spark, sf):
     return intervals.covered_segments(V.segments(spark, sf), V.spans(spark, sf)).select("episode_id", "seg_idx")
 
 
-@query(V.SEG, V.SPANS, """w AS (SELECT episode_id, "start", "end", len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM seg WHERE seg_idx % 3 = 0 AND episode_id % 2 = 0),
-t AS (SELECT x.id, x.episode_id, coalesce(sum(w.n), 0) AS words FROM spans x LEFT JOIN w ON w.episode_id = x.episode_id AND w."end" > x."start" AND w."start" < x."end" GROUP BY ALL)""", "SELECT id, episode_id FROM t WHERE words >= 5 OR episode_id NOT IN (SELECT episode_id FROM w)")
-def speech_filter(spark, sf):
-    seg = V.segments(spark, sf).where("seg_idx % 3 = 0 and episode_id % 2 = 0")
-    return intervals.speech_filter(V.spans(spark, sf), seg).select("id", "episode_id")
+SPOKEN = """w AS (SELECT episode_id, "start", "end", len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS n FROM seg WHERE episode_id IN (SELECT id FROM episodes WHERE transcript_path IS NOT NULL))"""
 
 
-@query()  # every line of the documents with a transcript; the SQL above takes a third of the lines of half the documents and stays as it is
-def speech_filter_whole(spark, sf):
+def _spoken(spark, sf):
+    """The lines of documents with a transcript."""
     told = V.episodes(spark, sf).where("transcript_path is not null").select(F.col("id").alias("episode_id"))
-    return intervals.speech_filter(V.placed_spans(spark, sf), V.segments(spark, sf).join(told, "episode_id", "left_semi")).select("id", "episode_id")
+    return V.segments(spark, sf).join(told, "episode_id", "left_semi")
 
 
-@query(V.SEG, "h AS (SELECT DISTINCT episode_id, seg_idx FROM seg WHERE length(text) % 3 = 0)", "isl AS (" + ISLANDS.format(k="episode_id", p="seg_idx", g=3, t="h") + ")", 'SELECT episode_id, min(seg_idx) AS "first", max(seg_idx) AS "last", count(*) AS members FROM isl GROUP BY episode_id, run HAVING max(seg_idx) - min(seg_idx) + 1 >= 3')
+@query(V.SEG, V.SPANS, V.EPISODES, SPOKEN, """t AS (SELECT x.id, x.episode_id, coalesce(sum(w.n), 0) AS words FROM spans x LEFT JOIN w ON w.episode_id = x.episode_id AND w."end" > x."start" AND w."start" < x."end" GROUP BY ALL)""", "SELECT id, episode_id FROM t WHERE words >= 5 OR episode_id NOT IN (SELECT episode_id FROM w)")
+def speech_filter(spark, sf):
+    return intervals.speech_filter(V.spans(spark, sf), _spoken(spark, sf)).select("id", "episode_id")
+
+
+@query(V.SEG, "h AS (SELECT DISTINCT episode_id, seg_idx FROM seg WHERE length(text) >= 60)", "isl AS (" + ISLANDS.format(k="episode_id", p="seg_idx", g=3, t="h") + ")", 'SELECT episode_id, min(seg_idx) AS "first", max(seg_idx) AS "last", count(*) AS members FROM isl GROUP BY episode_id, run HAVING max(seg_idx) - min(seg_idx) + 1 >= 3')
 def group_runs(spark, sf):
-    return intervals.group_runs(V.segments(spark, sf).where(F.length("text") % 3 == 0), ["episode_id"], "seg_idx", 2, 3)
+    return intervals.group_runs(V.segments(spark, sf).where(F.length("text") >= 60), ["episode_id"], "seg_idx", 2, 3)
 
 
 # ------------------------------------------------------------------ sequence tier
@@ -205,45 +209,105 @@ def fp_detect(spark, sf):
 SELF = "pr AS (SELECT q.episode_id, q.frame, l.episode_id AS other, l.frame AS other_frame FROM fr q JOIN fr l ON l.value = q.value AND l.episode_id <> q.episode_id WHERE q.value NOT IN (SELECT value FROM st))", 'vt AS (SELECT episode_id, other, frame - other_frame AS "offset", count(*) AS votes FROM pr GROUP BY 1, 2, 3 HAVING count(*) >= 40)'
 
 
-@query(V.FRAMES, N, STOP.format(f=0.05), *SELF, *[h.format(floor=80) for h in HITS], 'SELECT episode_id, "first", "last", members FROM rg')
+@query(V.FRAMES, N, STOP.format(f=0.30), *SELF, *[h.format(floor=80) for h in HITS], 'SELECT episode_id, "first", "last", members FROM rg')
 def discover_recurring(spark, sf):
-    return sequence.discover_recurring(V.doc_frames(spark, sf), 0.05)
-
-
-@query()  # at the library's own stop fraction; the SQL above stops at 0.05 and stays as it is
-def discover_recurring_whole(spark, sf):
     return sequence.discover_recurring(V.doc_frames(spark, sf))
 
 
-@query()
-def find_campaigns(spark, sf):
+def _campaigns(spark, sf):
     f = V.doc_frames(spark, sf)
     runs, links = campaigns.run_links(f)
-    truth = sequence.match_regions(f, V.library_frames(spark, sf), None, 20, 20)
-    n = T(spark, sf, "documents").count()
-    return campaigns.campaign_summary(runs, links, truth, n)
+    return runs, links, sequence.match_regions(f, V.library_frames(spark, sf), None, 20, 20), T(spark, sf, "documents").count()
 
 
-@query("e AS (SELECT o_custkey AS a, o_orderkey + 1000000000 AS b FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT l_partkey + 2000000000, l_orderkey + 1000000000 FROM lineitem WHERE l_orderkey % 9 = 0 AND l_linenumber = 1)".replace("e AS (", "e AS (", 1),
-"u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT 1)", "SELECT node, component FROM (WITH RECURSIVE r AS (SELECT a AS node, a AS x FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.x) SELECT node, min(x) AS component FROM r GROUP BY node)")
-def connected_components(spark, sf):
-    o, li = T(spark, sf, "orders"), T(spark, sf, "lineitem")
-    e = o.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1000000000).alias("b"))
-    e = e.unionByName(li.where("l_orderkey % 9 = 0 and l_linenumber = 1").select((F.col("l_partkey") + 2000000000).alias("a"), (F.col("l_orderkey") + 1000000000).alias("b")))
-    return graph.components(e)
+@query()  # tests on a small fixture: the pairs behind it are too many for SQL
+def find_campaigns(spark, sf):
+    return campaigns.campaign_summary(*_campaigns(spark, sf))
 
 
-@query()  # all orders and line items; the SQL above takes a ninth of them and stays as it is
-def connected_components_whole(spark, sf):
+@query()
+def select_seed_episodes(spark, sf):
+    return campaigns.seed_episodes(*_campaigns(spark, sf))
+
+
+@query("""e AS (SELECT o_custkey AS a, o_orderkey + 1000000000 AS b FROM orders UNION ALL SELECT l_partkey + 2000000000, l_orderkey + 1000000000 FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)""",
+"""SELECT node, component FROM (WITH RECURSIVE r(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a
+UNION SELECT u.b, min(r.component) FROM r JOIN u ON u.a = r.node JOIN recurring.r AS old ON old.node = u.b WHERE r.component < old.component GROUP BY u.b) SELECT node, component FROM r)""")
+def connected_components(spark, sf):
     o, li = T(spark, sf, "orders"), T(spark, sf, "lineitem")
     e = o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1000000000).alias("b"))
     return graph.components(e.unionByName(li.select((F.col("l_partkey") + 2000000000).alias("a"), (F.col("l_orderkey") + 1000000000).alias("b"))))
 
 
-@query()
+@query("s AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS owner FROM lineitem)", """c AS (WITH RECURSIVE r(step, item, owner) AS (SELECT 0, item, owner FROM s UNION ALL SELECT step + 1, item, owner FROM (
+  SELECT step, item, owner, bool_or(owner = top) OVER (PARTITION BY item) AS gone FROM (SELECT *, first_value(owner) OVER (ORDER BY n DESC, owner) AS top FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM r))) WHERE NOT gone)
+  SELECT step, owner, count(*) AS n, row_number() OVER (PARTITION BY step ORDER BY count(*) DESC, owner) AS k FROM r GROUP BY step, owner)""", "SELECT owner, n AS covers, CAST(step AS INT) AS rank FROM c WHERE k = 1")
 def greedy_set_cover(spark, sf):
-    li = T(spark, sf, "lineitem").join(T(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return campaigns.greedy_set_cover(li.select(F.col("p_brand").alias("item"), F.col("l_suppkey").alias("owner")))
+    return campaigns.greedy_set_cover(T(spark, sf, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("owner")))
+
+
+# ------------------------------------------------------------------ whole tiers
+
+SIZES = "sz AS (SELECT f.episode_id, f.frames, CAST(d.n_chars AS DOUBLE) / 16 AS duration FROM (SELECT episode_id, CAST(count(*) AS DOUBLE) AS frames FROM fr GROUP BY 1) f JOIN documents d ON d.doc_id = f.episode_id)"
+KNOWN = "known AS (SELECT id, episode_id, \"start\", \"end\" FROM spans WHERE source IN ('chapter', 'llm', 'manual', 'dai'))"
+
+
+def _complement(spans: str, timelines: str, out: str) -> str:
+    """CTEs for what spans(episode_id, start, end) leave of timelines(episode_id, duration)."""
+    return f"""{out}c AS (SELECT s.episode_id, greatest(0, least(s."start", t.duration)) AS "start", greatest(0, least(s."end", t.duration)) AS "end" FROM {spans} s JOIN {timelines} t ON t.episode_id = s.episode_id WHERE greatest(0, least(s."end", t.duration)) > greatest(0, least(s."start", t.duration))),
+{out}k AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY episode_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM {out}c),
+{out}r AS (SELECT *, sum(n) OVER (PARTITION BY episode_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS run FROM {out}k),
+{out}m AS (SELECT episode_id, min("start") AS "start", max("end") AS "end" FROM {out}r GROUP BY episode_id, run UNION ALL SELECT episode_id, -1, 0 FROM {timelines}),
+{out}l AS (SELECT episode_id, "end" AS "start", lead("start") OVER (PARTITION BY episode_id ORDER BY "start") AS nxt FROM {out}m),
+{out} AS (SELECT x.episode_id, x."start", coalesce(x.nxt, t.duration) AS "end" FROM {out}l x JOIN {timelines} t ON t.episode_id = x.episode_id WHERE coalesce(x.nxt, t.duration) > x."start")"""
+
+
+EDITORIAL = "kz AS (SELECT * FROM sz WHERE episode_id IN (SELECT episode_id FROM known))", _complement("known", "kz", "gap"), """gp AS (SELECT episode_id, "start", least(60, "end" - "start") AS l FROM gap WHERE "end" - "start" >= 10),
+gt AS (SELECT episode_id, "start", least(l, 180 - coalesce(sum(l) OVER (PARTITION BY episode_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM gp),
+el AS (SELECT DISTINCT f.value FROM gt JOIN sz USING (episode_id) JOIN fr f ON f.episode_id = gt.episode_id AND f.frame BETWEEN ceil(gt."start" * (sz.frames / sz.duration)) AND floor((gt."start" + gt.t) * (sz.frames / sz.duration)) - 1 WHERE gt.t >= 10)"""
+AUDIO = """al AS (SELECT k.id AS ad_id, k.episode_id, CAST(f.frame - ceil(k."start" * (sz.frames / sz.duration)) AS INT) AS frame, f.value FROM known k JOIN sz USING (episode_id) JOIN fr f ON f.episode_id = k.episode_id AND f.frame BETWEEN ceil(k."start" * (sz.frames / sz.duration)) AND floor(k."end" * (sz.frames / sz.duration)) - 1)""", """fq AS (SELECT value FROM al GROUP BY value HAVING count(DISTINCT episode_id) > 0.3 * (SELECT count(DISTINCT episode_id) FROM al)),
+sp AS (SELECT value FROM fq WHERE value IN (SELECT value FROM el) OR NOT EXISTS (SELECT 1 FROM el))"""
+TIER = V.FRAMES, V.SPANS, SIZES, KNOWN, *EDITORIAL
+
+
+def _sized(spark, sf):
+    """(episode_id, frames, duration) of documents with frames, on the time of the spans."""
+    f = V.doc_frames(spark, sf).groupBy("episode_id").agg(F.count("*").alias("frames"))
+    return f.join(T(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), (F.col("n_chars") / 16).alias("duration")), "episode_id")
+
+
+@query(*TIER, "SELECT value FROM el")
+def editorial_stoplist(spark, sf):
+    return tiers.editorial_stoplist(V.doc_frames(spark, sf), _sized(spark, sf), V.spans(spark, sf))
+
+
+@query(*TIER, *AUDIO, "SELECT ad_id, episode_id, frame, value, value IN (SELECT value FROM sp) AS stopped FROM al")
+def audio_library(spark, sf):
+    library, stop = tiers.audio_library(V.doc_frames(spark, sf), _sized(spark, sf), V.spans(spark, sf))
+    return library.join(stop.withColumn("_s", F.lit(True)), "value", "left").select("ad_id", "episode_id", "frame", "value", F.col("_s").isNotNull().alias("stopped"))
+
+
+@query(*TIER, *AUDIO, V.EPISODES, V.SEG, SPOKEN, "lk AS (SELECT sz.* FROM sz WHERE episode_id IN (SELECT id FROM episodes WHERE audio_url IS NOT NULL) AND EXISTS (SELECT 1 FROM al))",
+"pr AS (SELECT q.episode_id, q.frame, l.ad_id AS other, l.frame AS other_frame FROM fr q JOIN al l ON l.value = q.value AND l.episode_id <> q.episode_id WHERE q.episode_id IN (SELECT episode_id FROM lk) AND q.value NOT IN (SELECT value FROM sp))", VOTES[1], *[h.format(floor=20) for h in HITS],
+"""fd AS (SELECT rg.episode_id, rg."first" * sz.duration / sz.frames AS "start", (rg."last" + 1) * sz.duration / sz.frames AS "end" FROM rg JOIN sz USING (episode_id)),
+sk AS (SELECT fd.episode_id, fd."start", fd."end" FROM fd LEFT JOIN w ON w.episode_id = fd.episode_id AND w."end" > fd."start" AND w."start" < fd."end" GROUP BY ALL HAVING coalesce(sum(w.n), 0) >= 5 OR fd.episode_id NOT IN (SELECT episode_id FROM w))""",
+"""SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'fpmatch' OR episode_id NOT IN (SELECT episode_id FROM lk) UNION ALL SELECT NULL, episode_id, "start", "end", 'fpmatch' FROM sk""")
+def apply_fingerprints(spark, sf):
+    return tiers.apply_fingerprints(V.episodes(spark, sf), V.spans(spark, sf), V.doc_frames(spark, sf), _sized(spark, sf), V.segments(spark, sf), 20, 20)
+
+
+@query(V.SEG, V.SPANS, V.EPISODES, V.SEGW, V.GRAMS, """lib AS (SELECT DISTINCT g.shingle FROM grams g JOIN seg s USING (episode_id, seg_idx) WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end"))""", V.RATIO, *RUNS,
+"lk AS (SELECT id FROM episodes WHERE transcript_path IS NOT NULL AND EXISTS (SELECT 1 FROM lib))", """SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'repeat' OR episode_id NOT IN (SELECT id FROM lk)
+UNION ALL SELECT NULL, r.episode_id, a."start", b."end", 'repeat' FROM runs r JOIN lk ON lk.id = r.episode_id JOIN seg a ON a.episode_id = r.episode_id AND a.seg_idx = r."first" JOIN seg b ON b.episode_id = r.episode_id AND b.seg_idx = r."last" """)
+def apply_repeats(spark, sf):
+    return tiers.apply_repeats(V.episodes(spark, sf), V.spans(spark, sf), V.segments(spark, sf))
+
+
+@query(V.EPISODES, V.SPANS, SNAPPED, "tm AS (SELECT id AS episode_id, duration FROM episodes)", _complement("sn", "tm", "kp"),
+'SELECT tm.episode_id, tm.duration, tm.duration - coalesce(sum(kp."end" - kp."start"), 0) AS ad_seconds, coalesce(tm.duration > 0 AND (tm.duration - coalesce(sum(kp."end" - kp."start"), 0)) / tm.duration > 0.35, false) AS anomalous FROM tm LEFT JOIN kp ON kp.episode_id = tm.episode_id GROUP BY 1, 2')
+def cut_plan_snapped(spark, sf):
+    s, timelines = V.spans(spark, sf), V.episodes(spark, sf).select(F.col("id").alias("episode_id"), "duration")
+    return tiers.cut_plan(timelines, s, s.where("source = 'recur'").select("episode_id", "start", "end"))[1]
 
 
 # ------------------------------------------------------------------ queues and tables
@@ -339,10 +403,7 @@ def dedupe_first(spark, sf):
 
 @query(V.EPISODES, "SELECT id, pubdate, CAST(row_number() OVER (ORDER BY pubdate DESC NULLS LAST, id) AS INT) AS place FROM episodes WHERE feed_id = 3")
 def feed_episodes(spark, sf):
-    from pyspark.sql import Window
-
-    e = V.episodes(spark, sf).where("feed_id = 3")
-    return e.select("id", "pubdate", F.row_number().over(Window.orderBy(F.desc_nulls_last("pubdate"), "id")).alias("place"))
+    return queues.feed_episodes(V.episodes(spark, sf), 3).select("id", "pubdate", "place")
 
 
 # ------------------------------------------------------------------ sources, sinks, scalars
@@ -421,16 +482,20 @@ def emit_rss(spark, sf):
 # ------------------------------------------------------------------ bytes and model chunks
 
 
-@query("p AS (SELECT a.doc_id AS episode_id, a.text AS a, b.text AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)", "n AS (SELECT episode_id, encode(a) AS x, encode(b) AS y FROM p)",
-"SELECT episode_id, (SELECT min(i) - 1 FROM range(1, least(octet_length(x), octet_length(y)) + 1) t(i) WHERE x[i:i] <> y[i:i]) AS divergence_byte FROM n")
-def first_divergence(spark, sf):
-    return V.text_pairs(spark, sf).select("episode_id", bytesdiff.first_divergence("a", "b").alias("divergence_byte"))
+PARTING = "p AS (SELECT a.doc_id AS episode_id, hex(encode(a.text)) AS x, hex(encode(b.text)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)", """dv AS (WITH RECURSIVE r(episode_id, lo, hi) AS (SELECT episode_id, CAST(0 AS BIGINT), CAST(least(length(x), length(y)) // 2 AS BIGINT) FROM p
+  UNION ALL SELECT q.episode_id, CASE WHEN q.same THEN q.mid ELSE q.lo END, CASE WHEN q.same THEN q.hi ELSE q.mid - 1 END FROM (SELECT r.episode_id, r.lo, r.hi, (r.lo + r.hi + 1) // 2 AS mid, left(p.x, 2 * ((r.lo + r.hi + 1) // 2)) = left(p.y, 2 * ((r.lo + r.hi + 1) // 2)) AS same FROM r JOIN p ON p.episode_id = r.episode_id WHERE r.lo < r.hi) q)
+  SELECT r.episode_id, CASE WHEN r.lo < least(length(p.x), length(p.y)) // 2 THEN r.lo END AS d, p.x, p.y FROM r JOIN p ON p.episode_id = r.episode_id WHERE r.lo = r.hi)"""
 
 
-del _sql["first_divergence"]  # DuckDB can't index blobs; tests compare it with a plain loop
+@query(*PARTING, "SELECT episode_id, d AS divergence_byte FROM dv")
+def first_divergence(spark, sf):
+    return V.text_pairs(spark, sf).select("episode_id", bytesdiff.first_divergence("a", "b").alias("divergence_byte"))
 
 
-@query()
+@query(*PARTING, """an AS (SELECT *, length(x) // 2 AS size, CASE WHEN length(substr(x, 2 * (d + 64) + 1, 32)) = 32 THEN regexp_replace(substr(x, 2 * (d + 64) + 1, 32), '(..)', '\\1 ', 'g') END AS anchor FROM dv),
+mt AS (SELECT *, strpos(regexp_replace(y, '(..)', '\\1 ', 'g'), anchor) AS place FROM an), rc AS (SELECT episode_id, size, d, CASE WHEN place > 0 THEN (place - 1) // 3 END AS r, size / 16 AS duration FROM mt),
+sc AS (SELECT *, d / 16 + 2 AS s, least(r / 16 - 2, d / 16 + 2 + 240, duration) AS e FROM rc), rj AS (SELECT *, CASE WHEN d IS NULL THEN 'no divergence' WHEN r IS NULL THEN 'no realignment' WHEN duration <= 0 THEN 'unreadable' WHEN e - s < 8 THEN 'too short' END AS reject FROM sc)""",
+'SELECT episode_id, CASE WHEN reject IS NULL THEN s END AS "start", CASE WHEN reject IS NULL THEN e END AS "end", CASE WHEN reject IS NULL THEN 0.5::DOUBLE END AS confidence, reject FROM rj')
 def dai_tier(spark, sf):
     pairs = V.text_pairs(spark, sf)
     probe = bytesdiff.probe_variance(pairs, skip=64, size=16)
@@ -445,60 +510,23 @@ def bytes_to_seconds(spark, sf):
     return bytesdiff.dai_spans(p, p.select("episode_id", F.lit(1000000).alias("size"), F.lit(1000.0).alias("duration")))
 
 
-@query()
+@query(V.SEG, V.SPANS, """sg AS (SELECT s.*, EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND s."end" > x."start" AND s."start" < x."end") AS skip FROM seg s),
+gr AS (SELECT *, sum(CASE WHEN skip THEN 0 ELSE 1 END) OVER (PARTITION BY episode_id ORDER BY seg_idx) AS run FROM sg),
+ln AS (SELECT episode_id, seg_idx * 2 + 1 AS pos, format('[{}] {:.1f}-{:.1f}: {}', seg_idx, "start", "end", text) AS line FROM gr WHERE NOT skip UNION ALL SELECT episode_id, max(seg_idx) * 2, format('({} segment(s) already known)', count(*)) FROM gr WHERE skip GROUP BY episode_id, run),
+nl AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY pos) AS n FROM ln),
+ck AS (WITH RECURSIVE r(episode_id, n, chunk, size) AS (SELECT episode_id, n, 0, length(line) + 1 FROM nl WHERE n = 1 UNION ALL SELECT l.episode_id, l.n, CASE WHEN r.size + length(l.line) + 1 > 2000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(l.line) + 1 > 2000 THEN 0 ELSE r.size END + length(l.line) + 1 FROM r JOIN nl l ON l.episode_id = r.episode_id AND l.n = r.n + 1) SELECT * FROM r)""",
+"SELECT ck.episode_id, CAST(ck.chunk AS INT) AS chunk, CAST(count(*) AS INT) AS lines, string_agg(nl.line, chr(10) ORDER BY nl.n) AS text FROM ck JOIN nl ON nl.episode_id = ck.episode_id AND nl.n = ck.n GROUP BY 1, 2")
 def greedy_chunks(spark, sf):
     seg = V.segments(spark, sf)
-    return detect.chunks(seg, intervals.covered_segments(seg, V.placed_spans(spark, sf)), 2000)
+    return detect.chunks(seg, intervals.covered_segments(seg, V.spans(spark, sf)), 2000)
 
 
-@query(V.SEG, 'a AS (SELECT event_id % 997 AS episode_id, CAST(event_id % 9 AS INT) AS f, CAST(event_id % 13 AS INT) AS l, event_type FROM events)', """SELECT a.episode_id, s."start", e."end", 'llm' AS source, a.event_type AS reason FROM a JOIN seg s ON s.episode_id = a.episode_id AND s.seg_idx = a.f JOIN seg e ON e.episode_id = a.episode_id AND e.seg_idx = a.l WHERE a.f <= a.l""")
+@query(V.SEG, """lc AS (SELECT episode_id, count(*) AS n FROM seg GROUP BY 1), a AS (SELECT lc.episode_id, v.event_id * 31 % lc.n AS f, v.event_id * 31 % lc.n + v.event_id % 13 - 2 AS l, v.event_type FROM events v JOIN lc ON lc.episode_id = v.event_id % (SELECT count(*) FROM documents))""", """SELECT a.episode_id, s."start", e."end", 'llm' AS source, a.event_type AS reason FROM a JOIN seg s ON s.episode_id = a.episode_id AND s.seg_idx = a.f JOIN seg e ON e.episode_id = a.episode_id AND e.seg_idx = a.l WHERE a.f <= a.l""")
 def span_grounding(spark, sf):
-    e = F.col("event_id")
-    a = T(spark, sf, "events").select((e % 997).alias("episode_id"), (e % 9).cast("int").alias("first"), (e % 13).cast("int").alias("last"), F.concat(F.lit(" "), F.col("event_type")).alias("reason"))
-    return detect.grounded(a, V.segments(spark, sf))
-
-
-# ------------------------------------------------------------------ spans over all documents
-# The queries above whose SQL has spans of 997 documents keep it; these take spans over all documents and have no SQL.
-
-
-@query()
-def text_library_whole(spark, sf):
-    return text.text_library(V.segments(spark, sf), V.placed_spans(spark, sf))
-
-
-@query()
-def snap_inward_whole(spark, sf):
-    s = V.placed_spans(spark, sf)
-    cut = s.where(F.col("source").isin(*S.CUT_SOURCES)).select(F.col("id").alias("span_id"), "episode_id", "start", "end")
-    return intervals.snap_inward(cut, s.where("source = 'recur'"), "episode_id")
-
-
-@query()
-def overlap_join_whole(spark, sf):
-    return intervals.overlap_join(V.segments(spark, sf), V.placed_spans(spark, sf), "episode_id", bucket=60.0).select("episode_id", "seg_idx", F.col("id").alias("span_id"), "source")
-
-
-@query()
-def covered_segments_whole(spark, sf):
-    return intervals.covered_segments(V.segments(spark, sf), V.placed_spans(spark, sf)).select("episode_id", "seg_idx")
-
-
-@query()
-def pending_cut_whole(spark, sf):
-    return queues.pending_cut(V.episodes(spark, sf), V.placed_spans(spark, sf)).select("id", "feed_id")
-
-
-@query()
-def truth_counts_whole(spark, sf):
-    return queues.truth_counts(V.episodes(spark, sf), V.placed_spans(spark, sf))
-
-
-@query()
-def span_grounding_whole(spark, sf):
     """Answers on lines anywhere in a document; the last index can lie before the first or beyond the end."""
-    lines = V.segments(spark, sf).groupBy("episode_id").agg(F.count("*").alias("_n"))
-    e = T(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit(" "), F.col("event_type")).alias("reason"))
-    a = e.join(V.dealt_ids(spark, sf), "id").join(lines, "episode_id").withColumn("first", F.pmod(F.xxhash64("id"), "_n").cast("int"))
-    a = a.select("episode_id", "first", (F.col("first") + (F.col("id") % 13 - 2).cast("int")).alias("last"), "reason")
-    return detect.grounded(a, V.segments(spark, sf))
+    e, seg = F.col("event_id"), V.segments(spark, sf)
+    many = F.broadcast(T(spark, sf, "documents").agg(F.count("*").alias("_many")))  # one row
+    a = T(spark, sf, "events").join(many).withColumn("episode_id", e % F.col("_many")).join(seg.groupBy("episode_id").agg(F.count("*").alias("_n")), "episode_id")
+    first = e * 31 % F.col("_n")
+    a = a.select("episode_id", first.cast("int").alias("first"), (first + e % 13 - 2).cast("int").alias("last"), F.concat(F.lit(" "), F.col("event_type")).alias("reason"))
+    return detect.grounded(a, seg)

@@ -27,31 +27,18 @@ seg AS (SELECT episode_id, CAST(i - 1 AS INT) AS seg_idx, CAST(sum(length(p[i])
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Detected spans of all tiers, made from events."""
-    e = F.col("event_id")
+    """Detected spans of all tiers, made from events: dealt evenly over all documents, starting anywhere in theirs."""
+    e, x = F.col("event_id"), F.col("event_id") * 7919
     source = F.get(F.array(*[F.lit(x) for x in SOURCES]), (e % 7).cast("int"))
-    return table(spark, sf, "events").select(e.alias("id"), (e % 997).alias("episode_id"), (e * 37 % 2000 / 16).alias("start"), ((e * 37 % 2000 + e * 13 % 400 + 16) / 16).alias("end"), source.alias("source"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), F.greatest(F.length("text"), F.lit(1)).alias("_n"))
+    many = F.broadcast(d.agg(F.count("*").alias("_many")))  # one row
+    dealt = table(spark, sf, "events").select("event_id").join(many).select("event_id", (e % F.col("_many")).alias("episode_id"))
+    return dealt.join(d, "episode_id").select(e.alias("id"), "episode_id", (x % F.col("_n") / 16).alias("start"), ((x % F.col("_n") + e * 13 % 400 + 16) / 16).alias("end"), source.alias("source"))
 
 
-SPANS = f"""spans AS (SELECT event_id AS id, event_id % 997 AS episode_id, CAST(event_id * 37 % 2000 AS DOUBLE) / 16 AS "start",
-  CAST(event_id * 37 % 2000 + event_id * 13 % 400 + 16 AS DOUBLE) / 16 AS "end", [{", ".join(repr(x) for x in SOURCES)}][event_id % 7 + 1] AS source FROM events)"""
-
-
-def placed_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """The spans dealt evenly over all documents' ids, with starts anywhere in their document; SPANS covers 997 ids only."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), F.length("text").alias("_n"))
-    e, x = dealt_ids(spark, sf), spans(spark, sf).select("id", (F.col("end") - F.col("start")).alias("_l"), "source")
-    at = F.pmod(F.xxhash64("id"), F.greatest(F.col("_n"), F.lit(1))) / 16
-    return x.join(e, "id").join(d, "episode_id").select("id", "episode_id", at.alias("start"), (at + F.col("_l")).alias("end"), "source")
-
-
-def dealt_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, episode_id): a document of every event, by a stride through all documents in id order."""
-    ids = table(spark, sf, "documents").select("doc_id").where("doc_id is not null").distinct()
-    numbered = ids.sort("doc_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("episode_id long, _at long")
-    n = F.broadcast(numbered.agg(F.count("*").alias("_n")))  # one row
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id")).join(n)
-    return e.where("_n > 0").withColumn("_at", F.pmod(F.col("id") * 1000003, "_n")).join(numbered, "_at").select("id", "episode_id")
+SPANS = f"""spans AS (SELECT v.event_id AS id, d.doc_id AS episode_id, CAST(v.event_id * 7919 % greatest(length(d.text), 1) AS DOUBLE) / 16 AS "start",
+  CAST(v.event_id * 7919 % greatest(length(d.text), 1) + v.event_id * 13 % 400 + 16 AS DOUBLE) / 16 AS "end", [{", ".join(repr(x) for x in SOURCES)}][v.event_id % 7 + 1] AS source
+  FROM events v JOIN documents d ON d.doc_id = v.event_id % (SELECT count(*) FROM documents))"""
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,14 +48,14 @@ def test_components_of_all_edges(spark, sf):
     while any(want[a] != want[b] for a, b in edges):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
-    assert sorted(_run(spark, sf, "connected_components_whole")) == sorted(want.items()) and len(set(want.values())) > 1
+    assert sorted(_run(spark, sf, "connected_components")) == sorted(want.items()) and len(set(want.values())) > 1
 
 
 def test_speech_of_all_lines(spark, sf):
     lines = _lines(spark, sf)
     words = lambda s: sum(len(x.split()) for _, a, b, x in lines.get(s["episode_id"], []) if b > s["start"] and a < s["end"])
-    want = [(s["id"], s["episode_id"]) for s in V.placed_spans(spark, sf).collect() if s["episode_id"] % 3 == 0 or words(s) >= 5]
-    assert sorted(_run(spark, sf, "speech_filter_whole")) == sorted(want) and len(want) < 6000
+    want = [(s["id"], s["episode_id"]) for s in V.spans(spark, sf).collect() if s["episode_id"] % 3 == 0 or words(s) >= 5]
+    assert sorted(_run(spark, sf, "speech_filter")) == sorted(want) and len(want) < 6000
 
 
 def test_passages_of_many_documents_recur(spark, tmp_path):
@@ -64,8 +64,9 @@ def test_passages_of_many_documents_recur(spark, tmp_path):
     text = lambda i: " ".join(f"w{i}x{k}" for k in range(30)) + (f" {passage}" if i % 5 == 0 else "")
     _table(spark, tmp_path, "documents", [(i, text(i)) for i in range(60)], "doc_id long, text string")
     _table(spark, tmp_path, "benchmark", [(0, "none of these words is in a document")], "item_id long, text string")
-    assert sorted(r[0] for r in _run(spark, tmp_path, "discover_recurring_whole")) == list(range(0, 60, 5))
+    assert sorted(r[0] for r in _run(spark, tmp_path, "discover_recurring")) == list(range(0, 60, 5))
     assert [r["reach"] for r in catalog.queries()["find_campaigns"](spark, str(tmp_path)).collect()] == [12]
+    assert _run(spark, tmp_path, "select_seed_episodes") == [(0, 1, 0)]
 
 
 def test_bytes_beyond_16_kib(spark, tmp_path):
@@ -75,20 +76,20 @@ def test_bytes_beyond_16_kib(spark, tmp_path):
 
 
 def test_spans_over_all_documents(spark, sf):
-    lines, spans = _lines(spark, sf), V.placed_spans(spark, sf).collect()
+    lines, spans = _lines(spark, sf), V.spans(spark, sf).collect()
     assert len(spans) == 6000 and {s["episode_id"] for s in spans} == set(range(1500))
     assert max(s["start"] for s in spans) > 125 and all(s["start"] < lines[s["episode_id"]][-1][2] for s in spans)
     over = [(s["episode_id"], j, s["id"], s["source"]) for s in spans for j, a, b, _ in lines[s["episode_id"]] if b > s["start"] and a < s["end"]]
-    assert sorted(_run(spark, sf, "overlap_join_whole")) == sorted(over)
-    assert sorted(_run(spark, sf, "covered_segments_whole")) == sorted({x[:2] for x in over})
+    assert sorted(_run(spark, sf, "overlap_join")) == sorted(over)
+    assert sorted(_run(spark, sf, "covered_segments")) == sorted({x[:2] for x in over})
     truth = {(i, j) for i, j, _, source in over if source in ("chapter", "llm", "manual")}
     grams = {" ".join(w[k : k + 5]) for i, j in truth for w in [lines[i][j][3].split()] for k in range(len(w) - 4)}
-    assert {r[0] for r in _run(spark, sf, "text_library_whole")} == grams
+    assert {r[0] for r in _run(spark, sf, "text_library")} == grams
     counts = {i: sum(s["episode_id"] == i and s["source"] in ("chapter", "llm", "manual") for s in spans) for i in range(0, 1500, 2)}
-    assert {r[0]: r[2] for r in _run(spark, sf, "truth_counts_whole")} == counts
+    assert {r[0]: r[2] for r in _run(spark, sf, "truth_counts")} == counts
     cut = {s["episode_id"] for s in spans if s["source"] in ("chapter", "llm", "manual", "repeat", "fpmatch")}
-    assert sorted(r[0] for r in _run(spark, sf, "pending_cut_whole")) == sorted(i for i in cut if i % 13 and i % 17)
-    assert len(_run(spark, sf, "snap_inward_whole")) == sum(s["source"] in ("chapter", "llm", "manual", "repeat", "fpmatch") for s in spans)
-    found = _run(spark, sf, "span_grounding_whole")
+    assert sorted(r[0] for r in _run(spark, sf, "pending_cut")) == sorted(i for i in cut if i % 13 and i % 17)
+    assert len(_run(spark, sf, "snap_inward")) == sum(s["source"] in ("chapter", "llm", "manual", "repeat", "fpmatch") for s in spans)
+    found = _run(spark, sf, "span_grounding")
     assert max(r[0] for r in found) >= 997 and max(r[1] for r in found) > 125
     assert any("already known" in r[3] for r in _run(spark, sf, "greedy_chunks") if r[0] >= 997)
