@@ -21,14 +21,14 @@ from .common import whole_row
 KEY = "A-Za-z0-9+/_\\-"
 #: Words that announce a secret, up to the mark between the two.
 NAMED = "(?i:passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-#: A token of three parts; 6 characters or more after a name and a mark; a word of every class of characters; a run of
-#: key characters. Where the mark must be near, it is looked for first, as most places fail there.
-CANDIDATE = "|".join([
-    f"(?<![{KEY}])eyJ[{KEY}]{{8,}}\\.[{KEY}]{{8,}}\\.[{KEY}]{{8,}}",
-    f"(?<=[=:][ \"']{{0,3}})(?<={NAMED}[\"']? {{0,2}}[=:] {{0,2}}[\"']?)[^\\s\"'`<>=]{{5,}}[^\\s\"'`<>=,.;:)]",
-    "(?<=[\\s\"'`=:(]|^)(?=[^\\s\"'`]{0,64}[!#$%&*?@^~])(?=[^\\s\"'`]{0,64}[0-9])(?=[^\\s\"'`]{0,64}[A-Z])(?=[^\\s\"'`]{0,64}[a-z])[^\\s\"'`]{9,}[^\\s\"'`,.;:)]",
-    f"(?<![{KEY}])[{KEY}]{{16,}}",
-])
+#: 6 characters or more after a name and a mark; a word of every class of characters; a token of three parts or a run of
+#: key characters. All begin where no key character stands before, and what fails at most such places is asked first.
+CANDIDATE = (
+    f"(?<![{KEY}])(?:"
+    f"(?<=[=: \"'])(?<=[=:][ \"']{{0,3}})(?<={NAMED}[\"']? {{0,2}}[=:] {{0,2}}[\"']?)[^\\s\"'`<>=]{{5,}}[^\\s\"'`<>=,.;:)]|"
+    "(?=[^\\s\"'`]{10})(?<![^\\s\"'`=:(])(?=[A-Za-z0-9]*+[^A-Za-z0-9\\s])(?=[^\\s\"'`]{0,64}[0-9])(?=[^\\s\"'`]{0,64}[!#$%&*?@^~])(?=[^\\s\"'`]{0,64}[A-Z])(?=[^\\s\"'`]{0,64}[a-z])[^\\s\"'`]{9,}[^\\s\"'`,.;:)]|"
+    f"eyJ[{KEY}]{{8,}}\\.[{KEY}]{{8,}}\\.[{KEY}]{{8,}}|[{KEY}]{{16,}}+)"
+)
 NEAR = 40
 TRAINING_FINDINGS = 8_000
 BLOCK = 256
@@ -146,10 +146,19 @@ def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """
     text = F.col("text").cast("string")
     found = docs.where(F.regexp_like(text, F.lit(CANDIDATE))).select(*keep, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_c"), F.split(text, CANDIDATE, -1).alias("_g"))
-    ahead = F.transform("_c", lambda x, i: (F.length(F.get("_g", i)) + F.when(i > 0, F.length(F.get("_c", i - 1))).otherwise(0)).cast("long"))
     names = found.columns[:-2]
-    told = found.select(*names, F.arrays_zip(F.col("_c").alias("candidate"), running(ahead).alias("start"), F.transform("_c", lambda x, i: F.right(F.get("_g", i), F.lit(NEAR))).alias("before"), F.transform("_c", lambda x, i: F.left(F.get("_g", i + 1), F.lit(NEAR))).alias("after")).alias("_all"))
-    return told.select(*names, F.posexplode("_all").alias("_at", "_one")).select(*names, "_at", "_one.*")
+    ahead = F.transform("_c", lambda x, i: (F.length(F.get("_g", i)) + F.when(i > 0, F.length(F.get("_c", i - 1))).otherwise(0)).cast("long"))
+    told = found.select("*", ahead.alias("_d")).select(
+        *names,
+        F.arrays_zip(
+            F.col("_c").alias("candidate"),
+            running(F.col("_d")).alias("start"),
+            F.transform("_c", lambda x, i: F.right(F.get("_g", i), F.lit(NEAR))).alias("before"),
+            F.transform("_c", lambda x, i: F.left(F.get("_g", i + 1), F.lit(NEAR))).alias("after"),
+        ).alias("_all"),
+    )
+    # outer, as the filter that a plain explode implies would search the texts once more for each use of the array
+    return told.select(*names, F.posexplode_outer("_all").alias("_at", "_one")).where("_at is not null").select(*names, "_at", "_one.*")
 
 
 def judged(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
@@ -181,9 +190,10 @@ def redacted(docs: DataFrame, model=None, mark: str = "[SECRET]") -> DataFrame:
     told = docs.select(whole_row(docs), text.alias("text"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     flags = judged(candidates(told, [F.col("id"), F.col("h")]), model).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("_at").alias("flags"))  # of one text
     hit = told.join(flags, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
-    gaps, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.when(i >= F.size(found), "").when(F.array_contains("flags", i), mark).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
-    new = hit.select("row", F.col("flags").isNotNull().alias("hit"), F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(parts, "")).alias("text"))
-    name = lambda c: f"`{c.replace('`', '``')}`"
-    made = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return new.select(*[made[c].alias(c) if c in made else F.col(f"row.{name(c)}").alias(c) for c in docs.columns])
+    # split only where something goes, and once: the lambda below must not do it again for every part
+    cut = lambda x: F.when(F.col("flags").isNotNull(), x)
+    split = hit.select("row", "text", "flags", cut(F.split("text", CANDIDATE, -1)).alias("gaps"), cut(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("found"))
+    parts = F.transform("gaps", lambda g, i: F.concat(g, F.when(i >= F.size("found"), "").when(F.array_contains("flags", i), mark).otherwise(F.coalesce(F.get("found", i), F.lit("")))))
+    new = split.select("row", F.col("flags").isNotNull().alias("hit"), F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(parts, "")).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text")).otherwise(F.col("row").getField("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return new.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in docs.columns])
