@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
@@ -76,9 +76,10 @@ def profiles(texts: DataFrame, most: int = TRAINING_DOCUMENTS, length: int = PRO
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(total)], names=["lang", "gram", "n"])
 
     counted = stage(texts.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    out = {lang: np.array([r[0] for r in counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").select("gram").limit(length).collect()], np.int64) for lang in sorted(many)}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    rows = counted.withColumn("rank", rank).where(F.col("rank") <= length).select("lang", "rank", "gram").collect()  # `length` rows a language
     unstage(counted)
-    return {lang: p for lang, p in out.items() if len(p)}
+    return {lang: np.array([g for _, g in sorted((r["rank"], r["gram"]) for r in rows if r["lang"] == lang)], np.int64) for lang in sorted({r["lang"] for r in rows})}
 
 
 def _predictor(known: dict[str, np.ndarray], length: int):

@@ -18,6 +18,8 @@ from .common import stage
 
 PER_SHARD = 16
 SAMPLE_PER_RANGE = 24
+#: A range of more rows or of more than four times its bytes is subdivided, as each part is sorted in one task.
+MOST_ROWS = 1_000_000
 
 
 def sharded(docs: DataFrame, shards: int = 40, keep_together: float = 0.01) -> DataFrame:
@@ -26,7 +28,8 @@ def sharded(docs: DataFrame, shards: int = 40, keep_together: float = 0.01) -> D
     size is the text's UTF-8 bytes (null: 0) plus 16. Equal texts stand next to each other, and a run of them no larger
     than keep_together of a shard isn't cut; a larger one is cut between records. slot is gapless from 0 within a shard.
     Null texts form a group like any other, with crc 0; null doc_ids come first in their group. Repeated rows get a slot each. An empty
-    table gives an empty result. Other columns are ignored. The driver gets shards * 16 boundaries and as many totals.
+    table gives an empty result. Other columns are ignored. The driver gets shards * 16 boundaries and about as many
+    totals; the table of part totals has a row for every MOST_ROWS rows besides.
     """
     ranges = shards * PER_SHARD
     text = F.col("text").cast("string")
@@ -55,7 +58,7 @@ def sharded(docs: DataFrame, shards: int = 40, keep_together: float = 0.01) -> D
     )
     ranged = keyed.withColumn("_below", below).withColumn("_range", 2 * F.col("_below") + F.when(F.get(bounds, F.col("_below")) == F.col("_h"), 1).otherwise(0)).drop("_below")
     totals = ranged.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # at most 2 * ranges + 1 rows
-    parts = {r["_range"]: math.ceil(r["bytes"] / (target / PER_SHARD * 4)) for r in totals}
+    parts = {r["_range"]: math.ceil(max(r["bytes"] / (target / PER_SHARD * 4), r["rows"] / MOST_ROWS)) for r in totals}
     parts = {k: v for k, v in parts.items() if v > 1}
     sub = F.lit(0)
     if parts:
@@ -74,7 +77,7 @@ def sharded(docs: DataFrame, shards: int = 40, keep_together: float = 0.01) -> D
         .withColumn("_r", F.row_number().over(order) - 1)
         .withColumn("_gb", F.min("_b").over(same))
         .withColumn("_gs", F.sum("size").over(same))
-        .join(F.broadcast(base), ["_range", "_sub"])  # as many rows as there are ranges
+        .join(base, ["_range", "_sub"])  # as many rows as there are parts
     )
     middle = F.col("_b0") + F.when(F.col("_gs") <= keep_together * target, F.col("_gb") + F.col("_gs") / 2).otherwise(F.col("_b") + F.col("size") / 2)
     placed = stage(
