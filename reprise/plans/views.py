@@ -29,7 +29,7 @@ seg AS (SELECT episode_id, CAST(i - 1 AS INT) AS seg_idx, CAST(sum(length(p[i])
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """Detected spans of all tiers, made from events: dealt evenly over all documents, starting anywhere in theirs."""
     e, x = F.col("event_id"), F.col("event_id") * 7919
-    source = F.get(F.array(*[F.lit(x) for x in SOURCES]), (e % 7).cast("int"))
+    source = F.get(F.array(*[F.lit(x) for x in SOURCES]), F.expr("event_id * 2654435761 % 4294967296 div 65536 % 7").cast("int"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), F.greatest(F.length("text"), F.lit(1)).alias("_n"))
     many = F.broadcast(d.agg(F.count("*").alias("_many")))  # one row
     dealt = table(spark, sf, "events").select("event_id").join(many).select("event_id", (e % F.col("_many")).alias("episode_id"))
@@ -37,7 +37,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SPANS = f"""spans AS (SELECT v.event_id AS id, d.doc_id AS episode_id, CAST(v.event_id * 7919 % greatest(length(d.text), 1) AS DOUBLE) / 16 AS "start",
-  CAST(v.event_id * 7919 % greatest(length(d.text), 1) + v.event_id * 13 % 400 + 16 AS DOUBLE) / 16 AS "end", [{", ".join(repr(x) for x in SOURCES)}][v.event_id % 7 + 1] AS source
+  CAST(v.event_id * 7919 % greatest(length(d.text), 1) + v.event_id * 13 % 400 + 16 AS DOUBLE) / 16 AS "end", [{", ".join(repr(x) for x in SOURCES)}][v.event_id * 2654435761 % 4294967296 // 65536 % 7 + 1] AS source
   FROM events v JOIN documents d ON d.doc_id = v.event_id % (SELECT count(*) FROM documents))"""
 
 
