@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, whole_row
 
-BUCKETS = 256
+BUCKETS = 1 << 14
 #: Up to so many sources the bisection has their shares on the driver and the table of weights is broadcast.
 SOURCES_AT_ONCE = 10_000
 
@@ -83,7 +83,7 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, most_repeats: fl
     is used, and the document at the end is read whole if its first token lies within. A null source is a source of its
     own. Repeated rows are documents of their own; null texts count one token. An empty table gives an empty result.
 
-    A source with a third of all rows is permuted and summed in 256 buckets of the permutation. The weights are a table
+    A source with a third of all rows is permuted and summed in BUCKETS buckets of the permutation. The weights are a table
     with a row per source, which is broadcast up to SOURCES_AT_ONCE rows and joined otherwise. Columns named like those
     added are replaced; all others come back as they are, whatever their names.
     """

@@ -303,7 +303,7 @@ def test_mixing_equals_plain(spark, docs):
     blocks = max(1, int(np.ceil(use / 5000)))
     want = {}
     for source in total:
-        mine = sorted((((r["o"] >> 40) % 256, r["o"], r["doc_id"]) for r in rows if r["source"] == source))
+        mine = sorted((((r["o"] >> 40) % mixing.BUCKETS, r["o"], r["doc_id"]) for r in rows if r["source"] == source))
         for epoch in range(3):
             at = epoch * total[source]
             for *_, i in mine:
