@@ -1,9 +1,12 @@
 """The known cases: cuts, snapping, runs, alignment, cold start, campaigns, bytes, feeds, queues."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from reprise.functions import scalars as S
+from reprise.functions import staging
 from reprise.operators import bytesdiff, campaigns, chapters, detect, graph, intervals, queues, sequence, text, tiers
 from reprise.sources import feeds
 from reprise.streaming import index
@@ -197,6 +200,13 @@ def test_heavy_nodes_of_components(spark, monkeypatch):
     assert got == {**{i: 0 for i in range(60)}, 200: 0, **{100 + i: 100 for i in range(31)}}
 
 
+@pytest.mark.parametrize("master", ["spark://head:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_staging_needs_a_shared_folder(master):
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf)))
+
+
 def test_upsert_is_idempotent(spark):
     cols = "guid string, title string, pos long"
     new = spark.createDataFrame([("a", "A", 0), ("b", None, 1), ("a", "again", 2)], cols)
