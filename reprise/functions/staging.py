@@ -24,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
-#: Shuffle files of a write go once it is done: what reads the table never needs them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are written: shuffle files of a write go once it is done, as what reads the table never needs them, and
+#: rows go to Python in batches of a few MB, however long their texts are.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -35,18 +36,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 _writing = 0
-_before: str | None = None
+_before: dict[str, str | None] = {}
 _lock = threading.Lock()
 
 
 @contextlib.contextmanager
-def _cleaned(spark: SparkSession):
-    """CLEANUP is on while any table is being written, and as it was before once none is."""
+def _while_writing(spark: SparkSession):
+    """SETTINGS hold while any table is being written, and what was set before once none is."""
     global _writing, _before
     with _lock:
         if not _writing:
-            _before = spark.conf.get(CLEANUP, None)
-            spark.conf.set(CLEANUP, "true")
+            _before = {k: spark.conf.get(k, None) for k in SETTINGS}
+            for k, v in SETTINGS.items():
+                spark.conf.set(k, v)
         _writing += 1
     try:
         yield
@@ -54,14 +56,15 @@ def _cleaned(spark: SparkSession):
         with _lock:
             _writing -= 1
             if not _writing:
-                spark.conf.set(CLEANUP, _before) if _before is not None else spark.conf.unset(CLEANUP)
+                for k, v in _before.items():
+                    spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    with _cleaned(spark):
+    with _while_writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
