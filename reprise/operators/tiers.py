@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.staging import stage
+from ..functions.staging import stage, unstage
 from . import detect, intervals, queues, sequence, text
 
 
-def frames_within(frames: DataFrame, sizes: DataFrame, spans: DataFrame) -> DataFrame:
-    """frames with the columns of the spans (episode_id, start, end, ...) they lie in whole, numbered from the span's first."""
+def frame_ranges(sizes: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans(episode_id, start, end, ...) with the first and last frame that lie in each whole."""
     per = F.col("frames") / F.col("duration")
     placed = spans.join(sizes.select("episode_id", "frames", "duration"), "episode_id").where("duration > 0")
-    placed = placed.withColumns({"first": F.ceil(F.col("start") * per), "last": F.floor(F.col("end") * per) - 1}).drop("frames", "duration")
-    return intervals.point_in_run(frames, placed, "episode_id", "frame").withColumn("frame", (F.col("frame") - F.col("first")).cast("int")).drop("first", "last")
+    return placed.withColumns({"first": F.ceil(F.col("start") * per), "last": F.floor(F.col("end") * per) - 1}).drop("frames", "duration")
+
+
+def frames_within(frames: DataFrame, sizes: DataFrame, spans: DataFrame) -> DataFrame:
+    """frames with the columns of the spans (episode_id, start, end, ...) they lie in whole, numbered from the span's first."""
+    inside = intervals.point_in_run(frames, frame_ranges(sizes, spans), "episode_id", "frame")
+    return inside.withColumn("frame", (F.col("frame") - F.col("first")).cast("int")).drop("first", "last")
 
 
 def editorial_stoplist(frames: DataFrame, sizes: DataFrame, spans: DataFrame, sources: tuple[str, ...] = S.AUDIO_SOURCES) -> DataFrame:
@@ -41,14 +46,53 @@ def audio_library(frames: DataFrame, sizes: DataFrame, spans: DataFrame, exclude
     return library, sequence.stop_values(sequence.frequent_values(library, fraction), editorial_stoplist(frames, sizes, spans, sources))
 
 
+def held_out_regions(frames: DataFrame, sizes: DataFrame, spans: DataFrame, match_frames: int = S.MATCH_FRAMES, floor: int = S.MIN_REGION_FRAMES, bridge: int = S.BRIDGE_FRAMES, fraction: float = S.STOP_EPISODE_FRACTION, sources: tuple[str, ...] = S.AUDIO_SOURCES) -> DataFrame:
+    """(episode_id, first, last, members): each episode matched against the confirmed spans of all others, as if it had confirmed none.
+
+    What another library would stop follows from counts: without an episode that owns a value the value has one owner
+    fewer, and the library one episode fewer if the episode owns any. Values that are stopped for no episode or for
+    every one are told by their counts alone; only the few between the two limits need to know their owners.
+    """
+    library, editorial = audio_library(frames, sizes, spans, fraction=fraction, sources=sources)[0], editorial_stoplist(frames, sizes, spans, sources)
+    library, editorial = stage(library), stage(editorial)
+    owned = stage(library.groupBy("value", "episode_id").agg(F.lit(True).alias("owns")))
+    owner = owned.select("episode_id").distinct()
+    n = F.broadcast(owner.agg(F.count("*").alias("n")))  # one row
+    counts = owned.groupBy("value").agg(F.count("*").alias("episodes")).join(n)
+    counts = counts.where(F.col("episodes") > fraction * (F.col("n") - 1))  # stopped for some episode, if at all
+    if editorial.limit(1).count():
+        counts = counts.join(editorial, "value", "left_semi")
+    asked = frames.join(counts, "value", "left").join(owned, ["value", "episode_id"], "left").join(owner.withColumn("owner", F.lit(True)), "episode_id", "left")
+    less = lambda x: F.when(x, 1).otherwise(0)
+    stopped = F.col("episodes") - less(F.col("owns")) > fraction * (F.col("n") - less(F.col("owner")))
+    asked = asked.where(~F.coalesce(stopped, F.lit(False))).select("episode_id", "frame", "value")
+    out = stage(sequence.match_regions(asked, library, None, match_frames, floor, bridge))
+    unstage(library, editorial, owned)
+    return out
+
+
+def audio_recall(frames: DataFrame, sizes: DataFrame, spans: DataFrame, match_frames: int = S.MATCH_FRAMES, floor: int = S.MIN_REGION_FRAMES, sources: tuple[str, ...] = S.AUDIO_SOURCES) -> DataFrame:
+    """(episode_id, ads, found, ad_frames, found_frames) of every episode with confirmed spans of a frame at least: what the others' spans find again, by span and by length."""
+    known = spans.where(F.col("source").isin(*sources)).select("episode_id", "start", "end", F.col("id").alias("ad_id"))
+    ads = frame_ranges(sizes, known).where("last >= first").select("episode_id", "ad_id", "first", "last")
+    region = held_out_regions(frames, sizes, spans, match_frames, floor, sources=sources).select("episode_id", F.col("first").alias("_f"), F.col("last").alias("_l"))
+    # regions of an episode are apart; one without any has none to meet
+    met = F.when(F.col("_f").isNotNull(), F.greatest(F.lit(0), F.least("last", "_l") - F.greatest("first", "_f") + 1))
+    each = ads.join(region, "episode_id", "left").groupBy("episode_id", "ad_id", "first", "last").agg(F.coalesce(F.sum(met), F.lit(0)).alias("_met"))
+    size = F.col("last") - F.col("first") + 1
+    return each.groupBy("episode_id").agg(F.count("*").alias("ads"), F.count_if(F.col("_met") > 0).alias("found"), F.sum(size).cast("long").alias("ad_frames"), F.sum("_met").cast("long").alias("found_frames"))
+
+
 def apply_fingerprints(episodes: DataFrame, spans: DataFrame, frames: DataFrame, sizes: DataFrame, segments: DataFrame, match_frames: int = S.MATCH_FRAMES, floor: int = S.MIN_REGION_FRAMES) -> DataFrame:
     """spans with the `fpmatch` tier written anew for every episode with audio that is indexed.
 
     Regions match confirmed spans of other episodes; where there is a transcript, a region without speech goes.
     Nothing changes while nothing is confirmed.
     """
+    frames, sizes = stage(frames), stage(sizes)
     looked = sizes.join(episodes.where("audio_url is not null").select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
     library, stop = audio_library(frames, sizes, spans)
+    library = stage(library)
     some = library.select(F.lit(1).alias("_some")).limit(1)
     looked = looked.join(F.broadcast(some)).drop("_some")  # one row or none
     mine = frames.join(looked.select("episode_id"), "episode_id", "left_semi")

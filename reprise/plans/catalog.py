@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,11 @@ def query(*parts: str):
     return put
 
 
+def once(*parts: str) -> tuple[str, ...]:
+    """The same views, each computed once however often it is named."""
+    return tuple(re.sub(r"(^|\),\s*)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", p) for p in parts)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -287,22 +293,44 @@ def audio_library(spark, sf):
     return library.join(stop.withColumn("_s", F.lit(True)), "value", "left").select("ad_id", "episode_id", "frame", "value", F.col("_s").isNotNull().alias("stopped"))
 
 
-@query(*TIER, *AUDIO, V.EPISODES, V.SEG, SPOKEN, "lk AS (SELECT sz.* FROM sz WHERE episode_id IN (SELECT id FROM episodes WHERE audio_url IS NOT NULL) AND EXISTS (SELECT 1 FROM al))",
+@query(*once(*TIER, *AUDIO, V.EPISODES, V.SEG, SPOKEN, "lk AS (SELECT sz.* FROM sz WHERE episode_id IN (SELECT id FROM episodes WHERE audio_url IS NOT NULL) AND EXISTS (SELECT 1 FROM al))",
 "pr AS (SELECT q.episode_id, q.frame, l.ad_id AS other, l.frame AS other_frame FROM fr q JOIN al l ON l.value = q.value AND l.episode_id <> q.episode_id WHERE q.episode_id IN (SELECT episode_id FROM lk) AND q.value NOT IN (SELECT value FROM sp))", VOTES[1], *[h.format(floor=20) for h in HITS],
 """fd AS (SELECT rg.episode_id, rg."first" * sz.duration / sz.frames AS "start", (rg."last" + 1) * sz.duration / sz.frames AS "end" FROM rg JOIN sz USING (episode_id)),
-sk AS (SELECT fd.episode_id, fd."start", fd."end" FROM fd LEFT JOIN w ON w.episode_id = fd.episode_id AND w."end" > fd."start" AND w."start" < fd."end" GROUP BY ALL HAVING coalesce(sum(w.n), 0) >= 5 OR fd.episode_id NOT IN (SELECT episode_id FROM w))""",
+sk AS (SELECT fd.episode_id, fd."start", fd."end" FROM fd LEFT JOIN w ON w.episode_id = fd.episode_id AND w."end" > fd."start" AND w."start" < fd."end" GROUP BY ALL HAVING coalesce(sum(w.n), 0) >= 5 OR fd.episode_id NOT IN (SELECT episode_id FROM w))"""),
 """SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'fpmatch' OR episode_id NOT IN (SELECT episode_id FROM lk) UNION ALL SELECT NULL, episode_id, "start", "end", 'fpmatch' FROM sk""")
 def apply_fingerprints(spark, sf):
     return tiers.apply_fingerprints(V.episodes(spark, sf), V.spans(spark, sf), V.doc_frames(spark, sf), _sized(spark, sf), V.segments(spark, sf), 20, 20)
 
 
-@query(V.SEG, V.SPANS, V.EPISODES, V.SEGW, V.GRAMS, """lib AS (SELECT DISTINCT g.shingle FROM grams g JOIN seg s USING (episode_id, seg_idx) WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end"))""", V.RATIO, *RUNS,
-"lk AS (SELECT id FROM episodes WHERE transcript_path IS NOT NULL AND EXISTS (SELECT 1 FROM lib))", """SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'repeat' OR episode_id NOT IN (SELECT id FROM lk)
+@query(*once(V.SEG, V.SPANS, V.EPISODES, V.SEGW, V.GRAMS, """lib AS (SELECT DISTINCT g.shingle FROM grams g JOIN seg s USING (episode_id, seg_idx) WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end"))""", V.RATIO, *RUNS,
+"lk AS (SELECT id FROM episodes WHERE transcript_path IS NOT NULL AND EXISTS (SELECT 1 FROM lib))"), """SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'repeat' OR episode_id NOT IN (SELECT id FROM lk)
 UNION ALL SELECT NULL, r.episode_id, a."start", b."end", 'repeat' FROM runs r JOIN lk ON lk.id = r.episode_id JOIN seg a ON a.episode_id = r.episode_id AND a.seg_idx = r."first" JOIN seg b ON b.episode_id = r.episode_id AND b.seg_idx = r."last" """)
 def apply_repeats(spark, sf):
     return tiers.apply_repeats(V.episodes(spark, sf), V.spans(spark, sf), V.segments(spark, sf))
 
 
+OTHERS = """ts AS (SELECT episode_id, seg_idx FROM seg s WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end")),
+ow AS (SELECT g.shingle, count(DISTINCT g.episode_id) AS owners, min(g.episode_id) AS owner FROM grams g JOIN ts USING (episode_id, seg_idx) GROUP BY 1),
+ratio AS (SELECT g.episode_id, g.seg_idx, CAST(count(CASE WHEN o.owners > 1 OR o.owner <> g.episode_id THEN 1 END) AS DOUBLE) / count(*) AS ratio FROM grams g LEFT JOIN ow o ON o.shingle = g.shingle GROUP BY 1, 2)"""
+
+
+@query(*once(V.SEG, V.SPANS, V.SEGW, V.GRAMS, OTHERS, *RUNS), """SELECT episode_id, count(*) AS truth, count(r) AS found, CAST(count(r) AS DOUBLE) / count(*) AS recall
+FROM (SELECT ts.episode_id, ts.seg_idx, max(runs."first") AS r FROM ts LEFT JOIN runs ON runs.episode_id = ts.episode_id AND ts.seg_idx BETWEEN runs."first" AND runs."last" GROUP BY 1, 2) GROUP BY 1""")
+def text_recall(spark, sf):
+    return text.text_recall(V.segments(spark, sf), V.spans(spark, sf))
+
+
+@query(*once(*TIER, AUDIO[0], """ao AS (SELECT DISTINCT value, episode_id FROM al), ne AS (SELECT count(DISTINCT episode_id) AS n FROM ao), vc AS (SELECT value, count(*) AS c FROM ao GROUP BY value)""",
+"""fs AS (SELECT fr.episode_id, fr.frame, fr.value FROM fr LEFT JOIN vc ON vc.value = fr.value LEFT JOIN ao ON ao.value = fr.value AND ao.episode_id = fr.episode_id
+  WHERE NOT coalesce(vc.c - (ao.value IS NOT NULL)::INT > 0.3 * ((SELECT n FROM ne) - (fr.episode_id IN (SELECT episode_id FROM ao))::INT) AND (fr.value IN (SELECT value FROM el) OR NOT EXISTS (SELECT 1 FROM el)), false))""",
+"pr AS (SELECT q.episode_id, q.frame, l.ad_id AS other, l.frame AS other_frame FROM fs q JOIN al l ON l.value = q.value AND l.episode_id <> q.episode_id)", VOTES[1], *[h.format(floor=20) for h in HITS],
+"""ad AS (SELECT k.id, k.episode_id, ceil(k."start" * (sz.frames / sz.duration)) AS f, floor(k."end" * (sz.frames / sz.duration)) - 1 AS l FROM known k JOIN sz USING (episode_id)),
+mt AS (SELECT ad.id, ad.episode_id, ad.l - ad.f + 1 AS size, coalesce(sum(CASE WHEN rg."first" IS NOT NULL THEN greatest(0, least(ad.l, rg."last") - greatest(ad.f, rg."first") + 1) END), 0) AS met FROM ad LEFT JOIN rg ON rg.episode_id = ad.episode_id WHERE ad.l >= ad.f GROUP BY 1, 2, 3)"""),
+"SELECT episode_id, count(*) AS ads, count_if(met > 0) AS found, CAST(sum(size) AS BIGINT) AS ad_frames, CAST(sum(met) AS BIGINT) AS found_frames FROM mt GROUP BY 1")
+def audio_recall(spark, sf):
+    return tiers.audio_recall(V.doc_frames(spark, sf), _sized(spark, sf), V.spans(spark, sf), 20, 20)
+
+
 @query(V.EPISODES, V.SPANS, SNAPPED, "tm AS (SELECT id AS episode_id, duration FROM episodes)", _complement("sn", "tm", "kp"),
 'SELECT tm.episode_id, tm.duration, tm.duration - coalesce(sum(kp."end" - kp."start"), 0) AS ad_seconds, coalesce(tm.duration > 0 AND (tm.duration - coalesce(sum(kp."end" - kp."start"), 0)) / tm.duration > 0.35, false) AS anomalous FROM tm LEFT JOIN kp ON kp.episode_id = tm.episode_id GROUP BY 1, 2')
 def cut_plan_snapped(spark, sf):
