@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import bytesdiff, campaigns, chapters, detect, graph, intervals, queues, sequence, text, tiers
+from ..functions.staging import drop_path, shared_dir, stage
+from ..operators import bytesdiff, campaigns, chapters, detect, graph, intervals, inverted, queues, sequence, text, tiers
 from ..sources import feeds as fs
+from ..sources import store as st
+from ..streaming import delta
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,13 +307,69 @@ def apply_fingerprints(spark, sf):
     return tiers.apply_fingerprints(V.episodes(spark, sf), V.spans(spark, sf), V.doc_frames(spark, sf), _sized(spark, sf), V.segments(spark, sf), 20, 20)
 
 
-@query(*once(V.SEG, V.SPANS, V.EPISODES, V.SEGW, V.GRAMS, """lib AS (SELECT DISTINCT g.shingle FROM grams g JOIN seg s USING (episode_id, seg_idx) WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end"))""", V.RATIO, *RUNS,
-"lk AS (SELECT id FROM episodes WHERE transcript_path IS NOT NULL AND EXISTS (SELECT 1 FROM lib))"), """SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'repeat' OR episode_id NOT IN (SELECT id FROM lk)
+REPEAT_LIB = """lib AS (SELECT DISTINCT g.shingle FROM grams g JOIN seg s USING (episode_id, seg_idx) WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end"))"""
+REPEAT_LK = "lk AS (SELECT id FROM episodes WHERE transcript_path IS NOT NULL AND EXISTS (SELECT 1 FROM lib))"
+
+
+@query(*once(V.SEG, V.SPANS, V.EPISODES, V.SEGW, V.GRAMS, REPEAT_LIB, V.RATIO, *RUNS,
+REPEAT_LK), """SELECT id, episode_id, "start", "end", source FROM spans WHERE source <> 'repeat' OR episode_id NOT IN (SELECT id FROM lk)
 UNION ALL SELECT NULL, r.episode_id, a."start", b."end", 'repeat' FROM runs r JOIN lk ON lk.id = r.episode_id JOIN seg a ON a.episode_id = r.episode_id AND a.seg_idx = r."first" JOIN seg b ON b.episode_id = r.episode_id AND b.seg_idx = r."last" """)
 def apply_repeats(spark, sf):
     return tiers.apply_repeats(V.episodes(spark, sf), V.spans(spark, sf), V.segments(spark, sf))
 
 
+@contextmanager
+def _folder(spark):
+    """A folder of the shared one, gone at the end; what is returned from it is staged."""
+    name = f"t{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    yield name, path
+    drop_path(spark, path)
+
+
+@query(*once(V.SEG, V.SPANS, V.EPISODES, V.SEGW, V.GRAMS, REPEAT_LIB, V.RATIO, *RUNS, REPEAT_LK), """SELECT episode_id, "start", "end", source FROM spans WHERE source <> 'repeat' OR episode_id NOT IN (SELECT id FROM lk)
+UNION ALL SELECT r.episode_id, a."start", b."end", 'repeat' FROM runs r JOIN lk ON lk.id = r.episode_id JOIN seg a ON a.episode_id = r.episode_id AND a.seg_idx = r."first" JOIN seg b ON b.episode_id = r.episode_id AND b.seg_idx = r."last" """)
+def stored_repeats(spark, sf):
+    """The repeat tier over real tables, twice: the second sweep finds what the first wrote, and changes nothing."""
+    with _folder(spark) as (_, path):
+        store, segments = st.open_store(spark, path), stage(V.segments(spark, sf))
+        store.replace("episodes", V.episodes(spark, sf))
+        store.replace("ad_segments", V.spans(spark, sf).withColumnsRenamed({"start": "start_second", "end": "end_second"}))
+        for _ in range(2):
+            st.sweep_repeats(store, segments)
+        return stage(st.spans_of(store).select("episode_id", "start", "end", "source"))
+
+
+ALL_REGIONS = (*once(*TIER, *AUDIO, "pr AS (SELECT q.episode_id, q.frame, l.ad_id AS other, l.frame AS other_frame FROM fr q JOIN al l ON l.value = q.value AND l.episode_id <> q.episode_id WHERE q.value NOT IN (SELECT value FROM sp))", VOTES[1], *[h.format(floor=20) for h in HITS]), 'SELECT episode_id, "first", "last", members FROM rg')
+
+
+@query(*ALL_REGIONS)
+def indexed_regions(spark, sf):
+    """All episodes against a persisted index of the confirmed spans."""
+    frames, sizes, spans = stage(V.doc_frames(spark, sf)), _sized(spark, sf), V.spans(spark, sf)
+    library, _ = tiers.audio_library(frames, sizes, spans)
+    with _folder(spark) as (name, path):
+        inverted.write_index(stage(library), stage(tiers.editorial_stoplist(frames, sizes, spans)), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        out = stage(inverted.indexed_regions(frames, name, path, match_frames=20, floor=20))
+        inverted.drop_index(spark, name, path)
+        return out
+
+
+@query(*ALL_REGIONS)
+def delta_regions(spark, sf):
+    """The same regions, from fingerprints that come in files, a micro-batch each."""
+    frames, sizes, spans = stage(V.doc_frames(spark, sf)), stage(_sized(spark, sf)), stage(V.spans(spark, sf))
+    _, stop = tiers.audio_library(frames, sizes, spans)
+    whole = frames.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("f")).join(sizes, "episode_id")
+    with _folder(spark) as (name, path):
+        whole.select("episode_id", F.col("f.value").alias("fingerprint"), "duration").repartition(3).write.parquet(f"{path}/in")
+        index = delta.DeltaIndex(spark, f"{path}/state", name, stage(stop), int(spark.conf.get("spark.sql.shuffle.partitions")), 20, 20)
+        delta.match_incrementally(index, f"{path}/in", "episode_id LONG, fingerprint ARRAY<LONG>, duration DOUBLE", lambda: spans, f"{path}/checkpoint", 1)
+        out = stage(index.regions())
+        index.drop()
+        return out
+
+
 OTHERS = """ts AS (SELECT episode_id, seg_idx FROM seg s WHERE EXISTS (SELECT 1 FROM spans x WHERE x.episode_id = s.episode_id AND x.source IN ('chapter', 'llm', 'manual') AND s."end" > x."start" AND s."start" < x."end")),
 ow AS (SELECT g.shingle, count(DISTINCT g.episode_id) AS owners, min(g.episode_id) AS owner FROM grams g JOIN ts USING (episode_id, seg_idx) GROUP BY 1),
 ratio AS (SELECT g.episode_id, g.seg_idx, CAST(count(CASE WHEN o.owners > 1 OR o.owner <> g.episode_id THEN 1 END) AS DOUBLE) / count(*) AS ratio FROM grams g LEFT JOIN ow o ON o.shingle = g.shingle GROUP BY 1, 2)"""
