@@ -215,12 +215,14 @@ def _postings(k: int, widths: np.ndarray):
 
 
 def _sets(k: int):
+    """The set of each document and its hash, which tells apart the texts of a repeated id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (flat, starts) = batch.column(0), text_bytes(batch.column(1))
             for i, j in chunks(starts, CHUNK):
                 h, edge = shingle_sets(flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i], k)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(_set_hash(h, edge, SALTS[0])), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(h.view(np.int64)))], names=["rep", "h1", "grams"])
 
     return run
 
@@ -239,16 +241,17 @@ def folded(sketch: str):
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and bit sketches allow the similarity."""
-    one = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    one = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     return pairs.join(one("a"), "a").join(one("b"), "b").where(similar()).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs that link, by their whole shingle sets."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The pairs of classes that link, by their whole shingle sets."""
     pairs = stage(pairs)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(docs.join(need, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, grams array<long>").dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
+    need = nodes.select("node", "rep", "h1").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    texts = docs.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = stage(texts.mapInArrow(_sets(k), "rep long, h1 long, grams array<long>").join(need, ["rep", "h1"]).select("node", "grams").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     shared = F.size(F.array_intersect("ga", "gb"))
     links = stage(both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 75 * (na + nb - i)").select("a", "b"))
     unstage(pairs, sets)
@@ -259,7 +262,8 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text), linking at Jaccard >= 0.75.
 
     Null or wordless text: no shingles, linked with nothing. Fewer than k words: the whole sequence is one shingle.
-    Repeated rows come back as often as they came in. Rows without a doc_id join no links of near copies and have the
+    Repeated rows come back as often as they came in; rows with one id and other texts are one document in the graph of
+    links, so what links with any of them is in their component. Rows without a doc_id join no links of near copies and have the
     component of their exact copies. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -268,34 +272,44 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     # the widest cells that leave t+1 words to every document of the band; at most BANDS * len(WIDTHS) rows
     fits = {(r["n"], r["width"]) for r in told.where("width is not null").groupBy("n", "width").agg(F.min("least").alias("least")).where("least >= 0").collect()}
     widths = np.array([next((w for i, w in enumerate(WIDTHS) if (b, i) in fits), WIDTHS[-1]) for b in range(BANDS + 1)])
-    classes = stage(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
+    # a class of equal sets is a node, under a number of its own: an id can have several texts
+    same = ["n", "h1", "h2"]
+    classes = stage(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
     texts = docs.where("doc_id is not null")
     # summed within tasks before the shuffle
     counts = stage(texts.mapInArrow(_counted(k, widths), "key long, many int").repartition("key").groupBy("key").agg(F.sum("many").alias("df")).where("df > 1"))
     # AQE splits a word that many documents share
     shared = texts.mapInArrow(_postings(k, widths), "key long, h1 long, spare int").join(counts, "key")
     rarest = F.row_number().over(Window.partitionBy("h1", "spare").orderBy(F.desc("df"), "key"))  # the words of one document
+    # copies in other tasks have sent the same words; dealt as the window deals, so that there is no shuffle for it
+    shared = shared.repartition("h1", "spare").dropDuplicates(["h1", "spare", "key"])
     kept = stage(shared.withColumn("at", rarest).where(F.col("at") > F.col("spare").bitwiseAND(F.lit((1 << 24) - 1))).select("key", "h1"))
     unstage(counts)
-    nodes = stage(rows.join(classes, ["n", "h1", "h2"]).where("doc_id = rep").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
-    sized = kept.join(classes.where("rep is not null").select("h1", "rep"), "h1").select("key", F.col("rep").alias("doc_id")).distinct()
+    nodes = stage(rows.join(classes, same).where("doc_id = rep").select("node", "rep", "h1", "n", "sketch").dropDuplicates(["node"]))
+    sized = kept.join(classes.where("rep is not null").select("h1", "node"), "h1").select("key", "node").distinct()
     many = stage(sized.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
     sized = stage(sized.join(many, "key"))
     unstage(kept, many)
     # a group's hub is its most central member: the one whose words most others share
-    central = sized.groupBy("doc_id").agg(F.sum("g").alias("pop"))
-    sized = stage(sized.join(central, "doc_id").select("key", "doc_id", "pop"))
-    hub = sized.groupBy("key").agg(F.max(F.struct("pop", F.negative("doc_id").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("hub"))
+    central = sized.groupBy("node").agg(F.sum("g").alias("pop"))
+    sized = stage(sized.join(central, "node").select("key", "node", "pop"))
+    hub = sized.groupBy("key").agg(F.max(F.struct("pop", F.negative("node").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("hub"))
     posts = stage(sized.join(hub, "key"))
     unstage(sized)
 
-    first = posts.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    links = _verified(_plausible(first, nodes), docs, k)
+    first = posts.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = _verified(_plausible(first, nodes), nodes, docs, k)
     links, comp = _finish(links, posts, nodes, docs, k)
-    unstage(posts, nodes, links)
-    named = rows.join(classes, ["n", "h1", "h2"], "left")
-    out = named.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # the texts of one id are one document
+    named = stage(rows.select("doc_id", *same).join(classes, same, "left"))
+    several = named.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
+    if not (several := stage(several)).isEmpty():
+        comp = components(links.unionByName(named.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()))
+    first = classes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("first"))
+    label = comp.join(first, "component").select("node", "first")
+    unstage(posts, nodes, links, several)
+    out = named.join(label, "node", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _finish(links, posts, nodes, docs, k):
@@ -303,11 +317,11 @@ def _finish(links, posts, nodes, docs, k):
     comp = components(links)
 
     def labelled(members: DataFrame) -> DataFrame:
-        return members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        return members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    told = stage(labelled(posts.select("key", "doc_id", (F.col("hub") == F.col("doc_id")).alias("done"))))
+    told = stage(labelled(posts.select("key", "node", (F.col("hub") == F.col("node")).alias("done"))))
     # words with the same members (those of a shared passage, mostly) are one group: it is told by a 128-bit hash of its members
-    same = [F.bit_xor(F.xxhash64("doc_id", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    same = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
     split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g"), *same).where("lo <> hi and g > 2")
     split = split.groupBy("g", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     every, told = told, stage(told.join(split, "key", "left_semi"))
@@ -315,31 +329,31 @@ def _finish(links, posts, nodes, docs, k):
     # hubs still to come: all but the members of the group's largest component and its first hub
     size = told.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = size.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("main"))
-    later = told.join(main, "key").where("component <> main and not done").select("key", F.col("doc_id").alias("hub"))
+    later = told.join(main, "key").where("component <> main and not done").select("key", F.col("node").alias("hub"))
     # their turns are drawn by hash from as many as the group has, so that no group has to be sorted in one task
     draw = F.pmod(F.xxhash64("key", "hub"), F.col("many")).alias("rank")
     hubs = stage(later.join(later.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "hub", draw))
     # a pair that shares many words comes out of the join under its first one only; documents with long lists go without, and distinct() has their pairs
     words = F.when(F.count("*") <= LISTED, F.collect_list("key"))  # at most as many as the document's own words
-    listed = told.groupBy("doc_id").agg(words.alias("words"))
-    members = stage(told.select("key", "doc_id").join(nodes.withColumn("sketch", folded("sketch")), "doc_id").join(listed, "doc_id"))
+    listed = told.groupBy("node").agg(words.alias("words"))
+    members = stage(told.select("key", "node").join(nodes.withColumn("sketch", folded("sketch")), "node").join(listed, "node"))
     most = hubs.agg(F.max("rank")).first()[0]
     at, step, tested = 0, HUBS, None
-    one = ["key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"), F.col("words").alias("wb")]
+    one = ["key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"), F.col("words").alias("wb")]
     fits = (F.col("ca") != F.col("cb")) & similar()
     once = F.expr("coalesce(array_min(array_intersect(wa, wb)) = key, true)")
     while most is not None and at <= most:
         now = labelled(members)
-        h = hubs.where(F.col("rank").between(at, at + step - 1)).select("key", F.col("hub").alias("doc_id"))
-        h = h.join(h.groupBy("doc_id").agg(words.alias("wa")), "doc_id").join(now, ["key", "doc_id"])
-        h = h.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"), "wa")
+        h = hubs.where(F.col("rank").between(at, at + step - 1)).select("key", F.col("hub").alias("node"))
+        h = h.join(h.groupBy("node").agg(words.alias("wa")), "node").join(now, ["key", "node"])
+        h = h.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"), "wa")
         pairs = h.join(now.select(*one).withColumnRenamed("key", "kb"), (F.col("key") == F.col("kb")) & fits & once)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(_plausible(pairs, nodes))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        new = _verified(pairs, docs, k) if pairs.limit(1).count() else None
+        new = _verified(pairs, nodes, docs, k) if pairs.limit(1).count() else None
         if new is not None and new.limit(1).count():
             links = stage(links.unionByName(new))
             comp = components(links)

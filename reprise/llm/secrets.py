@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_row
+from .common import stage, whole_row
 
 KEY = "A-Za-z0-9+/_\\-"
 #: Words that announce a secret, up to the mark between the two.
@@ -189,6 +189,7 @@ def redacted(docs: DataFrame, model=None, mark: str = "[SECRET]") -> DataFrame:
     text = F.col("text").cast("string")
     told = docs.select(whole_row(docs), text.alias("text"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     flags = judged(candidates(told, [F.col("id"), F.col("h")]), model).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("_at").alias("flags"))  # of one text
+    flags = stage(flags)  # few rows as a rule: then its size says so before the join is planned, and no text is shuffled
     hit = told.join(flags, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
     # split only where something goes, and once: the lambda below must not do it again for every part
     cut = lambda x: F.when(F.col("flags").isNotNull(), x)
