@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reprise.llm import mixing, packing, parity_join, secrets, toxicity
 from reprise.llm.common import named, stage, table, unstage, whole_row
@@ -25,10 +26,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of rows with the same id and text one stays, the smallest by a hash of all columns; rows with the same id and
     another text stay as well, as do rows without an id and texts without words, which are duplicates of nothing.
     """
-    kept = parity_join.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    held = docs.join(kept, "doc_id", "left_semi").select(whole_row(docs), F.xxhash64(F.to_json(whole_row(docs))).alias("h"))
-    one = held.groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("t")).agg(F.min_by("row", "h").alias("row")).select("row.*")
-    return docs.where("doc_id is null").unionByName(one)
+    kept = parity_join.jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("id")).distinct()
+    field = lambda f: F.col("row").getField(f.name)
+    row = [F.to_json(field(f)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else field(f) for f in docs.schema]
+    told = docs.select(whole_row(docs)).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("t"), F.xxhash64(*row).alias("h"))
+    # the choice is made on hashes; texts are shuffled once, to meet it
+    chosen = stage(told.select("id", "t", "h").join(kept, "id", "left_semi").groupBy("id", "t").agg(F.min("h").alias("h"), F.count("*").alias("rows")))
+    out = told.join(chosen.where("rows = 1"), ["id", "t", "h"], "left_semi").select("row")
+    if not (repeated := chosen.where("rows > 1")).isEmpty():
+        out = out.unionByName(told.join(repeated, ["id", "t", "h"], "left_semi").groupBy("id", "t").agg(F.min_by("row", "h").alias("row")).select("row"))
+    return docs.where("doc_id is null").unionByName(out.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
