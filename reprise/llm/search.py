@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.queues import numbered
 from .common import stage
 
 RESULT = "query_id long, vec_id long, score {score}, place binary"
@@ -79,15 +80,23 @@ def sortable(n: int) -> bytes:
 
 
 def blocked(rows: DataFrame, every: int, per_block: int, index: Index, k: int, exact: bool) -> DataFrame:
-    """The k best answers of every query among all rows, ties to the smaller vec_id."""
+    """The k best answers of every query among all rows, ties to the smaller vec_id.
+
+    Rows are known by their place in the order of vec_id, so that of rows with one id each is a query, and a candidate
+    of the others.
+    """
+    rows = stage(numbered(rows.withColumn("row", F.monotonically_increasing_id()), "vec_id", "row", name="place").drop("row"))
     blocks = max(1, math.ceil(rows.count() / per_block))
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    vector = [F.col("place").alias("vec_id"), "v"]
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), *vector)
+    dealt = rows.select(F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), *vector)
     both = dealt.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
     score = ("long", pa.int64()) if exact else ("double", pa.float64())
     found = both.mapInArrow(_answered(index, score[1]), RESULT.format(score=score[0]))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place" if exact else "score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias("q"), "rank", F.col("vec_id").alias("c"), "score")
+    name = lambda at, to: rows.select(F.col("place").alias(at), F.col("vec_id").alias(to))
+    return top.join(name("q", "query_id"), "q").join(name("c", "vec_id"), "c").select("query_id", "rank", "vec_id", "score")
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -311,7 +320,8 @@ def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     Components become floor(scale * x). Where sums could pass 2**53 they are added as whole numbers of any size, so the
     order is exact for every finite vector; a score beyond the range of a long is shown as that range's end. Vectors
     that are null or hold null or non-finite components take no part, the zero vector does; vectors of other lengths
-    than the query's are no candidates. Ties go to the smaller vec_id; an empty table gives an empty result.
+    than the query's are no candidates. Ties go to the smaller vec_id; repeated ids
+    are rows of their own. An empty table gives an empty result.
     """
     rows = stage(usable(rows, zero_too=True))
     return blocked(rows, every, per_block, threshold_index(k, step, scale), k, exact=True)
