@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives. DataFrame functions and Spark ML only.
 
 Candidates are tokens of three parts, runs of 16 or more key characters, anything of 6 characters and more after a name
-like `password` and a mark, and words of 10 and more characters of every class. The forest sees their length, character
+like `password` and a mark, and words of 10 and more characters that have every class among their first 64 (so that the
+tests of one place are bounded, whatever a text's longest word). The forest sees their length, character
 classes and transitions, how much of them dictionary pieces cover, whether they look like a path, and the words before
 and after; it is trained on labelled findings(candidate, before, after, label). Without any of one's own,
 labelled_findings() has generated ones.
@@ -9,6 +10,8 @@ labelled_findings() has generated ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, whole_row
+from .common import stage, unstage, whole_row
 
 KEY = "A-Za-z0-9+/_\\-"
 #: Words that announce a secret, up to the mark between the two.
@@ -70,21 +73,26 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> DataFrame:
-    """Generated findings(candidate, before, after, label), half secrets, the same in every session."""
+    """Generated findings(candidate, before, after, label), half secrets, the same rows in the same order in every session.
+
+    They are made once, a plan for each kind of row, and written as one small file: the forest reads that file in each of
+    its passes. `many` bounds them.
+    """
     i = F.col("id").cast("string")
     hexes = F.sha2(F.concat(i, F.lit("h")), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(i, F.lit("b")), 512))), "[=+]", "")
     caps = F.upper(F.translate(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(i, F.lit("c")), 512))), "[^A-Za-z2-7]", ""), "", ""))
     bit = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
     pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), (bit(len(values), salt) + 1).cast("int"))
-    syllables = DICTIONARY.split("|")
-    word = lambda salt: F.concat_ws("", *[pick(syllables, f"{salt}{j}") for j in range(9)])
+    pieces, many_pieces = F.split(F.lit(DICTIONARY), "[|]"), DICTIONARY.count("|") + 1  # folded to one literal, where an array of literals would be one each
+    syllable = lambda salt: F.element_at(pieces, (bit(many_pieces, salt) + 1).cast("int"))
+    word = lambda salt: F.concat_ws("", *[syllable(f"{salt}{j}") for j in range(9)])
     text = pick(["the last of ", "and then ", "in der ", "pour le ", "con la ", "it was. ", "see ", "\n"], "t")
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_token"]
     named = F.concat(text, pick(names, "n"), pick(["=", " = \"", ": \"", "='", ": ", " = "], "e"))
     closing = pick(['"', "'", "", " and", "\n"], "q")
     mixed = F.translate(F.base64(F.unhex(F.sha2(F.concat(i, F.lit("m")), 512))), "+/=aeiou", "!#@$%&*?^")
-    short = F.concat(pick(syllables, "s1"), pick(syllables, "s2"), F.conv(F.substring(hexes, 1, 3), 16, 10))
+    short = F.concat(syllable("s1"), syllable("s2"), F.conv(F.substring(hexes, 1, 3), 16, 10))
     plain = ["required", "string", "something", "optional", "unknown", "expired", "changeme", "nothing", "password", "minutes", "authentication", "username/password", "everything.", "2020-01-01", "santa's", "{password}", "$PASSWORD", "undefined"]
     cut = lambda x, lo, hi, salt: F.substring(x, F.lit(1), (bit(hi - lo + 1, salt) + lo).cast("int"))
     rows = [
@@ -109,21 +117,29 @@ def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> Dat
         (F.concat(F.lit("Aa7!"), cut(mixed, 8, 20, "l7")), text, F.lit(" "), 1),
         (F.concat(F.lit("eyJ"), F.concat_ws(".", F.substring(b64, 1, 20), F.substring(b64, 21, 30), F.substring(b64, 51, 30))), text, closing, 1),
         (pick(plain, "pl"), named, closing, 0),
-        (F.concat(pick(syllables, "s3"), pick(syllables, "s4"), pick(syllables, "s5"), pick(["", "s", "ed", "."], "s6")), named, closing, 0),
+        (F.concat(syllable("s3"), syllable("s4"), syllable("s5"), pick(["", "s", "ed", "."], "s6")), named, closing, 0),
         (F.concat(pick(["Hello,", "C++11&", "Part2:", "Q4/FY21!", "https://a.b/C?d=1&"], "f"), word("d"), pick(["", "!", "?", "#2"], "f2")), text, F.lit(" "), 0),
     ]
-    kind = bit(len(rows), "kind")
-    col = lambda at: F.when(kind == 0, rows[0][at]) if at < 3 else F.when(kind == 0, F.lit(rows[0][3]))
-    out = [col(at) for at in range(4)]
-    for k, row in enumerate(rows[1:], 1):
-        out = [o.when(kind == k, row[at] if at < 3 else F.lit(row[3])) for at, o in enumerate(out)]
-    return spark.range(0, many, 1, 4).select(out[0].alias("candidate"), F.right(out[1], F.lit(NEAR)).alias("before"), out[2].alias("after"), out[3].cast("double").alias("label")).where(F.length("candidate") >= 6)
+    kinds = spark.range(0, many, 1, 1).withColumn("kind", bit(len(rows), "kind").cast("int"))
+    made = [kinds.where(F.col("kind") == k).select(c.alias("candidate"), F.right(before, F.lit(NEAR)).alias("before"), after.alias("after"), F.lit(float(label)).alias("label")) for k, (c, before, after, label) in enumerate(rows)]
+    return stage(reduce(DataFrame.unionAll, made).where(F.length("candidate") >= 6).coalesce(1))
 
 
 def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5):
-    """A forest on findings(candidate, before, after, label)."""
+    """A forest on findings(candidate, before, after, label); their features are computed once and dropped with the fit."""
     forest = RandomForestClassifier(labelCol="label", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird")
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), forest]).fit(features(findings))
+    told = stage(features(findings).select(*FEATURES, "label"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), forest]).fit(told)
+    unstage(told)
+    return model
+
+
+def trained(spark: SparkSession):
+    """The forest on generated findings."""
+    findings = labelled_findings(spark)
+    model = fit(findings)
+    unstage(findings)
+    return model
 
 
 def running(parts: Column) -> Column:
@@ -173,7 +189,7 @@ def scan(docs: DataFrame, model=None) -> DataFrame:
     Null and empty texts have none; repeated rows repeat their findings; other columns are ignored. The secret itself
     isn't returned. start and length count characters.
     """
-    model = model or fit(labelled_findings(docs.sparkSession))
+    model = model or trained(docs.sparkSession)
     c = F.col("candidate")
     kind = F.when(c.rlike("^A[KS]IA[A-Z0-9]{16}$"), "access_key").when(F.col("before").rlike("(?i)passw|pwd"), "password").when(F.col("before").rlike("(?i)token|bearer"), "token").otherwise("key")
     out = judged(candidates(docs, [F.col("doc_id")]), model)
@@ -185,7 +201,7 @@ def redacted(docs: DataFrame, model=None, mark: str = "[SECRET]") -> DataFrame:
 
     Rows are told apart by (doc_id, hash of the text): equal rows are redacted alike.
     """
-    model = model or fit(labelled_findings(docs.sparkSession))
+    model = model or trained(docs.sparkSession)
     text = F.col("text").cast("string")
     told = docs.select(whole_row(docs), text.alias("text"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     flags = judged(candidates(told, [F.col("id"), F.col("h")]), model).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("_at").alias("flags"))  # of one text
