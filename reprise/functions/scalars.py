@@ -18,6 +18,7 @@ RECUR_MIN_EPISODES = 8
 SPEECH_MIN_WORDS = 5
 CUT_ANOMALY_FRACTION = 0.35
 SNAP_WINDOW = 2.5
+TIME_BUCKET, POINT_BUCKET = 60.0, 256  # our own: joins on time and place file both sides under such stretches
 ANCHOR_SIZE, ANCHOR_SKIP = 4096, 200_000
 DEFAULT_BYTES, ESCALATED_BYTES = 6 << 20, 20 << 20
 DAI_EDGE_MARGIN, MAX_DAI_BREAK, MIN_DAI_BREAK = 2.0, 240.0, 8.0

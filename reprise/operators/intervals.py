@@ -49,15 +49,25 @@ def snap_inward(spans: DataFrame, silences: DataFrame, key: str, window: float =
 
     `row` names the column that tells the spans apart.
     """
-    edges = silences.select(key, F.explode(F.array("start", "end")).alias("edge"))
+    at = lambda x: F.floor(x / S.TIME_BUCKET)
+    edges = silences.select(key, F.explode(F.array("start", "end")).alias("edge")).withColumn("_b", at(F.col("edge")))
     first = F.col("edge").between(F.col("start"), F.col("start") + window)
     last = F.col("edge").between(F.col("end") - window, F.col("end"))
-    moved = spans.join(edges, key).where(first | last).groupBy(row).agg(F.min(F.when(first, F.col("edge"))).alias("_s"), F.max(F.when(last, F.col("edge"))).alias("_e"))
+    # a span meets only the edges of the stretches that its two windows touch
+    near = F.array_distinct(F.concat(F.sequence(at(F.col("start")), at(F.col("start") + window)), F.sequence(at(F.col("end") - window), at(F.col("end")))))
+    filed = spans.select(row, key, "start", "end", F.explode(near).alias("_b"))
+    moved = filed.join(edges, [key, "_b"]).where(first | last).groupBy(row).agg(F.min(F.when(first, F.col("edge"))).alias("_s"), F.max(F.when(last, F.col("edge"))).alias("_e"))
     out = spans.join(moved, row, "left").withColumns({"_s": F.coalesce("_s", "start"), "_e": F.coalesce("_e", "end")})
     fine = F.col("_e") > F.col("_s")
     return out.withColumns({"start": F.when(fine, F.col("_s")).otherwise(F.col("start")), "end": F.when(fine, F.col("_e")).otherwise(F.col("end"))}).drop("_s", "_e")
 
 
+def _filed(df: DataFrame, start: str, end: str, bucket: float) -> DataFrame:
+    """df with a row for each stretch of time (_b) that it touches; rows without a start or an end have none. Times are finite."""
+    lo, hi = (F.floor(F.col(x) / bucket) for x in (start, end))
+    return df.select("*", F.explode(F.sequence(F.least(lo, hi), F.greatest(lo, hi))).alias("_b")).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+
+
 def overlap_join(segments: DataFrame, spans: DataFrame, key: str, how: str = "inner", bucket: float | None = None) -> DataFrame:
     """Segments with the spans they strictly overlap (s_start, s_end, ...), on equal keys.
 
@@ -68,20 +78,30 @@ def overlap_join(segments: DataFrame, spans: DataFrame, key: str, how: str = "in
     inside = (F.col("end") > F.col("s_start")) & (F.col("start") < F.col("s_end"))
     if bucket is None:
         return segments.join(s, (segments[key] == s[key]) & inside, how).drop(s[key])
-    files = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))).alias("_b")
-    a, b = segments.select("*", files("start", "end")), s.select("*", files("s_start", "s_end"))
     first = F.col("_b") == F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("s_start") / bucket))
-    return a.join(b, [key, "_b"]).where(inside & first).drop("_b")
+    return _filed(segments, "start", "end", bucket).join(_filed(s, "s_start", "s_end", bucket), [key, "_b"]).where(inside & first).drop("_b")
+
 
+def covered_segments(segments: DataFrame, spans: DataFrame, key: str = "episode_id", bucket: float | None = S.TIME_BUCKET) -> DataFrame:
+    """Segments inside any span, as often as they come; one without a start or an end is inside nothing.
 
-def covered_segments(segments: DataFrame, spans: DataFrame, key: str = "episode_id") -> DataFrame:
-    """Segments inside any span, once each."""
+    With a bucket, each place (start, end) meets the spans of the stretches it touches, and segments then meet places on
+    equal values: no segment is held against all spans of a long timeline. Places of one stretch are told once.
+    """
     s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return segments.join(s, (F.col(key) == F.col("_k")) & (F.col("end") > F.col("_s")) & (F.col("start") < F.col("_e")), "left_semi")
+    over = (F.col("end") > F.col("_s")) & (F.col("start") < F.col("_e"))
+    if bucket is None:
+        return segments.join(s, (F.col(key) == F.col("_k")) & over, "left_semi")
+    places = _filed(segments.select(key, "start", "end").distinct(), "start", "end", bucket)
+    filed = _filed(s.distinct(), "_s", "_e", bucket).withColumnRenamed("_b", "_c")
+    met = places.join(filed, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & over, "left_semi").select(key, "start", "end").distinct()
+    return segments.join(met, [key, "start", "end"], "left_semi").select(*segments.columns)
 
 
-def point_in_run(points: DataFrame, runs: DataFrame, key: str, pos: str) -> DataFrame:
-    return points.join(runs, key).where(F.col(pos).between(F.col("first"), F.col("last")))
+def point_in_run(points: DataFrame, runs: DataFrame, key: str, pos: str, bucket: int = S.POINT_BUCKET) -> DataFrame:
+    """Points with the runs (first to last, both included) they lie in; runs are filed under the stretches they touch."""
+    at = points.select("*", F.floor(F.col(pos) / bucket).alias("_b"))
+    return at.join(_filed(runs.where("first <= last"), "first", "last", bucket), [key, "_b"]).where(F.col(pos).between(F.col("first"), F.col("last"))).drop("_b")
 
 
 def speech_filter(spans: DataFrame, segments: DataFrame, key: str = "episode_id", least: int = S.SPEECH_MIN_WORDS) -> DataFrame:
@@ -89,7 +109,8 @@ def speech_filter(spans: DataFrame, segments: DataFrame, key: str = "episode_id"
     spoken = segments.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"), F.size(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")).alias("_w"))
     known = segments.select(key).distinct().withColumn("_known", F.lit(True))
     place = [key, "start", "end"]  # spans of one place have the same words
-    words = spans.select(*place).distinct().join(spoken, key).where((F.col("_e") > F.col("start")) & (F.col("_s") < F.col("end"))).groupBy(*place).agg(F.sum("_w").alias("_words"))
+    said = overlap_join(spans.select(*place).distinct(), spoken.withColumnsRenamed({"_s": "start", "_e": "end"}), key, bucket=S.TIME_BUCKET)
+    words = said.groupBy(*place).agg(F.sum("_w").alias("_words"))
     told = spans.join(words, place, "left").join(known, key, "left")
     return told.where(F.col("_known").isNull() | (F.coalesce("_words", F.lit(0)) >= least)).select(*spans.columns)
 
