@@ -3,16 +3,18 @@
 Candidates are tokens of three parts, runs of 16 or more key characters, anything of 6 characters and more after a name
 like `password` and a mark, and words of 10 and more characters that have every class among their first 64 (so that the
 tests of one place are bounded, whatever a text's longest word). The forest sees their length, character
-classes and transitions, how much of them dictionary pieces cover, whether they look like a path, and the words before
-and after; it is trained on labelled findings(candidate, before, after, label). Without any of one's own,
-labelled_findings() has generated ones.
+classes and transitions, how much of them a dictionary covers, whether they look like a path, and the words before
+and after; it is trained on labelled findings(candidate, before, after, label). The dictionary is learned: the most
+frequent words of all texts to be scanned, by longest match. Without findings of one's own, labelled_findings() has
+generated ones, whose ordinary words come from the same dictionary.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,13 +37,36 @@ CANDIDATE = (
 NEAR = 40
 TRAINING_FINDINGS = 8_000
 BLOCK = 256
-#: Pieces of ordinary words, in several European languages.
+#: So many words are learned: a bound on the pattern, a few tens of KB, and no limit on the texts that are counted.
+DICTIONARY_WORDS = 2_048
+#: Where there are no texts to learn from, and for the short made-up passwords: pieces of words in several European languages.
 DICTIONARY = "tion|ment|ing|the|and|ent|ation|able|ness|ous|ive|ier|eur|eau|ais|que|ado|ido|cion|ando|ero|ung|heit|keit|lich|isch|sch|ein|ver|ber|ter|der|con|pre|pro|com|res|est|ant|ard|ist|ers|ess|all|our|ard|ight|over|ever|her|hat|tha|ere|ion|ted|ble|ly|er|an|on|re|he|in|ed|nd|ha|at|en|es|or|ti|st|th|ou|it|is|le|ei|ie|ge|ch|ue|la|de|el"
 FEATURES = ["length", "digits", "marks", "upper", "lower", "hexes", "distinct", "runs", "mixes", "vowels", "covered", "slashes", "dashes", "uuid", "keyword", "assigned", "quoted", "digest", "dummy", "prefix", "pathlike"]
 
 
-def features(found: DataFrame) -> DataFrame:
-    """The forest's inputs from candidate, before and after; nulls count as empty."""
+def learned(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
+    """The `size` most frequent words of 3 to 16 letters (a to z, any case) in all of docs' texts, ties to the first in order.
+
+    Counts are over whole texts of all rows, combined in each task before they are shuffled; only the top comes to the
+    driver. Null and empty texts have no words; repeated rows count again.
+    """
+    words = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("(?<![a-z])[a-z]{3,16}+(?![a-z])"), F.lit(0))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("many"))
+    return [r["word"] for r in counts.orderBy(F.desc("many"), "word").limit(size).select("word").collect()]
+
+
+def longest_match(words: list[str]) -> str:
+    """A pattern for the longest of the words (of 3 letters and more) at a place; they are filed by their first two letters."""
+    if not words:
+        return "(?!)"
+    by: dict[str, dict[str, list[str]]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], {}).setdefault(w[1], []).append(w[2:])
+    return "(?i:" + "|".join(a + "(?:" + "|".join(f"{b}(?:{'|'.join(rest)})" for b, rest in seconds.items()) + ")" for a, seconds in by.items()) + ")"
+
+
+def features(found: DataFrame, words: str = f"(?i){DICTIONARY}") -> DataFrame:
+    """The forest's inputs from candidate, before and after, with the dictionary as a pattern; nulls count as empty."""
     c, b, a = (F.coalesce(F.col(x), F.lit("")) for x in ("candidate", "before", "after"))
     n = F.greatest(F.length(c), F.lit(1))
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
@@ -57,7 +82,7 @@ def features(found: DataFrame) -> DataFrame:
         "runs": share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"),
         "mixes": share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
         "vowels": share("[aeiouAEIOU]"),
-        "covered": 1 - F.length(F.regexp_replace(c, f"(?i){DICTIONARY}", "")) / n,
+        "covered": 1 - F.length(F.regexp_replace(c, words, "")) / n,
         "slashes": share("/"),
         "dashes": share("[-_]"),
         "uuid": has(c, "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
@@ -72,9 +97,11 @@ def features(found: DataFrame) -> DataFrame:
     return found.withColumns({k: v.cast("double") for k, v in made.items()})
 
 
-def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> DataFrame:
+def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS, ordinary: list[str] | None = None) -> DataFrame:
     """Generated findings(candidate, before, after, label), half secrets, the same rows in the same order in every session.
 
+    Ordinary words are strung together from `ordinary`, three at a time, or else from pieces, nine at a time.
+
     They are made once, a plan for each kind of row, and written as one small file: the forest reads that file in each of
     its passes. `many` bounds them.
     """
@@ -86,7 +113,10 @@ def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> Dat
     pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), (bit(len(values), salt) + 1).cast("int"))
     pieces, many_pieces = F.split(F.lit(DICTIONARY), "[|]"), DICTIONARY.count("|") + 1  # folded to one literal, where an array of literals would be one each
     syllable = lambda salt: F.element_at(pieces, (bit(many_pieces, salt) + 1).cast("int"))
-    word = lambda salt: F.concat_ws("", *[syllable(f"{salt}{j}") for j in range(9)])
+    known = F.split(F.lit("|".join(ordinary)), "[|]") if ordinary else pieces
+    one = lambda salt: F.element_at(known, (bit(len(ordinary) if ordinary else many_pieces, salt) + 1).cast("int"))
+    word = lambda salt: F.concat_ws("", *[one(f"{salt}{j}") for j in range(3 if ordinary else 9)])
+    name = one("s3") if ordinary else F.concat(syllable("s3"), syllable("s4"), syllable("s5"))
     text = pick(["the last of ", "and then ", "in der ", "pour le ", "con la ", "it was. ", "see ", "\n"], "t")
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_token"]
     named = F.concat(text, pick(names, "n"), pick(["=", " = \"", ": \"", "='", ": ", " = "], "e"))
@@ -117,7 +147,7 @@ def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> Dat
         (F.concat(F.lit("Aa7!"), cut(mixed, 8, 20, "l7")), text, F.lit(" "), 1),
         (F.concat(F.lit("eyJ"), F.concat_ws(".", F.substring(b64, 1, 20), F.substring(b64, 21, 30), F.substring(b64, 51, 30))), text, closing, 1),
         (pick(plain, "pl"), named, closing, 0),
-        (F.concat(syllable("s3"), syllable("s4"), syllable("s5"), pick(["", "s", "ed", "."], "s6")), named, closing, 0),
+        (F.concat(name, pick(["", "s", "ed", "."], "s6")), named, closing, 0),
         (F.concat(pick(["Hello,", "C++11&", "Part2:", "Q4/FY21!", "https://a.b/C?d=1&"], "f"), word("d"), pick(["", "!", "?", "#2"], "f2")), text, F.lit(" "), 0),
     ]
     kinds = spark.range(0, many, 1, 1).withColumn("kind", bit(len(rows), "kind").cast("int"))
@@ -125,19 +155,31 @@ def labelled_findings(spark: SparkSession, many: int = TRAINING_FINDINGS) -> Dat
     return stage(reduce(DataFrame.unionAll, made).where(F.length("candidate") >= 6).coalesce(1))
 
 
-def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5):
+@dataclass(frozen=True)
+class Judge:
+    """A fitted forest and the dictionary, as a pattern, that its inputs are made with."""
+
+    forest: PipelineModel
+    words: str
+
+
+def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5, words: str = f"(?i){DICTIONARY}") -> Judge:
     """A forest on findings(candidate, before, after, label); their features are computed once and dropped with the fit."""
     forest = RandomForestClassifier(labelCol="label", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird")
-    told = stage(features(findings).select(*FEATURES, "label"))
+    told = stage(features(findings, words).select(*FEATURES, "label"))
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), forest]).fit(told)
     unstage(told)
-    return model
+    return Judge(model, words)
 
 
-def trained(spark: SparkSession):
-    """The forest on generated findings."""
-    findings = labelled_findings(spark)
-    model = fit(findings)
+def trained(docs: DataFrame) -> Judge:
+    """The forest on generated findings, with the words of docs as its dictionary; without any words, with the pieces."""
+    if not (ordinary := learned(docs)):
+        findings = labelled_findings(docs.sparkSession)
+        model = fit(findings)
+    else:
+        findings = labelled_findings(docs.sparkSession, ordinary=ordinary)
+        model = fit(findings, words=longest_match(ordinary))
     unstage(findings)
     return model
 
@@ -177,31 +219,31 @@ def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
     return told.select(*names, F.posexplode_outer("_all").alias("_at", "_one")).where("_at is not null").select(*names, "_at", "_one.*")
 
 
-def judged(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+def judged(found: DataFrame, model: Judge, threshold: float = 0.5) -> DataFrame:
     """The candidates the forest takes for secrets, with their probability."""
-    scored = model.transform(features(found))
+    scored = model.forest.transform(features(found, model.words))
     return scored.withColumn("probability", vector_to_array("probability")[1]).where(F.col("probability") >= threshold).drop("_x", "rawPrediction", "prediction", *FEATURES)
 
 
-def scan(docs: DataFrame, model=None) -> DataFrame:
+def scan(docs: DataFrame, model: Judge | None = None) -> DataFrame:
     """(doc_id, finding, start, length, kind, probability, secret_sha256) of each secret in docs(doc_id, text).
 
     Null and empty texts have none; repeated rows repeat their findings; other columns are ignored. The secret itself
     isn't returned. start and length count characters.
     """
-    model = model or trained(docs.sparkSession)
+    model = model or trained(docs)
     c = F.col("candidate")
     kind = F.when(c.rlike("^A[KS]IA[A-Z0-9]{16}$"), "access_key").when(F.col("before").rlike("(?i)passw|pwd"), "password").when(F.col("before").rlike("(?i)token|bearer"), "token").otherwise("key")
     out = judged(candidates(docs, [F.col("doc_id")]), model)
     return out.select("doc_id", F.col("_at").alias("finding"), "start", F.length(c).cast("long").alias("length"), kind.alias("kind"), "probability", F.sha2(c, 256).alias("secret_sha256"))
 
 
-def redacted(docs: DataFrame, model=None, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, model: Judge | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with the secrets in `text` replaced, and n_chars made right where there is one; every row comes back once.
 
     Rows are told apart by (doc_id, hash of the text): equal rows are redacted alike.
     """
-    model = model or trained(docs.sparkSession)
+    model = model or trained(docs)
     text = F.col("text").cast("string")
     told = docs.select(whole_row(docs), text.alias("text"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"))
     flags = judged(candidates(told, [F.col("id"), F.col("h")]), model).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("_at").alias("flags"))  # of one text
