@@ -11,10 +11,13 @@ changes the work, never the result. The cells of a band are as wide as every doc
 least); where even narrow ones don't do, as for sets of a few shingles, each shingle is a word.
 
 Groups: exact copies of a set are one class. In each group of documents that share a sketch word every document is
-verified against the group's most central member; groups whose members are then in several components go on, further
-members in turn, against the members of other components only, with sizes and bit sketches tested inside the join. So
-a group of g near copies costs about g checks, and documents that merely share a common passage rarely meet at all, as
-the words of such a passage are the last in their order.
+verified against the group's most central member. The members of groups that are then in several components are
+grouped anew, by the shingles of their whole sets: rarest first, and a shingle within one component counts as shared with
+nobody. Of two sets that link, the first shingle they share has few enough before it in either, how few depends on both
+sizes; so a set is filed under a shingle only for those classes of partner sizes that its place there allows. In these
+groups further members go in turn, against the members of other components only, with sizes and bit sketches tested
+inside the join. So a group of g near copies costs about g checks, and documents that share a passage but not enough of
+it don't meet: what sets them apart stands before the passage in their order.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ COUNTED = 1 << 20
 HUBS = 64
 LISTED = 128
 FOLD = 4
+#: Classes of sizes for each doubling, for the partners that a shingle's place allows.
+SIZES = 16
 _MUL = mix(np.arange(11, 75, dtype=U))
 
 
@@ -245,17 +250,17 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").where(similar()).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs of classes that link, by their whole shingle sets."""
-    pairs = stage(pairs)
-    need = nodes.select("node", "rep", "h1").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+def _whole(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Classes (node, rep, h1 and more), each with its whole shingle set."""
     texts = docs.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = stage(texts.mapInArrow(_sets(k), "rep long, h1 long, grams array<long>").join(need, ["rep", "h1"]).select("node", "grams").dropDuplicates(["node"]))
+    return texts.mapInArrow(_sets(k), "rep long, h1 long, grams array<long>").join(need, ["rep", "h1"]).drop("rep", "h1").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of classes that link, by their whole shingle sets(node, grams)."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     shared = F.size(F.array_intersect("ga", "gb"))
-    links = stage(both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 75 * (na + nb - i)").select("a", "b"))
-    unstage(pairs, sets)
-    return links
+    return stage(both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 75 * (na + nb - i)").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -298,20 +303,45 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     unstage(sized)
 
     first = posts.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = _verified(_plausible(first, nodes), nodes, docs, k)
+    first = stage(_plausible(first, nodes))
+    need = nodes.select("node", "rep", "h1").join(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    sets = stage(_whole(need, docs, k))
+    links = _verified(first, sets)
+    unstage(first, sets)
     links, comp = _finish(links, posts, nodes, docs, k)
     # the texts of one id are one document
     named = stage(rows.select("doc_id", *same).join(classes, same, "left"))
     several = named.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
     if not (several := stage(several)).isEmpty():
         comp = components(links.unionByName(named.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()))
-    first = classes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("first"))
-    label = comp.join(first, "component").select("node", "first")
+    least = classes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("first"))
+    label = comp.join(least, "component").select("node", "first")
     unstage(posts, nodes, links, several)
     out = named.join(label, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _regrouped(sets: DataFrame) -> DataFrame:
+    """(key, meet, side, node, component): classes sets(node, n, component, grams) that link across components meet, the key of one being the other's meet.
+
+    Shingles are ordered by how many of these classes have them, those within one component first. Sets a and b that link
+    share 3(a+b)/7 or more; before the first one they share, a set of size n has `at` others, so 7(n-at) >= 3(a+b): the
+    other's size is at most (4n-7at)/3, and at least 3n/4.
+    """
+    grams = sets.select("node", "n", "component", F.explode("grams").alias("gram"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    held = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df"), *same).where("lo <> hi")
+    # an order of shingles in which those with the same members stand together; the first stands for them all
+    word = F.shiftleft(F.least("df", F.lit((1 << 23) - 1)), 40) + F.col("x1").bitwiseAND(F.lit((1 << 40) - 1))
+    last = Window.partitionBy("node").orderBy(F.desc("word"), F.desc("x2"), F.desc("gram"))
+    placed = grams.join(held.select("gram", word.alias("word"), "x2"), "gram")
+    placed = placed.withColumn("at", F.col("n") - F.row_number().over(last)).withColumns({f"_{c}": F.lead(c).over(last) for c in ("word", "x2")})
+    placed = placed.where("_word is null or _word <> word or _x2 <> x2").select("*", F.expr("(3 * n + 3) div 4").alias("least"), F.expr("(4 * n - 7 * at) div 3").alias("most"))
+    kind = lambda n: F.floor(F.log2(n) * SIZES).cast("int")
+    filed = placed.where("least <= most").withColumn("own", kind("n")).withColumn("other", F.explode(F.sequence(kind("least"), kind("most"))))
+    return stage(filed.select(F.xxhash64("word", "x2", "own", "other").alias("key"), F.xxhash64("word", "x2", "other", "own").alias("meet"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "component"))
+
+
 def _finish(links, posts, nodes, docs, k):
     """Go on with the groups whose members the first checks left in several components."""
     comp = components(links)
@@ -319,43 +349,55 @@ def _finish(links, posts, nodes, docs, k):
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    told = stage(labelled(posts.select("key", "node", (F.col("hub") == F.col("node")).alias("done"))))
-    # words with the same members (those of a shared passage, mostly) are one group: it is told by a 128-bit hash of its members
-    same = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
-    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g"), *same).where("lo <> hi and g > 2")
-    split = split.groupBy("g", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    every, told = told, stage(told.join(split, "key", "left_semi"))
+    told = stage(labelled(posts.select("key", "node")))
+    # the first checks have tested groups of two
+    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2")
+    left = stage(told.join(split.select("key"), "key", "left_semi").select("node", "component").distinct())
+    unstage(told)
+    if left.isEmpty():
+        return links, comp
+    # read once: what is verified later is among them
+    sets = stage(_whole(left.join(nodes.select("node", "rep", "h1", "n"), "node"), docs, k))
+    every = _regrouped(sets)
+    unstage(left)
+    told = every.withColumn("group", F.least("key", "meet"))
+    # groups with the same members are one: it is told by a 128-bit hash of its members
+    same = [F.bit_xor(F.xxhash64("node", "side", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    split = told.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("side").alias("under"), F.max("side").alias("over"), F.count("*").alias("g"), *same)
+    split = split.where("lo <> hi and under <= 0 and over >= 0").groupBy("g", "x1", "x2").agg(F.min("group").alias("group")).select("group")
+    told = stage(told.join(split, "group", "left_semi"))
     unstage(every)
-    # hubs still to come: all but the members of the group's largest component and its first hub
-    size = told.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = size.groupBy("key").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("key", F.negative("m.x").alias("main"))
-    later = told.join(main, "key").where("component <> main and not done").select("key", F.col("node").alias("hub"))
+    # hubs to come: all but the members of the group's largest component
+    size = told.groupBy("group", "component").agg(F.count("*").alias("size"))
+    main = size.groupBy("group").agg(F.max(F.struct("size", F.negative("component").alias("x"))).alias("m")).select("group", F.negative("m.x").alias("main"))
+    later = told.join(main, "group").where("component <> main").select("group", "key", F.col("node").alias("hub"))
     # their turns are drawn by hash from as many as the group has, so that no group has to be sorted in one task
-    draw = F.pmod(F.xxhash64("key", "hub"), F.col("many")).alias("rank")
-    hubs = stage(later.join(later.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "hub", draw))
+    draw = F.pmod(F.xxhash64("group", "hub"), F.col("many")).alias("rank")
+    hubs = stage(later.join(later.groupBy("group").agg(F.count("*").alias("many")), "group").select("key", "hub", draw))
     # a pair that shares many words comes out of the join under its first one only; documents with long lists go without, and distinct() has their pairs
-    words = F.when(F.count("*") <= LISTED, F.collect_list("key"))  # at most as many as the document's own words
-    listed = told.groupBy("node").agg(words.alias("words"))
-    members = stage(told.select("key", "node").join(nodes.withColumn("sketch", folded("sketch")), "node").join(listed, "node"))
+    words = lambda c: F.when(F.count("*") <= LISTED, F.collect_list(c))  # noqa: E731  at most as many as the document's own shingles, for each class of sizes
+    listed = told.groupBy("node").agg(words("meet").alias("words"))
+    members = stage(told.select("key", "meet", "node").join(nodes.withColumn("sketch", folded("sketch")), "node").join(listed, "node"))
     most = hubs.agg(F.max("rank")).first()[0]
     at, step, tested = 0, HUBS, None
-    one = ["key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"), F.col("words").alias("wb")]
+    one = [F.col("meet").alias("kb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"), F.col("words").alias("wb")]
     fits = (F.col("ca") != F.col("cb")) & similar()
     once = F.expr("coalesce(array_min(array_intersect(wa, wb)) = key, true)")
     while most is not None and at <= most:
         now = labelled(members)
         h = hubs.where(F.col("rank").between(at, at + step - 1)).select("key", F.col("hub").alias("node"))
-        h = h.join(h.groupBy("node").agg(words.alias("wa")), "node").join(now, ["key", "node"])
+        h = h.join(h.groupBy("node").agg(words("key").alias("wa")), "node").join(now, ["key", "node"])
         h = h.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"), "wa")
-        pairs = h.join(now.select(*one).withColumnRenamed("key", "kb"), (F.col("key") == F.col("kb")) & fits & once)
+        pairs = h.join(now.select(*one), (F.col("key") == F.col("kb")) & fits & once)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(_plausible(pairs, nodes))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        new = _verified(pairs, nodes, docs, k) if pairs.limit(1).count() else None
+        new = _verified(pairs, sets.select("node", "grams")) if pairs.limit(1).count() else None
         if new is not None and new.limit(1).count():
             links = stage(links.unionByName(new))
             comp = components(links)
         at, step = at + step, step * 4
+    unstage(sets)
     return links, comp
