@@ -65,14 +65,17 @@ def test_regions_from_pieces(spark, corpus, twice, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 9
 
 
-def test_recurrence_from_pieces(spark, corpus, monkeypatch):
+def test_recurrence_from_pieces_a_slice_at_a_time(spark, corpus, monkeypatch):
     monkeypatch.setattr(diagonals, "COMMON", 3)
+    monkeypatch.setattr(diagonals, "PAIRS_A_SLICE", 1500)
+    slices, whole = [], diagonals._slice
+    monkeypatch.setattr(diagonals, "_slice", lambda *a: (slices.append(1), whole(*a))[1])
     seqs, _ = corpus
     query = [(e, f, v) for e, seq in seqs for f, v in enumerate(seq)]
     got = sequence.discover_recurring(spark.createDataFrame(query, "episode_id long, frame int, value long"), 1.0, 8, match_frames=9, floor=9, bridge=1)
     hit, _ = plain_hits(query, [(e, e, f, v) for e, f, v in query], 9, lambda e, o: e != o)
     want = plain_runs(hit, 1, 9)
-    assert sorted(map(tuple, got.collect())) == want and len(want) > 9
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 9 and len(slices) > 1
 
 
 def test_long_runs_of_one_value_do_not_meet_frame_by_frame(spark):
